@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,154 @@ def _next_seed(candidates: DataFrame, used: Sequence[int], seed, id_col: str, sc
     return None if row is None else (row["id"], list(row["scores"]))
 
 
+def _energies(total: np.ndarray, n: int, target: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    return np.abs(target - (total + vecs) / (n + 1)).max(axis=1)
+
+
+def _scan(candidates: DataFrame, states, target, per_partition: int, id_col: str, scores: str):
+    """One distributed pass serving several greedy states at once.
+
+    ``states`` is a list of ``(key, total, n, excluded_ids)``.  For each state
+    every partition returns its ``per_partition`` lowest-energy candidates
+    (ties: lowest id), the lowest energy among its other candidates and its
+    candidate count; each partition also reports its largest |score|."""
+    tgt = np.asarray(target, dtype=float)
+    prepared = [(key, np.asarray(total, dtype=float), n, np.asarray(sorted(ex), dtype=np.int64))
+                for key, total, n, ex in states]
+    k = per_partition
+    dim = len(tgt)
+
+    def run(batches):
+        keep = {key: (np.empty(0), np.empty(0, dtype=np.int64), np.empty((0, dim))) for key, *_ in prepared}
+        rest = {key: np.inf for key, *_ in prepared}
+        count = {key: 0 for key, *_ in prepared}
+        vmax = 0.0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            ids_all = pdf[id_col].to_numpy(dtype=np.int64)
+            vecs_all = np.stack([np.asarray(v, dtype=float)[:dim] for v in pdf[scores]])
+            vmax = max(vmax, float(np.abs(vecs_all).max()))
+            for key, tot, n, excl in prepared:
+                mask = ~np.isin(ids_all, excl) if len(excl) else np.ones(len(ids_all), dtype=bool)
+                ids, vecs = ids_all[mask], vecs_all[mask]
+                count[key] += len(ids)
+                ke, ki, kv = keep[key]
+                e = np.concatenate([ke, _energies(tot, n, tgt, vecs)])
+                i = np.concatenate([ki, ids])
+                v = np.concatenate([kv, vecs])
+                order = np.lexsort((i, e))
+                if len(order) > k:
+                    rest[key] = min(rest[key], float(e[order[k]]))
+                    order = order[:k]
+                keep[key] = (e[order], i[order], v[order])
+        out = {"state": [], "kind": [], "energy": [], "id": [], "scores": []}
+        for key, *_ in prepared:
+            ke, ki, kv = keep[key]
+            out["state"] += [key] * (len(ki) + 1)
+            out["kind"] += ["best"] * len(ki) + ["summary"]
+            out["energy"] += list(ke) + [rest[key]]
+            out["id"] += list(ki) + [count[key]]
+            out["scores"] += [list(x) for x in kv] + [[vmax]]
+        yield pd.DataFrame(out)
+
+    rows = candidates.select(id_col, scores).mapInPandas(
+        run, "state long, kind string, energy double, id long, scores array<double>").collect()
+    result = {}
+    for key, *_ in prepared:
+        mine = [r for r in rows if r["state"] == key]
+        best = sorted(((r["energy"], r["id"], np.asarray(r["scores"], dtype=float)) for r in mine
+                       if r["kind"] == "best"), key=lambda x: (x[0], x[1]))
+        summ = [r for r in mine if r["kind"] == "summary"]
+        result[key] = (best, min((r["energy"] for r in summ), default=np.inf),
+                       sum(int(r["id"]) for r in summ), max((r["scores"][0] for r in summ), default=0.0))
+    return result
+
+
+class _Trajectory:
+    """One greedy cluster grown from one seed, with its certified shortlist.
+
+    After a scan at state ``(S0, n0)`` every scanned candidate outside the
+    shortlist has energy >= ``bound``.  At a later state ``(S, n)`` its mean
+    moves by at most ``max_r |S_r/(n+1) - S0_r/(n0+1)| + vmax*|1/(n+1) - 1/(n0+1)|``
+    per component, and its energy (a max of absolute deviations) by no more.
+    A shortlist winner strictly below ``bound - drift`` is thus the global
+    winner; candidates excluded at scan time but free now are known to the
+    driver (they were chosen earlier) and are evaluated exactly."""
+
+    def __init__(self, key, seed_id, seed_vec, base):
+        self.key, self.base = key, base
+        self.chosen = [seed_id]
+        self.vecs = {seed_id: seed_vec}
+        self.total = seed_vec.copy()
+        self.status = None          # None (running), "ok", "fail", "none"
+        self.items = None
+
+    def exclusion(self):
+        return self.base | set(self.chosen)
+
+    def certified_best(self, target):
+        """(energy, id, vec), "none" or None when a scan is needed."""
+        if self.items is None:
+            return None
+        ex = self.exclusion()
+        pool = {c: v for c, v in self.items.items() if c not in ex}
+        for c in self.excluded0 - ex:
+            pool[c] = self.vecs[c]
+        n = len(self.chosen)
+        drift = float(np.max(np.abs(self.total / (n + 1) - self.s0 / (self.n0 + 1)))) + \
+            self.vmax * abs(1.0 / (n + 1) - 1.0 / (self.n0 + 1)) + 1e-12
+        if pool:
+            ids = list(pool)
+            e = _energies(self.total, n, target, np.stack([pool[c] for c in ids]))
+            j = min(range(len(ids)), key=lambda x: (e[x], ids[x]))
+            if e[j] < self.bound - drift:
+                return float(e[j]), ids[j], pool[ids[j]]
+        elif self.bound == np.inf and self.scanned_left(ex) == 0:
+            return "none"
+        return None
+
+    def scanned_left(self, ex):
+        return self.available - len([c for c in self.items if c in ex])
+
+    def absorb_scan(self, best, bound, available, vmax):
+        self.items = {cid: v for _, cid, v in best}
+        self.bound, self.available, self.vmax = bound, available, vmax
+        self.s0, self.n0, self.excluded0 = self.total.copy(), len(self.chosen), self.exclusion()
+
+    def advance(self, target, tolerance, desired_len):
+        """Take certified steps until finished or a scan is needed."""
+        while self.status is None:
+            n = len(self.chosen)
+            current = float(np.max(np.abs(target - self.total / n)))
+            best = self.certified_best(target)
+            if best is None:
+                return
+            if best == "none":
+                self.status = "none"
+                return
+            energy, cid, vec = best
+            if energy < current or energy < tolerance:
+                self.chosen.append(cid)
+                self.vecs[cid] = vec
+                self.total = self.total + vec
+                continue
+            self.status = "ok" if (current <= tolerance or n >= desired_len) else "fail"
+
+
+def _seed_batch(pool: DataFrame, used: Sequence[int], seed, count: int, id_col: str, scores: str):
+    rest = pool.where(~F.col(id_col).isin(list(used))) if used else pool
+    rows = (rest.select(hash_key(seed, [id_col]).alias("_h"), F.col(id_col).alias("id"),
+                        F.col(scores).alias("scores"))
+                .orderBy("_h", "id").limit(count).collect())
+    return [(r["id"], np.asarray(r["scores"], dtype=float)) for r in rows]
+
+
 @dataclass
 class GreedyTrace:
     steps: int = 0
     restarts: int = 0
+    scans: int = 0
     energies: list = field(default_factory=list)
 
 
@@ -62,43 +208,57 @@ def greedy_profile_match(candidates: DataFrame, target: Sequence[float] = FV.TAR
                          tolerance: float = FV.SELECTION_TOLERANCE,
                          desired_len: int = FV.SELECTION_SIZE, seed=0,
                          id_col: str = "id", scores: str = "scores",
-                         trace: GreedyTrace | None = None) -> list[int] | None:
+                         trace: GreedyTrace | None = None, exclude: Sequence[int] = (),
+                         per_partition: int = 8, parallel_seeds: int = 128) -> list[int] | None:
     """One greedy cluster: start from a seeded random candidate, repeatedly add
     the candidate giving the lowest new max energy while it is lower than the
     current energy or below ``tolerance``.  When none qualifies, return the
     cluster if its energy is within ``tolerance`` or it reached
-    ``desired_len``; otherwise restart from an unused seed.  ``None`` when
-    candidates or seeds run out."""
+    ``desired_len``; otherwise restart from the next unused seed.  ``None``
+    when candidates or seeds run out.
+
+    Restarts depend only on the seed order, so up to ``parallel_seeds``
+    seeds are grown side by side and share each distributed scan; the result
+    is the first seed's outcome in order, as in a sequential run."""
     trace = trace or GreedyTrace()
-    k = len(target)
-    used_seeds: list[int] = []
-    first = _next_seed(candidates, used_seeds, seed, id_col, scores)
-    if first is None:
-        return None
-    chosen = [first[0]]
-    used_seeds.append(first[0])
-    total = list(first[1][:k])
+    tgt = np.asarray(target, dtype=float)
+    base = set(exclude)
+    pool = candidates.where(~F.col(id_col).isin(sorted(base))) if base else candidates
+    used: list[int] = []
+    active: list[_Trajectory] = []
+    seeds_left = True
+    key = 0
     while True:
-        current = profile_energy([s / len(chosen) for s in total], target)
-        best = best_candidate(candidates, total, len(chosen), target, chosen, id_col, scores)
-        trace.steps += 1
-        if best is None:
+        if seeds_left and len(active) < parallel_seeds:
+            fresh = _seed_batch(pool, used, seed, parallel_seeds - len(active), id_col, scores)
+            if len(fresh) < parallel_seeds - len(active):
+                seeds_left = False
+            for sid, vec in fresh:
+                used.append(sid)
+                active.append(_Trajectory(key, sid, vec[:len(tgt)], base))
+                key += 1
+        if not active:
             return None
-        energy, cid, vec = best
-        if energy < current or energy < tolerance:
-            chosen.append(cid)
-            total = [a + b for a, b in zip(total, vec)]
-            trace.energies.append(energy)
+        for t in active:
+            t.advance(tgt, tolerance, desired_len)
+        while active and active[0].status is not None:
+            head = active.pop(0)
+            if head.status == "ok":
+                trace.steps += len(head.chosen) - 1
+                return head.chosen
+            if head.status == "none":
+                return None
+            trace.restarts += 1
+        if not active:
+            if not seeds_left:
+                return None
             continue
-        if current <= tolerance or len(chosen) >= desired_len:
-            return chosen
-        nxt = _next_seed(candidates, used_seeds, seed, id_col, scores)
-        trace.restarts += 1
-        if nxt is None:
-            return None
-        chosen = [nxt[0]]
-        used_seeds.append(nxt[0])
-        total = list(nxt[1][:k])
+        need = [t for t in active if t.status is None]
+        res = _scan(candidates, [(t.key, t.total, len(t.chosen), t.exclusion()) for t in need],
+                    tgt, per_partition, id_col, scores)
+        trace.scans += 1
+        for t in need:
+            t.absorb_scan(*res[t.key])
 
 
 # K8
@@ -112,9 +272,8 @@ def select_until(candidates: DataFrame, target: Sequence[float] = FV.TARGET_SCOR
     selected: list[int] = []
     try:
         while len(selected) < size:
-            remaining = pool.where(~F.col(id_col).isin(selected)) if selected else pool
-            cluster = greedy_profile_match(remaining, target, tolerance, size - len(selected), seed,
-                                           id_col, scores, trace)
+            cluster = greedy_profile_match(pool, target, tolerance, size - len(selected), seed,
+                                           id_col, scores, trace, exclude=selected)
             if cluster is None:
                 break
             selected.extend(cluster)
