@@ -98,11 +98,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
 def describe(df: DataFrame, col: str, spark: SparkSession | None = None) -> DataFrame:
     """One row: count, mean, sample std, min, 25/50/75 % (linear), max."""
     spark = spark or df.sparkSession
-    values = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+    # several passes follow: keep the one projected column, not the upstream plan
+    values = df.select(F.col(col).cast("double").alias(col)).where(
+        F.col(col).isNotNull() & ~F.isnan(F.col(col))).persist()
     basic = values.agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
                        F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
                        F.max(col).cast("double").alias("max")).first()
     _, (p25, p50, p75) = exact_quantiles(values, col, DESCRIBE_PROBS)
+    values.unpersist()
     row = (int(basic["count"]), basic["mean"], basic["std"], basic["min"], p25, p50, p75, basic["max"])
     return spark.createDataFrame(
         [row], "count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")

@@ -76,9 +76,10 @@ def expand_variations(pairs: DataFrame, variations: DataFrame) -> DataFrame:
     """Each pair whose prompt is an original, once per non-null variation."""
     v = variations.where(F.col("variation").isNotNull()).select(
         F.col("original").alias("rewrite_prompt"), "pos", "variation")
-    return (pairs.join(v, "rewrite_prompt", "inner")
-                 .select("original_text", F.col("variation").alias("rewrite_prompt"), "cluster",
-                         F.col("rewrite_prompt").alias("parent_prompt"), "pos"))
+    joined = pairs.join(v, "rewrite_prompt", "inner")
+    rest = [c for c in pairs.columns if c != "rewrite_prompt"]
+    return joined.select(*rest, F.col("variation").alias("rewrite_prompt"),
+                         F.col("rewrite_prompt").alias("parent_prompt"), "pos")
 
 
 # J7 (+ A7)

@@ -25,23 +25,31 @@ def score_against_references(df: DataFrame, refs: Sequence[Sequence[float]], vec
     """Add ``out``: array of (signed) ``cos^3`` of ``vec`` with each reference, in reference order."""
     if len(refs) > MAX_REFERENCES:
         raise ValueError(f"{len(refs)} references exceed the inlined limit {MAX_REFERENCES}")
+    import math
+
     sharpen = V.sharpened_signed if signed else V.sharpened_abs
-    scores = [sharpen(V.cosine(vec, V.literal_vector(r))) for r in refs]
-    return df.withColumn(out, F.array(*scores))
+    tmp = df.withColumn("_sv", F.transform(F.col(vec), lambda x: x.cast("double")))
+    tmp = tmp.withColumn("_sn", V.norm("_sv"))
+    scores = []
+    for r in refs:
+        rn = math.sqrt(sum(float(x) * float(x) for x in r))
+        cos = F.when((F.col("_sn") == 0) | F.lit(rn == 0), F.lit(0.0)).otherwise(
+            V.dot("_sv", V.literal_vector(r)) / (F.col("_sn") * F.lit(rn)))
+        scores.append(sharpen(cos))
+    return tmp.withColumn(out, F.array(*scores)).drop("_sv", "_sn")
 
 
 # T18-T20 on two vector columns
-def pair_score(a: str, b: str, normalize: bool = True) -> Column:
-    """Evaluation score ``|cos(a, b)^3|`` (optionally on L2-normalised vectors)."""
-    va = V.l2_normalize(a) if normalize else F.col(a)
-    vb = V.l2_normalize(b) if normalize else F.col(b)
-    return V.sharpened_abs(V.cosine(va, vb))
+def pair_score(a: str, b: str) -> Column:
+    """Evaluation score ``|cos(a, b)^3|``.  Cosine is scale-invariant, so
+    scoring L2-normalised embeddings needs no separate normalisation pass."""
+    return V.sharpened_abs(V.cosine(a, b))
 
 
 # M7 encoders -------------------------------------------------------------
 def letter_profile(c) -> Column:
-    """Deterministic native test encoder: letter counts a..z of the normalised text."""
-    t = T.normalize_prompt(c)
+    """Deterministic native test encoder: letter counts a..z of a (normalised) text."""
+    t = F.col(c) if isinstance(c, str) else c
     return F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))).cast("double")
                      for ch in ascii_lowercase])
 

@@ -142,10 +142,12 @@ def evaluate_rows(eval_set: DataFrame, predictor: Callable = M.constant_predicti
     encoder = encoder or SC.letter_profile
     hidden = eval_set.withColumnRenamed("rewrite_prompt", "rewrite_prompt_og")
     pred, extra = M.run_predictor(hidden, predictor)
-    scored = (pred.withColumn("_a", encoder(F.col("rewrite_prompt_og")))
-                  .withColumn("_p", encoder(F.col("rewrite_prompt")))
+    scored = (pred.withColumn("_na", T.normalize_prompt("rewrite_prompt_og"))
+                  .withColumn("_np", T.normalize_prompt("rewrite_prompt"))
+                  .withColumn("_a", encoder(F.col("_na")))
+                  .withColumn("_p", encoder(F.col("_np")))
                   .withColumn("score", SC.pair_score("_a", "_p"))
-                  .drop("_a", "_p"))
+                  .drop("_na", "_np", "_a", "_p"))
     cols = ["original_text", "rewritten_text", "rewrite_prompt_og", "rewrite_prompt", "score", "cluster", *extra]
     return scored.select(*cols), extra
 
@@ -186,9 +188,12 @@ def select_prompts(pairs: DataFrame, variations: DataFrame, per_cluster: int = F
     spark = pairs.sparkSession
     encoder = encoder or SC.letter_profile
     prompts = K.sample_per_group(JN.cluster_prompts(pairs, variations), "cluster", "prompt", per_cluster, seed)
-    cand = prompts.withColumn("id", F.xxhash64("prompt")).withColumn("embedding", encoder(F.col("prompt")))
+    cand = (prompts.withColumn("id", F.xxhash64("prompt"))
+                   .withColumn("_norm", T.normalize_prompt("prompt"))
+                   .withColumn("embedding", encoder(F.col("_norm"))).drop("_norm"))
     refs_df = spark.createDataFrame([(i, p) for i, p, _ in profile], "ref_id int, prompt string")
-    refs = [list(r["e"]) for r in refs_df.orderBy("ref_id").select(encoder(F.col("prompt")).alias("e")).collect()]
+    refs = [list(r["e"]) for r in refs_df.orderBy("ref_id").withColumn("_norm", T.normalize_prompt("prompt"))
+            .select(encoder(F.col("_norm")).alias("e")).collect()]
     scored = SC.score_against_references(cand, refs, "embedding", "scores").select("id", "prompt", "scores")
     ids = SEL.select_until(scored, [t for _, _, t in profile], tolerance, size, seed)
     chosen = spark.createDataFrame([(int(i), n) for n, i in enumerate(ids)], "id long, rank int")
