@@ -48,8 +48,10 @@ def extract_field(c, key: str = "prompt", default: str | None = FV.DEFAULT_PREDI
     """Value of ``key``; ``default`` when the text holds no valid object or
     the key is absent.  A key present with JSON null yields null."""
     obj = json_object_from_text(c)
-    found = obj.isNotNull() & F.map_contains_key(obj, F.lit(key))
-    return F.when(found, obj.getItem(key)).otherwise(F.lit(default))
+    # a parsed object may carry a key twice; the last occurrence wins
+    matches = F.filter(F.map_entries(obj), lambda e: e["key"] == F.lit(key))
+    found = obj.isNotNull() & (F.size(matches) > 0)
+    return F.when(found, F.element_at(matches, -1)["value"]).otherwise(F.lit(default))
 
 
 def parse_field_as(c, key: str, schema: DataType | str) -> Column:
