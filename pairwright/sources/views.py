@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lead_in_order(df: DataFrame, part: str, order: str, value: str, out: str,
-                  bucket_width: int = 1 << 16) -> DataFrame:
+                  bucket_width: int = 1 << 10) -> DataFrame:
     """``lead(value) over (partition by part order by order)`` without one task per ``part``.
 
     Rows are windowed per ``(part, order div bucket_width)``, so no window
@@ -50,7 +50,7 @@ def lead_in_order(df: DataFrame, part: str, order: str, value: str, out: str,
 
 
 def pairs(spark: SparkSession, sf_dir: str, n_prompts: int = N_PROMPTS,
-          bucket_width: int = 1 << 16) -> DataFrame:
+          bucket_width: int = 1 << 10) -> DataFrame:
     """``(id, original_text, rewrite_prompt, rewritten_text, cluster)``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     prompts = (table(spark, sf_dir, "benchmark")
