@@ -65,7 +65,7 @@ def prefix_sums(
     """Running total of ``value`` before each row within its key, and the key's total.
 
     ``index`` deals the rows of a key to ``buckets`` buckets (0 .. buckets-1), which come one after
-    another; inside a bucket ``order`` decides. Bucket totals are summed up a tree of ``fanout``
+    another; inside a bucket ``order`` decides. Keys are not null. Bucket totals are summed up a tree of ``fanout``
     children per node, so that no task holds more than a bucket or a node's children of a key,
     however many rows the key has. Adds ``_before`` and ``_total`` (long).
     """
@@ -81,26 +81,14 @@ def prefix_sums(
             tree[-1].groupBy(*by, F.floor(F.col("_b") / fanout).alias("_b")).agg(F.sum("_v").cast("long").alias("_v"))
         )
     totals = tree[-1].groupBy(*by).agg(F.sum("_v").cast("long").alias("_total"))
-    above = tree[-1].join(totals, _same(tree[-1], totals, keys)).select(
-        *[tree[-1][k] for k in keys], "_b", F.lit(0).cast("long").alias("_start"), "_total"
-    )
+    above = tree[-1].join(totals, keys).select(*keys, "_b", F.lit(0).cast("long").alias("_start"), "_total")
     for lower in reversed(tree[:-1]):
         siblings = Window.partitionBy(*keys, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         lower = lower.withColumn("_p", F.floor(F.col("_b") / fanout)).withColumn(
             "_off", F.coalesce(F.sum("_v").over(siblings), F.lit(0))
         )
-        above = above.withColumnRenamed("_b", "_p")
-        above = lower.join(above, _same(lower, above, [*keys, "_p"])).select(
-            *[lower[k] for k in keys], lower["_b"], (above["_start"] + lower["_off"]).alias("_start"), above["_total"]
+        above = lower.join(above.withColumnRenamed("_b", "_p"), [*keys, "_p"]).select(
+            *keys, "_b", (F.col("_start") + F.col("_off")).alias("_start"), "_total"
         )
-    out = level.join(above, _same(level, above, [*keys, "_b"]))
-    return out.select(
-        *[level[c] for c in rows.columns], (level["_before"] + above["_start"]).alias("_before"), above["_total"]
-    )
-
-
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on
+    out = level.join(above, [*keys, "_b"])
+    return out.select(*rows.columns, (F.col("_before") + F.col("_start")).alias("_before"), "_total")
