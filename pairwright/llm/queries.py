@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import exact_dedup, mixing
+from pairwright.llm import exact_dedup, line_dedup, mixing
 from pairwright.llm.common import table
 
 
@@ -15,16 +15,41 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op7_line_dedup": op7_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''),
+            '[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09]+){0,11}[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS lines
+          FROM documents),
+        u AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l),
+        t AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part FROM u),
+        w AS (SELECT doc_id, pos, [part, lead(part) OVER d, lead(part, 2) OVER d] AS win, lead(part, 2) OVER d IS NOT NULL AS whole
+              FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS nth FROM w
+              WHERE whole AND length(win[1]) + length(win[2]) + length(win[3]) >= 60),
+        gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) v(k) WHERE nth > 1),
+        kept AS (SELECT t.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+                        string_agg(CASE WHEN gone.pos IS NULL THEN line END, '' ORDER BY t.pos) AS text
+                 FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.pos = t.pos GROUP BY t.doc_id)
+        SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE coalesce(kept.text, '') END AS text,
+               coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars,
