@@ -92,3 +92,47 @@ def prefix_sums(
         )
     out = level.join(above, [*keys, "_b"])
     return out.select(*rows.columns, (F.col("_before") + F.col("_start")).alias("_before"), "_total")
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], row_id: str, size: str, total: int, hot: int = 2000) -> DataFrame:
+    """Inner join of ``rows`` with their group; ``groups`` has one row per key and the group's size.
+
+    The rows of a group of at least ``hot`` rows and a thousandth of ``total`` are dealt over several
+    copies of the group's row. There are at most a thousand such groups, so their list is broadcast.
+    """
+    copies = F.ceil(F.col(size) / hot).cast("int")
+    wide = (F.col(size) > hot) & (F.col(size) * 1000 >= total)
+    if total > hot:
+        listed = groups.where(wide).select(*keys, copies.alias("_copies"))
+        rows = rows.join(F.broadcast(listed), keys, "left")
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+        groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(wide, copies - 1).otherwise(0))))
+        keys = [*keys, "_salt"]
+    return rows.join(groups, keys).drop("_salt")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component: the smallest node reachable over ``links`` (a, b), for every node that has a link.
+
+    Alternating large-star and small-star steps on the edge table; every step is written to the shared
+    folder, and only a count and a checksum reach the driver.
+    """
+    edges = stash(
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+    )
+    seen = None
+    while True:
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
+        seen = mark
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("_m"))
+        small = large.join(least, "u").select(
+            F.when(F.col("v") == F.col("_m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("_m").alias("v")
+        )
+        edges = stash(small.distinct(), "edges")

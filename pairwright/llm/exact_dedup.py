@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairwright.llm.common import SPACE, stash
+from pairwright.llm.common import SPACE, spread_join, stash
 
 #: Above every id; the step between two lengths in the rank.
 _LAST = Decimal(1 << 63)
@@ -104,25 +104,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     an id share its decision. Other columns of ``docs`` are not read. Empty in, empty out.
     """
     index = build_index(docs, id_col, text_col, capacity)
-    copies = F.ceil(F.col("group_size") / hot).cast("int")
-    spread = index.where(F.col("group_size") > hot).select("hash", "digest", copies.alias("_copies"))
+    total = index.agg(F.sum("group_size")).first()[0] or 0
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), F.length(text).cast("long").alias("_chars"), norm.alias("_norm")).select(
         "_id", "_chars", F.xxhash64("_norm").alias("hash"), F.sha2("_norm", 256).alias("digest")
     )
-    total = index.agg(F.sum("group_size")).first()[0] or 0
-    if total > hot:
-        # Groups of more than a thousandth of all rows: at most a thousand of them, so they can be broadcast.
-        spread = spread.where(F.col("_copies") * hot >= total / 1000)
-        rows = rows.join(F.broadcast(spread), ["hash", "digest"], "left")
-        salt = F.pmod(F.xxhash64("_id"), F.coalesce("_copies", F.lit(1))).cast("int")
-        rows = rows.select("_id", "_chars", "hash", "digest", salt.alias("_salt"))
-        wide = (F.col("group_size") > hot) & (copies * hot >= total / 1000)
-        index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(wide, copies - 1).otherwise(0))))
-    else:
-        rows, index = rows.withColumn("_salt", F.lit(0)), index.withColumn("_salt", F.lit(0))
-    return rows.join(index, ["hash", "digest", "_salt"]).select(
+    return spread_join(rows, index, ["hash", "digest"], "_id", "group_size", total, hot).select(
         F.col("_id").alias(id_col),
         "keep_id",
         "group_size",
