@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm import exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, quality, secrets, token_counts
+from pairwright.llm import decontamination, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, quality, secrets, token_counts
 from pairwright.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op3_html_text": op3_html_text,
+    "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_quality": op6_quality,
     "op7_line_dedup": op7_line_dedup,
