@@ -70,23 +70,20 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with the lines of later occurrences removed from the text, plus n_lines, n_removed (long).
 
     Null texts stay null; empty texts, texts of white space and texts of fewer than three lines have no
     window and stay as they are, as do rows without an id. Rows that repeat an id count as one
     document: the same place in the same id is no later occurrence. A text may become empty; its row
-    stays. Other columns are kept. Empty in, empty out.
+    stays. Other columns are kept; without ``counts`` the columns are those of ``docs``. Empty in, empty out.
     """
-    runs = later_runs(docs, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("runs", "_runs")
-    rows = docs.join(runs, F.col(id_col) == F.col("_doc"), "left")
+    runs = later_runs(docs, id_col, text_col).withColumnRenamed("doc", "_run_doc").withColumnRenamed("runs", "_runs")
+    rows = docs.join(runs, F.col(id_col) == F.col("_run_doc"), "left").withColumn("_text_lines", lines(F.col(text_col)))
     ends = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["end"]))
-    starts = F.concat(F.transform("_runs", lambda r: r["start"]), F.array(F.size("_lines")))
-    between = F.zip_with(ends, starts, lambda end, start: F.array_join(F.slice("_lines", end + 1, start - end), ""))
+    starts = F.concat(F.transform("_runs", lambda r: r["start"]), F.array(F.size("_text_lines")))
+    between = F.zip_with(ends, starts, lambda end, start: F.array_join(F.slice("_text_lines", end + 1, start - end), ""))
+    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(between, ""))
     removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    rows = rows.withColumn("_lines", lines(F.col(text_col)))
-    return rows.select(
-        *[F.when(F.col("_runs").isNull(), docs[c]).otherwise(F.array_join(between, "")).alias(c) if c == text_col else docs[c] for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
-    )
+    extra = [F.size("_text_lines").cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed")]
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *(extra if counts else []))

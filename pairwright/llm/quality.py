@@ -31,34 +31,34 @@ STATISTICS = (
 )
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the ``STATISTICS`` of each text as struct ``stats`` (doubles, never null; 0 for empty texts)."""
+def statistics(docs: DataFrame, text_col: str = "text", out: str = "stats") -> DataFrame:
+    """``docs`` with the ``STATISTICS`` of each text as struct ``out`` (doubles, never null; 0 for empty texts)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
-    rows = docs.select("*", text.alias("_text"), words.alias("_words"), F.split(text, r"\n+").alias("_lines"))
-    chars = F.length("_text")
-    n = F.size("_words")
+    rows = docs.select("*", text.alias("_stat_text"), words.alias("_stat_words"), F.split(text, r"\n+").alias("_stat_lines"))
+    chars = F.length("_stat_text")
+    n = F.size("_stat_words")
 
     def share(pattern: str) -> Column:
-        return (chars - F.length(F.regexp_replace("_text", pattern, ""))) / F.greatest(chars, F.lit(1))
+        return (chars - F.length(F.regexp_replace("_stat_text", pattern, ""))) / F.greatest(chars, F.lit(1))
 
-    lines = F.size("_lines")
+    lines = F.size("_stat_lines")
     values = {
         "chars": chars,
         "words": n,
-        "word_chars": F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(n, F.lit(1)),
+        "word_chars": F.aggregate("_stat_words", F.lit(0), lambda a, w: a + F.length(w)) / F.greatest(n, F.lit(1)),
         "symbol_share": share(r"[#$%&*+/<=>@\\^_`~]+"),
         "mark_share": share(r"[.,;:!?]+"),
         "upper_share": share(r"\p{Lu}+"),
         "digit_share": share(r"[0-9]+"),
         "bar_share": share(r"[|]+"),
-        "distinct_words": F.size(F.array_distinct("_words")) / F.greatest(n, F.lit(1)),
-        "repeated_lines": 1 - F.size(F.array_distinct("_lines")) / F.greatest(lines, F.lit(1)),
+        "distinct_words": F.size(F.array_distinct("_stat_words")) / F.greatest(n, F.lit(1)),
+        "repeated_lines": 1 - F.size(F.array_distinct("_stat_lines")) / F.greatest(lines, F.lit(1)),
         "line_words": n / F.greatest(lines, F.lit(1)),
         "emphasis_share": share(r"!+"),
     }
     stats = F.struct(*[F.coalesce(values[name].cast("double"), F.lit(0.0)).alias(name) for name in STATISTICS])
-    return rows.withColumn("stats", stats).drop("_text", "_words", "_lines")
+    return rows.withColumn(out, stats).drop("_stat_text", "_stat_words", "_stat_lines")
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,19 @@ def score_quality(
     without an id are scored like all others; null labels are not used. Without labels every score
     is 0.5. Columns of these three names are replaced. Empty in, empty out.
     """
-    model = fit(training_rows(docs, labels, id_col, text_col, label_col, sample), "label")
-    scored = statistics(docs, text_col).withColumn("score", model.score()).drop("stats")
+    model = learned(docs, labels, id_col, text_col, label_col, sample)
+    scored = statistics(docs, text_col, "_stats").withColumn("score", model.score("_stats")).drop("_stats")
     scored = scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
     return scored.withColumn("held_out", held_out(id_col, 3, 1))
+
+
+def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
+    return fit(training_rows(docs, labels, id_col, text_col, label_col, sample), "label")
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE
+) -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more, with their columns as they are."""
+    model = learned(docs, labels, id_col, text_col, label_col, sample)
+    return statistics(docs, text_col, "_stats").where(model.score("_stats") >= 0.5).select(*docs.columns)
