@@ -4,10 +4,10 @@
    excess shared again by weight.
 2. ``pack`` lays the documents of a source end to end in a fixed pseudorandom order and cuts the words
    into blocks of fixed length (a running total over a tree of buckets; no task holds a source).
-3. ``draw_slots`` fills the output shards. Every shard has the same number of slots. A source's
-   expected number of slots per shard is split into its whole part, which each shard gets, and the
-   fractions, which are drawn as a multinomial from the remaining slots. So totals stay within a few
-   blocks of the targets at every size.
+3. ``draw_slots`` fills the output shards. A source has as many slots as its target asks for, to the
+   nearest block. Every shard gets the whole part of a source's slots per shard; the shards of the
+   slots that are left are drawn, so a shard's counts by source are that plus a multinomial draw,
+   while the totals meet the targets at every size.
 4. The j-th slot of a source takes the block at index ``permutation(j mod n)`` of its n blocks. A pass
    uses every block once, so no block and no document is used more often than there are passes.
 5. Slots and blocks are joined by source and index.
@@ -52,49 +52,44 @@ def plan_mix(totals: DataFrame, share: float, most: float, block: int) -> DataFr
 
 
 def draw_slots(plan: DataFrame, per_shard: int, most: float, seed: int) -> DataFrame:
-    """shard, slot, source_no, index: which block of which source fills each slot of each output shard."""
+    """shard, slot, source_no, index: which block of which source fills each slot of each output shard.
+
+    Shards have about ``per_shard`` slots. Slot numbers are unique in a shard, not without gaps.
+    """
     spark = plan.sparkSession
-    expected = F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0)
-    total = plan.agg(F.sum(expected)).first()[0] or 0.0
+    asked = F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0)
+    asked = F.least(F.round(asked), F.col("n_blocks") * F.lit(float(most))).cast("long")
+    total = plan.agg(F.sum(asked)).first()[0] or 0
     shards = max(1, round(total / per_shard))
-    slots = round(total / shards)
     in_order = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    mean = plan.withColumn("_mean", expected / F.lit(float(max(total, 1e-9))) * slots)
     base = stash(
-        mean.withColumn("_base", F.floor("_mean"))
-        .withColumn("_frac", F.col("_mean") - F.col("_base"))
+        plan.select("source_no", "n_blocks", F.floor(asked / shards).alias("_base"), (asked % shards).alias("_left"))
         .withColumn("_first", F.coalesce(F.sum("_base").over(in_order), F.lit(0)))
-        .withColumn("_low", F.coalesce(F.sum("_frac").over(in_order), F.lit(0.0))),
+        .withColumn("_low", F.coalesce(F.sum("_left").over(in_order), F.lit(0))),
         "shares",
     )
-    n_base, n_frac, n_sources = base.agg(F.sum("_base"), F.sum("_frac"), F.count(F.lit(1))).first()
-    n_base, n_frac = n_base or 0, n_frac or 0.0
-    slot = spark.range(shards * slots).select(
-        F.col("id").alias("_g"), F.floor(F.col("id") / slots).alias("shard"), (F.col("id") % slots).alias("slot")
-    )
+    n_base, n_left, n_sources = base.agg(F.sum("_base"), F.sum("_left"), F.count(F.lit(1))).first()
+    n_base, n_left = n_base or 0, n_left or 0
     # The whole parts: position in the shard -> source and how many of its slots come before.
     fixed = base.where("_base > 0").select(
         "source_no", "n_blocks", "_base", "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_base") - 1)).alias("_i")
     )
     fixed = fixed.withColumn("slot", F.col("_first") + F.col("_i"))
-    whole = slot.where(F.col("slot") < n_base).join(fixed, "slot").select(
+    whole = spark.range(shards * n_base).select(F.floor(F.col("id") / n_base).alias("shard"), (F.col("id") % n_base).alias("slot"))
+    whole = whole.join(fixed, "slot").select(
         "shard", "slot", "source_no", "n_blocks", (F.col("shard") * F.col("_base") + F.col("_i")).alias("_j")
     )
-    # The fractions: a draw falls into a cell of the cumulated fractions, and there between two bounds.
-    cells = 4 * max(n_sources, 1)
-    width = max(n_frac, 1e-9) / cells
-    bounds = base.where("_frac > 0").withColumn("_high", F.col("_low") + F.col("_frac"))
-    bounds = bounds.select(
-        "source_no", "n_blocks", "_base", "_low", "_high",
-        F.explode(F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))).alias("_cell"),
+    # What is left: numbers in a row, cut into cells; a cell lists the sources whose numbers reach into it.
+    width = max(1, n_left // (4 * max(n_sources, 1)))
+    reach = F.sequence(F.floor(F.col("_low") / width), F.floor((F.col("_low") + F.col("_left") - 1) / width))
+    cells = base.where("_left > 0").select("source_no", "n_blocks", "_base", "_low", "_left", F.explode(reach).alias("_cell"))
+    drawn = spark.range(n_left).withColumn("_cell", F.floor(F.col("id") / width)).join(cells, "_cell")
+    drawn = drawn.where((F.col("id") >= F.col("_low")) & (F.col("id") < F.col("_low") + F.col("_left"))).select(
+        F.floor(fraction(F.lit(seed), F.col("id")) * shards).alias("shard"),
+        (F.col("id") + n_base).alias("slot"),
+        "source_no", "n_blocks", (F.col("_base") * shards + F.col("id") - F.col("_low")).alias("_j"),
     )
-    draws = slot.where(F.col("slot") >= n_base).withColumn("_u", fraction(F.lit(seed), F.col("_g")) * n_frac)
-    draws = draws.withColumn("_cell", F.floor(F.col("_u") / width)).join(bounds, "_cell")
-    draws = draws.where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")))
-    draws = draws.select("shard", "slot", "source_no", "n_blocks", "_base", "_g", F.lit(1).cast("long").alias("_one"))
-    ranked = prefix_sums(draws, ["source_no"], ["_g"], "_one", F.floor(F.col("shard") / 16), math.ceil(shards / 16))
-    extra = ranked.select("shard", "slot", "source_no", "n_blocks", (F.col("_base") * shards + F.col("_before")).alias("_j"))
-    used = whole.unionByName(extra).where(F.col("_j") < F.col("n_blocks") * F.lit(float(most)))
+    used = whole.unionByName(drawn)
     block = permuted(F.col("_j") % F.col("n_blocks"), F.col("n_blocks"), F.col("source_no"), seed)
     return used.select("shard", "slot", "source_no", block.alias("index"))
 
