@@ -46,6 +46,8 @@ INLINE = frozenset(
 ONE_OPEN = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("ul ol dl table article section div main body td th blockquote figure".split())
 
+CONTAINERS = frozenset("article main section div td blockquote center".split())
+
 # What tags and names of class, id or role say about a path.
 OFF_TAGS = frozenset("nav footer aside form button select menu dialog head canvas object".split())
 OFF_NAMES = frozenset(
@@ -59,13 +61,15 @@ GOOD_NAMES = frozenset("article main content post entry story body-text".split()
 
 
 class Page:
-    """The blocks of a page: text, path (tuple of marks), characters of links."""
+    """The blocks of a page: text, path (tuple of marks), characters of links, container (0: the page itself)."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, tuple[str, ...], int]] = []
-        self.stack: list[tuple[str, str]] = []  # tag, mark
+        self.blocks: list[tuple[str, tuple[str, ...], int, int]] = []
+        self.stack: list[tuple[str, str, int]] = []  # tag, mark, number
+        self.opened = 0
         self.parts: list[str] = []
         self.path: tuple[str, ...] = ()
+        self.box = 0
         self.links = 0
         at = 0
         for m in TOKEN.finditer(html):
@@ -83,16 +87,17 @@ class Page:
             if "&" in text:
                 text = unescape(text)
             if not self.path and not text.isspace():
-                self.path = tuple(mark for _, mark in self.stack)
-            if any(tag == "a" for tag, _ in self.stack):
+                self.path = tuple(mark for _, mark, _ in self.stack)
+                self.box = next((n for tag, _, n in reversed(self.stack) if tag in CONTAINERS), 0)
+            if any(tag == "a" for tag, _, _ in self.stack):
                 self.links += len(text.strip())
             self.parts.append(text)
 
     def _flush(self) -> None:
         text = BLANK.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.path, self.links))
-        self.parts, self.path, self.links = [], (), 0
+            self.blocks.append((text, self.path, self.links, self.box))
+        self.parts, self.path, self.links, self.box = [], (), 0, 0
 
     def _tag(self, tag: str, closing: bool, attrs: str) -> None:
         if tag == "br":
@@ -119,7 +124,8 @@ class Page:
                 if self.stack[i][0] in BARRIER:
                     break
         names = " ".join(a or b or c for a, b, c in NAMES.findall(attrs)) if "=" in attrs else ""
-        self.stack.append((tag, f"{tag} {names.lower()}" if names else tag))
+        self.opened += 1
+        self.stack.append((tag, f"{tag} {names.lower()}" if names else tag, self.opened))
 
 
 @lru_cache(4096)
@@ -142,17 +148,6 @@ def weight(path: tuple[str, ...]) -> float:
     return out
 
 
-def container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path up to the innermost element that holds blocks; empty if that is the page itself."""
-    for i in range(len(path) - 1, -1, -1):
-        tag = path[i].split(" ")[0]
-        if tag in ("body", "html"):
-            return ()
-        if tag in ("article", "main", "section", "div", "td", "blockquote", "center"):
-            return path[: i + 1]
-    return ()
-
-
 def main_text(html: str | None) -> str:
     """The main text of a page: its content blocks in page order, joined by an empty line.
 
@@ -162,7 +157,7 @@ def main_text(html: str | None) -> str:
         return ""
     blocks = Page(html).blocks
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    for text, path, links in blocks:
+    for text, path, links, _ in blocks:
         s = sums[path]
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
@@ -171,20 +166,22 @@ def main_text(html: str | None) -> str:
     score = {}
     for path, (chars, marks, n, links) in sums.items():
         score[path] = weight(path) * (chars / n) * (1 + marks / n) * (1 - links / chars) ** 2
-    inside: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0])
-    for path, (chars, *_) in sums.items():
-        if score[path] > 0 and (box := container(path)):
-            inside[box][0] += score[path] * chars
-            inside[box][1] += chars
-    smooth = {}
-    for path, own in score.items():
-        total, chars = inside.get(container(path), (0, 0))
-        smooth[path] = max(own, total / chars / 2) if own > 0 and chars else own
-    mass = sum(s[0] for path, s in sums.items() if smooth[path] > 0)
+    inside: dict[int, list[float]] = defaultdict(lambda: [0, 0])
+    for text, path, _, box in blocks:
+        if box and score[path] > 0:
+            inside[box][0] += score[path] * len(text)
+            inside[box][1] += len(text)
+
+    def smooth(path: tuple[str, ...], box: int) -> float:
+        total, chars = inside[box] if box in inside else (0, 1)
+        return max(score[path], total / chars / 2) if score[path] > 0 else 0.0
+
+    smoothed = [(text, smooth(path, box)) for text, path, _, box in blocks]
+    mass = sum(len(text) for text, s in smoothed if s > 0)
     if not mass:
         return ""
-    mean = sum(smooth[path] * s[0] for path, s in sums.items()) / mass
-    return "\n\n".join(text for text, path, _ in blocks if smooth[path] > 0 and smooth[path] >= THRESHOLD * mean)
+    mean = sum(s * len(text) for text, s in smoothed) / mass
+    return "\n\n".join(text for text, s in smoothed if s > 0 and s >= THRESHOLD * mean)
 
 
 def text_of(html: Column) -> Column:
