@@ -9,36 +9,41 @@
 3. Representatives that share a band form a bucket. In each bucket one hub is compared with all others
    on full shingle sets; verified links give components. Only buckets that still hold more than one
    component go on.
-4. There a member of which fewer than ``threshold`` of the shingles occur in any other such member can
-   have no link and leaves (exact, by shingle counts). The others are compared with 16, 256, ... hubs
-   per bucket, only across components, until all members have been hubs. No candidate is dropped.
+4. There the members outside the bucket's first component are compared with all its members, block by
+   block inside tasks, on signatures of ``SIGNATURE`` bytes. Pairs across components whose share of
+   equal bytes is at most five standard deviations below the threshold's are verified on full sets.
+   Only those pairs leave a task, each in the first band that it shares; no candidate is capped.
 
-A pair at the threshold misses all bands with probability (1 - 0.85 ** ROWS) ** BANDS, about 4e-7.
+A pair at the threshold misses all bands with probability (1 - 0.85 ** ROWS) ** BANDS, about 4e-7, and
+step 4 with about 3e-7.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.llm import shingles
-from pairwright.llm.common import components, fraction, spread_join, stash
+from pairwright.llm.common import components, spread_join, stash
 
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
+SIGNATURE = 512
+BLOCK = 1024  # members of a bucket that are compared at a time
 _U = np.uint64
 _LOW = _U((1 << 48) - 1)
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """Fast similarity sketches of non-empty sets of 64-bit hashes, one row of COORDINATES each."""
-    n, t = len(sets), COORDINATES
+def sketch(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
+    """Fast similarity sketches of non-empty sets of 64-bit hashes, one row of t coordinates each."""
+    n = len(sets)
     out = np.full(n * t, np.iinfo(np.uint64).max, dtype=_U)
     owner = np.repeat(np.arange(n, dtype=np.int64), [len(s) for s in sets])
     items = np.concatenate(sets) if sets else np.zeros(0, dtype=_U)
@@ -84,8 +89,14 @@ def _set_batches(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [s.view(np.int64) for s in shingles.shingle_sets(part.column(1).to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+                sets = shingles.shingle_sets(part.column(1).to_pylist(), k)
+                bytes_ = (shingles.mix(sketch(sets, SIGNATURE)) & _U(255)).astype(np.uint8)
+                columns = [
+                    part.column(0),
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([row.tobytes() for row in bytes_], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "items", "signature"])
 
     return run
 
@@ -116,10 +127,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives"
     )
     single = known.join(reps.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi")
-    members = single.select(F.col("id").alias("rep"), "n", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.xxhash64("rep", "band")).alias("_pick")
-    )
+    members = single.select(F.col("id").alias("rep"), "n", "bands", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("hub"))
     members = stash(members.join(buckets.where("m > 1"), ["band", "key"]), "members")
     joined = _verified_components(docs, id_col, text_col, k, threshold, members)
     reps = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -138,57 +147,112 @@ def _verified_components(docs, id_col: str, text_col: str, k: int, threshold: in
     """node, component over all verified links between members of a bucket."""
     wanted = members.select(F.col("rep").alias(id_col)).distinct()
     texts = docs.select(id_col, text_col).join(wanted, id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = T.StructType([texts.schema["id"], *_fields("items array<bigint>")])
+    out = T.StructType([texts.schema["id"], *_fields("items array<bigint>, signature binary")])
     sets = stash(texts.mapInArrow(_set_batches(k), out).withColumnRenamed("id", "rep"), "sets")
 
-    near_size = F.least("n", "_hub_n") * 100 >= F.greatest("n", "_hub_n") * threshold
-    hubs = members.where(F.xxhash64("rep", "band") == F.col("_pick"))
-    hubs = hubs.select("band", "key", F.col("rep").alias("hub"), F.col("n").alias("_hub_n"))
-    pairs = members.join(hubs, ["band", "key"]).where((F.col("rep") != F.col("hub")) & near_size)
-    tested = stash(pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
-    links = stash(verified(tested, sets, threshold), "links")
+    pairs = members.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    links = stash(verified(pairs.distinct(), sets.drop("signature"), threshold), "links")
     joined = components(links)
 
-    members, size = _open(members, joined)
-    if size:
-        members = stash(_linkable(members, sets, threshold), "members")
-        members, size = _open(members.drop("_component"), joined)
-    most, least = 16, 0
-    while size:
-        share = fraction(F.col("rep")) * F.col("m")
-        hubs = members.where((share < most) & (share >= least))
-        hubs = hubs.select("band", "key", F.col("rep").alias("hub"), F.col("n").alias("_hub_n"), F.col("_component").alias("_hub_component"))
-        pairs = members.join(hubs, ["band", "key"]).where((F.col("_component") != F.col("_hub_component")) & near_size)
-        pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        fresh = stash(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stash(verified(fresh, sets, threshold), "links")
-        if not found.isEmpty():
-            links, tested = links.unionByName(found), tested.unionByName(fresh)
-            joined = components(links)
-        if size <= most:
-            break
-        members, size = _open(members.drop("_component"), joined)
-        most, least = 16 * most, most
-    return joined
+    blocks = _blocks(members.drop("hub"), joined).join(sets.select("rep", "signature"), "rep")
+    blocks = blocks.repartition("band", "key", "_q", "_r").sortWithinPartitions("band", "key", "_q", "_r")
+    schema = T.StructType([T.StructField(c, members.schema["rep"].dataType) for c in "ab"])
+    pairs = blocks.select("band", "key", "_q", "_r", "_role", "rep", "n", "_component", "bands", "signature")
+    pairs = stash(pairs.mapInArrow(_compare(threshold, schema), schema), "pairs")
+    found = stash(verified(pairs, sets.drop("signature"), threshold), "links")
+    if found.isEmpty():
+        return joined
+    return components(links.unionByName(found))
+
 
+def _blocks(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component, dealt to pairs (_q, _r) of blocks of their bucket.
 
-def _open(members: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
-    """Members of buckets with more than one component, with ``_component``; the size of the largest such bucket."""
+    Queries are the members outside the bucket's first component. In the pair (q, r) the queries of
+    block q (role 1) meet the members of block r (role 2); where there is one pair, a row has both roles (3)
+    or, for the first component, role 2.
+    """
+    bucket = ["band", "key"]
     named = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("_component", F.coalesce("component", "rep")).drop("component")
-    mixed = named.groupBy("band", "key").agg(F.min("_component").alias("_min"), F.max("_component").alias("_max"))
-    left = stash(named.join(mixed.where("_min <> _max").select("band", "key"), ["band", "key"], "left_semi"), "open")
-    return left, left.agg(F.max("m")).first()[0] or 0
-
-
-def _linkable(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Members of which at least ``threshold`` percent of the shingles occur in another member."""
-    inside = sets.join(members.select("rep").distinct(), "rep", "left_semi")
-    items = inside.select("rep", F.explode("items").alias("item"))
-    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("item")
-    n_shared = items.join(shared, "item").groupBy("rep").agg(F.count(F.lit(1)).alias("_shared"))
-    able = members.join(n_shared, "rep")
-    return able.where(F.col("_shared") * 100 >= F.col("n") * threshold).drop("_shared")
+    mixed = named.groupBy(*bucket).agg(F.min("_component").alias("_min"), F.max("_component").alias("_max"))
+    left = stash(named.join(mixed.where("_min <> _max").drop("_max"), bucket).withColumn("_query", F.col("_component") != F.col("_min")), "open")
+    sizes = left.groupBy(*bucket).agg(F.ceil(F.sum(F.col("_query").cast("int")) / BLOCK).cast("int").alias("_nq"))
+    rows = left.join(sizes, bucket).withColumn("_nr", F.ceil(F.col("m") / BLOCK).cast("int"))
+    slot = F.xxhash64("rep")
+    whole = (F.col("_nq") == 1) & (F.col("_nr") == 1)
+
+    def dealt(n: str, role: int):
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: _place(n, role, i, slot))
+
+    one = F.array(F.struct(F.lit(0).alias("_q"), F.lit(0).alias("_r"), F.when(F.col("_query"), 3).otherwise(2).alias("_role")))
+    queries = F.when(F.col("_query"), dealt("_nr", 1)).otherwise(F.filter(dealt("_nr", 1), lambda _: F.lit(False)))
+    places = F.when(whole, one).otherwise(F.concat(queries, dealt("_nq", 2)))
+    return rows.select(*bucket, "rep", "n", "bands", "_component", F.inline(places))
+
+
+def _place(n: str, role: int, i, slot):
+    if role == 1:  # a query keeps its block q and meets every block r
+        q, r = F.pmod(slot, F.col("_nq")), i
+    else:
+        q, r = i, F.pmod(slot, F.col("_nr"))
+    return F.struct(q.cast("int").alias("_q"), r.cast("int").alias("_r"), F.lit(role).alias("_role"))
+
+
+def _compare(threshold: int, schema: T.StructType):
+    """Pairs (a < b) of a query and a member of another component that are likely enough and share no earlier band."""
+    t = threshold / 100
+    least = SIGNATURE * (t + (1 - t) / 256) - 5 * math.sqrt(SIGNATURE * t * (1 - t))
+
+    def groups(batches: Iterator[pa.RecordBatch]):
+        """The rows of each key in turn, as one table; rows come sorted by key."""
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            cuts = [0, *change.tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                key = tuple(k[low] for k in keys) if high > low else last
+                if key != last and kept:
+                    yield pa.Table.from_batches(kept)
+                    kept = []
+                last = key
+                if high > low:
+                    kept.append(batch.slice(low, high - low))
+        if kept:
+            yield pa.Table.from_batches(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = [[], []]
+        for group in groups(batches):
+            role = group["_role"].to_numpy()
+            n = group["n"].to_numpy()
+            component = group["_component"].to_numpy()
+            rep = group["rep"].to_numpy()
+            band = group["band"][0].as_py()
+            bands = np.array(group["bands"].to_pylist(), dtype=np.int64)
+            marks = np.frombuffer(b"".join(group["signature"].to_pylist()), dtype=np.uint8).reshape(len(rep), SIGNATURE)
+            members = np.flatnonzero(role >= 2)
+            for x in np.flatnonzero(role & 1):
+                y = members[component[members] != component[x]]
+                y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * threshold]
+                y = y[(marks[y] == marks[x]).sum(axis=1) >= least]
+                y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+                if len(y):
+                    ids[0].append(np.minimum(rep[y], rep[x]))
+                    ids[1].append(np.maximum(rep[y], rep[x]))
+        if ids[0]:
+            pairs = np.unique(np.stack([np.concatenate(c) for c in ids]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f) for c, f in zip(pairs, _arrow(schema))], names=["a", "b"])
+
+    return run
+
+
+def _arrow(schema: T.StructType) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).types
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int, chunk: int = 256) -> DataFrame:
