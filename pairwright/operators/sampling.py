@@ -3,10 +3,10 @@
 Order keys are ``md5(seed, row values)`` so the same seed always draws the
 same rows, any engine with ``md5`` can reproduce the draw, and keys are
 uniform.  ``first_n_by_hash`` takes exactly the ``n`` rows with the smallest
-keys without a global sort into one task: a histogram over the first four
-hex digits (at most 65,536 counts) finds the bucket holding the cut, a
-histogram of that bucket's keys finds the exact key, and rows tied on the
-key (identical rows) are taken by count.
+keys without a global sort into one task: it descends the hex digits of the
+keys four at a time, each time with a histogram of at most 65,536 counts,
+until the cut falls between two prefixes; identical rows, which share a whole
+key, are taken by count.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ SEP = "\u0001"
 
 
 def hash_key(seed: int | str, cols: Sequence[str]) -> Column:
-    """``md5`` over the seed and the values (as text) separated by U+0001."""
-    return F.md5(F.concat_ws(SEP, F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+    """``md5`` over the seed and the values as text, each with its length; null is a value of its own."""
+    def part(c: str) -> Column:
+        v = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("null"))
+    return F.md5(F.concat_ws(SEP, F.lit(str(seed)), *[part(c) for c in cols]))
 
 
 # K1
@@ -36,54 +39,54 @@ def sample_per_group(df: DataFrame, group: str, value: str, n: int, seed: int |
     return drawn.select(value).distinct()
 
 
-def _bucket(h: Column) -> Column:
-    return F.substring(h, 1, 4)
+DIGITS = 4
+
+
+def _histogram(keyed: DataFrame, key: str, prefix: str) -> list[tuple[str, int]]:
+    """Counts by the next digits of the keys that start with ``prefix`` (at most 65,536), in order."""
+    width = len(prefix) + DIGITS
+    rows = keyed.where(F.substring(key, 1, len(prefix)) == prefix) if prefix else keyed
+    return sorted((r[0], r[1]) for r in rows.groupBy(F.substring(key, 1, width)).count().collect())
 
 
 # K2/K4 core
-def first_n_by_hash(df: DataFrame, n: int, seed: int | str = 0) -> DataFrame:
+def first_n_by_hash(df: DataFrame, n: int, seed: int | str = 0,
+                    first: list[tuple[str, int]] | None = None) -> DataFrame:
     """Exactly ``min(n, count)`` rows: those with the smallest hash keys.
 
     The key hashes every column, so rows tied on it are identical and are
-    taken by count."""
+    taken by count.  ``first`` is the histogram of the first digits, if known."""
     h = "_sample_key"
     keyed = df.withColumn(h, hash_key(seed, df.columns))
-    hist = sorted((r[0], r[1]) for r in keyed.groupBy(_bucket(F.col(h))).count().collect())
-    total = sum(c for _, c in hist)
-    if n >= total:
+    hist = _histogram(keyed, h, "") if first is None else first
+    if n >= sum(c for _, c in hist):
         return df
     if n <= 0:
         return df.limit(0)
-    cum = 0
-    cut_bucket, remaining = None, 0
-    for b, c in hist:
-        if cum + c >= n:
-            cut_bucket, remaining = b, n - cum
-            break
-        cum += c
-    inner = sorted((r[0], r[1]) for r in keyed.where(_bucket(F.col(h)) == cut_bucket)
-                   .groupBy(h).count().collect())
-    cum = 0
-    cut_key, take = None, 0
-    for k, c in inner:
-        if cum + c >= remaining:
-            cut_key, take = k, remaining - cum
+    left = n
+    while True:
+        for prefix, count in hist:
+            if count >= left:
+                break
+            left -= count
+        here = F.substring(h, 1, len(prefix))
+        if count == left:
+            return keyed.where(here <= prefix).drop(h)
+        if len(prefix) == 32:
             break
-        cum += c
-    below = keyed.where((_bucket(F.col(h)) < cut_bucket) |
-                        ((_bucket(F.col(h)) == cut_bucket) & (F.col(h) < cut_key)))
-    tied = (keyed.where(F.col(h) == cut_key).groupBy(*keyed.columns).count())
-    tied_rows = tied.withColumn("_take", F.least(F.col("count"), F.lit(take)))
-    copies = (tied_rows.where(F.col("_take") > 0)
-              .select(*df.columns, F.explode(F.array_repeat(F.lit(0), F.col("_take").cast("int"))).alias("_copy")))
-    return below.drop(h).unionByName(copies.select(*df.columns))
+        hist = _histogram(keyed, h, prefix)
+    one = keyed.where(F.col(h) == prefix).dropDuplicates([h])
+    copies = df.sparkSession.range(left).select(F.lit(prefix).alias(h)).join(F.broadcast(one), h)
+    return keyed.where(F.col(h) < prefix).select(*df.columns).unionByName(copies.select(*df.columns))
 
 
 # K2
 def balance_samples(a: DataFrame, b: DataFrame, seed: int | str = 1) -> tuple[DataFrame, DataFrame]:
     """Both sides reduced to ``min(|a|, |b|)`` rows by seeded hash order."""
-    n = min(a.count(), b.count())
-    return first_n_by_hash(a, n, seed), first_n_by_hash(b, n, seed)
+    key = "_sample_key"
+    hists = [_histogram(d.select(hash_key(seed, d.columns).alias(key)), key, "") for d in (a, b)]
+    n = min(sum(c for _, c in hist) for hist in hists)
+    return tuple(first_n_by_hash(d, n, seed, hist) for d, hist in zip((a, b), hists))
 
 
 # K3

@@ -87,7 +87,8 @@ def token_count(x: str) -> str:
 
 
 def md5_key(seed, cols) -> str:
-    return "md5(concat_ws(chr(1), " + lit(str(seed)) + ", " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + "))"
+    parts = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'null')" for c in cols]
+    return "md5(concat_ws(chr(1), " + lit(str(seed)) + ", " + ", ".join(parts) + "))"
 
 
 def dot(a: str, b: str, n: int) -> str:
@@ -107,12 +108,12 @@ PAIRS = """pairs AS (
   SELECT d.doc_id AS id, d.text AS original_text, b.text AS rewrite_prompt,
          lead(d.text) OVER (PARTITION BY d.lang ORDER BY d.doc_id) AS rewritten_text,
          CAST(substr(d.source, 4) AS INTEGER) AS cluster
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 AND b.item_id BETWEEN 0 AND 39)"""
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 
 VARIATIONS = """variations AS (
-  SELECT o.text AS original, CAST(v.item_id // 10 AS INTEGER) - 1 AS pos, v.text AS variation
-  FROM benchmark o JOIN benchmark v ON v.item_id % 10 = o.item_id
-  WHERE o.item_id < 10 AND v.item_id BETWEEN 10 AND 39)"""
+  SELECT o.text AS original, CAST(v.item_id // k AS INTEGER) - 1 AS pos, v.text AS variation
+  FROM (SELECT greatest(1, count(*) // 4) AS k FROM benchmark) c
+  JOIN benchmark v ON v.item_id >= k JOIN benchmark o ON v.item_id % k = o.item_id AND o.item_id < k)"""
 
 SPLITS = """splits AS (
   SELECT * FROM (VALUES (0, 'test'), (1, 'test'), (2, 'test'), (3, 'test'),
@@ -128,5 +129,13 @@ cands AS (SELECT * FROM vectors WHERE vec_id >= 16),
 refs AS (SELECT vec_id + 1 AS ref_id, embedding AS ref FROM vectors WHERE vec_id < 16)"""
 
 
+def ascii_json(x: str) -> str:
+    """JSON text with every character beyond ASCII as \\uXXXX (a pair above U+FFFF)."""
+    u = "unicode(c)"
+    pair = f"printf('\\u%04X\\u%04X', 55296 + (({u} - 65536) // 1024), 56320 + (({u} - 65536) % 1024))"
+    return (f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN {u} < 128 THEN c "
+            f"WHEN {u} < 65536 THEN printf('\\u%04X', {u}) ELSE {pair} END), '')")
+
+
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"

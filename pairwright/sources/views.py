@@ -1,7 +1,7 @@
 """Views over the driver tables used by the registered queries.
 
-``pairs``          documents joined to one of ``n_prompts`` benchmark items; the
-                   rewritten text is the next document of the same language.
+``pairs``          documents joined to a benchmark item (doc_id modulo the number of
+                   items); the rewritten text is the next document of the same language.
 ``turn_pairs``     a user turn joined to the assistant turn that follows it.
 ``variations``     long form ``(original, pos, variation)`` from benchmark items.
 ``vectors``        embeddings as prompt vectors; ``vec_id < 16`` are references.
@@ -9,11 +9,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-N_PROMPTS = 40
-N_ORIGINAL_PROMPTS = 10
+VARIATIONS_PER_PROMPT = 3
 N_REFERENCES = 16
 SPLIT_RULE = ((0, 3, "test"), (4, 6, "val"))
 
@@ -23,24 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lead_in_order(df: DataFrame, part: str, order: str, value: str, out: str,
-                  bucket_width: int = 1 << 10) -> DataFrame:
+                  bucket_width: int = 1 << 10, levels: int = 3) -> DataFrame:
     """``lead(value) over (partition by part order by order)`` without one task per ``part``.
 
     Rows are windowed per ``(part, order div bucket_width)``, so no window
     group exceeds ``bucket_width`` distinct order values however skewed
     ``part`` is.  To let the last row of a bucket see the first row of the
-    next non-empty bucket, that first row is added to the bucket once more as
-    a sentinel; the sentinels are found from a one-row-per-bucket table.
+    next non-empty bucket, that first row (order and value, from one
+    aggregate) is added to the bucket once more as a sentinel.  The same
+    function finds the next bucket's head among the heads, ``levels`` times;
+    the plain window at the top has one row per ``bucket_width ** levels``
+    order values.
     """
+    if levels == 0:
+        return df.withColumn(out, F.lead(value).over(Window.partitionBy(part).orderBy(order)))
     b, head, nxt_head, sentinel = "_lead_bucket", "_lead_head", "_lead_next_head", "_lead_sentinel"
     d = df.withColumn(b, F.floor(F.col(order) / F.lit(bucket_width)).cast("long"))
-    heads = d.groupBy(part, b).agg(F.min(order).alias(head))
-    nxt = (heads.withColumn(nxt_head, F.lead(head).over(Window.partitionBy(part).orderBy(b)))
-                .where(F.col(nxt_head).isNotNull()).select(part, b, nxt_head))
-    sentinels = (d.select(part, F.col(order).alias(nxt_head), value)
-                  .join(nxt, [part, nxt_head], "inner")
-                  .select(part, b, F.col(nxt_head).alias(order), value,
-                          F.lit(True).alias(sentinel)))
+    heads = d.groupBy(part, b).agg(F.struct(F.min(order).alias("o"), F.min_by(value, order).alias("v")).alias(head))
+    nxt = lead_in_order(heads.withColumnRenamed(b, "_lead_order"), part, "_lead_order", head, nxt_head,
+                        bucket_width, levels - 1)
+    sentinels = nxt.where(F.col(nxt_head).isNotNull()).select(
+        part, F.col("_lead_order").alias(b), F.col(nxt_head)["o"].alias(order),
+        F.col(nxt_head)["v"].alias(value), F.lit(True).alias(sentinel))
     body = d.withColumn(sentinel, F.lit(False))
     w = Window.partitionBy(part, b).orderBy(order, sentinel)
     return (body.unionByName(sentinels, allowMissingColumns=True)
@@ -49,21 +52,24 @@ def lead_in_order(df: DataFrame, part: str, order: str, value: str, out: str,
                 .drop(b, sentinel))
 
 
-def pairs(spark: SparkSession, sf_dir: str, n_prompts: int = N_PROMPTS,
-          bucket_width: int = 1 << 10) -> DataFrame:
-    """``(id, original_text, rewrite_prompt, rewritten_text, cluster)``."""
+def n_items(bench: DataFrame) -> Column:
+    """Number of benchmark items, as a scalar subquery of the plan it is used in."""
+    return bench.agg(F.count(F.lit(1))).scalar()
+
+
+def pairs(spark: SparkSession, sf_dir: str, bucket_width: int = 1 << 10) -> DataFrame:
+    """``(id, original_text, rewrite_prompt, rewritten_text, cluster)``; every benchmark item is a prompt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    prompts = (table(spark, sf_dir, "benchmark")
-               .where(F.col("item_id").between(0, n_prompts - 1))
-               .select(F.col("item_id"), F.col("text").alias("rewrite_prompt")))
-    joined = docs.join(prompts, F.col("doc_id") % n_prompts == F.col("item_id"), "inner")
-    led = lead_in_order(joined, "lang", "doc_id", "text", "rewritten_text", bucket_width)
-    return led.select(
+    bench = table(spark, sf_dir, "benchmark")
+    prompts = bench.select("item_id", F.col("text").alias("rewrite_prompt"))
+    led = lead_in_order(docs, "lang", "doc_id", "text", "rewritten_text", bucket_width)
+    joined = led.withColumn("item_id", F.col("doc_id") % n_items(bench)).join(prompts, "item_id", "inner")
+    return joined.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("original_text"),
         "rewrite_prompt",
         "rewritten_text",
-        F.substring("source", 4, 1 << 20).cast("int").alias("cluster"),
+        F.expr("substring(source, 4)").cast("int").alias("cluster"),
     )
 
 
@@ -77,15 +83,19 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user.join(bot, ["conv_id", "turn"], "inner")
 
 
-def variations(spark: SparkSession, sf_dir: str, n_originals: int = N_ORIGINAL_PROMPTS,
-               n_prompts: int = N_PROMPTS) -> DataFrame:
-    """Long-form variation map ``(original, pos, variation)``."""
+def variations(spark: SparkSession, sf_dir: str, per_prompt: int = VARIATIONS_PER_PROMPT) -> DataFrame:
+    """Long-form variation map ``(original, pos, variation)``.
+
+    The first ``1 / (per_prompt + 1)`` of the items are originals; every other
+    item is a variation of one of them."""
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    orig = bench.where(F.col("item_id") < n_originals).select(
+    numbered = bench.withColumn(
+        "n_originals", F.greatest(F.lit(1), F.floor(n_items(bench) / (per_prompt + 1))))
+    orig = numbered.where(F.col("item_id") < F.col("n_originals")).select(
         F.col("item_id").alias("o_id"), F.col("text").alias("original"))
-    var = bench.where(F.col("item_id").between(n_originals, n_prompts - 1)).select(
-        (F.col("item_id") % n_originals).alias("o_id"),
-        (F.floor(F.col("item_id") / n_originals) - 1).cast("int").alias("pos"),
+    var = numbered.where(F.col("item_id") >= F.col("n_originals")).select(
+        (F.col("item_id") % F.col("n_originals")).alias("o_id"),
+        (F.floor(F.col("item_id") / F.col("n_originals")) - 1).cast("int").alias("pos"),
         F.col("text").alias("variation"))
     return orig.join(var, "o_id", "inner").select("original", "pos", "variation")
 

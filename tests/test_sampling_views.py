@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairwright.operators import aggregates as A
 from pairwright.operators import sampling as K
+from pairwright.sources import views as VW
 from pairwright.sources.views import lead_in_order
 
 
@@ -57,9 +59,45 @@ def test_describe_matches_pandas(spark):
         assert abs(got[ours] - exp[theirs]) < 1e-12
 
 
-def test_exact_quantiles_with_tight_brackets(spark):
-    vals = [float(i % 97) for i in range(5000)]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    n, qs = A.exact_quantiles(df, "x", (0.1, 0.5, 0.9), accuracy=50)
-    assert n == 5000
-    assert np.allclose(qs, np.quantile(vals, [0.1, 0.5, 0.9]))
+@pytest.mark.parametrize("values", [
+    [float(i % 97) for i in range(3000)],                                   # ties
+    [1.0] * 1500 + [2.0] * 1500,                                            # two values only
+    [float(i) * 1e300 / 3000 for i in range(1500)] + [i * 1e-300 for i in range(1500)],  # wide spread
+    [float(i) for i in range(300)] + [0.5] * 2700,                          # one value has nearly all rows
+])
+def test_exact_quantiles_fetch_a_fixed_number_of_values(spark, monkeypatch, values):
+    monkeypatch.setattr(A, "ACCURACY", 50)
+    monkeypatch.setattr(A, "FETCH", 100)
+    fetched = []
+    real = A._Bracket.fetched
+    monkeypatch.setattr(A._Bracket, "fetched", lambda self, v: fetched.append(self.inside) or real(self, v))
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    n, qs = A.exact_quantiles(df, "x", (0.1, 0.5, 0.9))
+    assert n == 3000 and all(k <= 100 for k in fetched)
+    assert np.allclose(qs, np.quantile(values, [0.1, 0.5, 0.9]), rtol=1e-12)
+
+
+def test_samples_tell_null_positions_apart_and_cut_ties(spark):
+    df = spark.createDataFrame([("x", None), (None, "x")] + [("t", "t")] * 50, "a string, b string")
+    for n in range(1, 52):
+        if n in (1, 2, 3, 25, 51):
+            assert K.first_n_by_hash(df, n, 3).count() == n
+    a, b = K.balance_samples(df, df.limit(7), 1)
+    assert (a.count(), b.count()) == (7, 7)
+
+
+def test_heads_of_buckets_are_found_through_levels(spark):
+    rows = [(p, o, f"{p}{o}") for p in "ab" for o in (0, 3, 4, 17, 64, 65, 300, 2000, 2001)]
+    df = spark.createDataFrame(rows, "p string, o long, v string")
+    want = {tuple(r) for r in VW.lead_in_order(df, "p", "o", "v", "n", levels=0).collect()}
+    for width in (2, 4, 16):
+        assert {tuple(r) for r in VW.lead_in_order(df, "p", "o", "v", "n", width).collect()} == want
+
+
+def test_every_benchmark_item_is_used(spark):
+    from .conftest import SF001
+    items = VW.table(spark, SF001, "benchmark")
+    used = VW.pairs(spark, SF001).select("rewrite_prompt").distinct()
+    assert used.count() == items.select("text").distinct().count()
+    v = VW.variations(spark, SF001)
+    assert v.select("original").union(v.select("variation")).distinct().count() == items.select("text").distinct().count()
