@@ -7,7 +7,7 @@ Allison & Dix / Hyyro (2004) on Python integers: one pass over ``a`` with
 ``len(b)``-bit vectors, i.e. O(len(a) * len(b) / 64) machine-word steps.
 
 Since LCS <= min(len a, len b), ``200 * min / (len a + len b)`` bounds the
-ratio from above.  ``indel_ratio_expr`` ships a pair to Python only when that
+ratio from above.  ``reaches_ratio_expr`` ships a pair to Python only when that
 bound reaches the caller's threshold; every other row sends two nulls.
 """
 
@@ -43,9 +43,27 @@ def indel_ratio(a: str, b: str) -> float:
     return 100.0 * 2.0 * lcs_length(a, b) / total
 
 
-def ratio_upper_bound(a: str, b: str) -> float:
+def reaches_ratio(a: str, b: str, least: float) -> bool:
+    """Whether ``indel_ratio(a, b) >= least``, without the full table where that is out of reach.
+
+    A common subsequence of the needed length leaves at most ``spare`` characters
+    unmatched, so the first i characters of a match within the first i + spare of
+    b; longer and longer starts of the texts are tried before the whole."""
+    if a == b:
+        return least <= 100.0
+    if len(a) > len(b):
+        a, b = b, a
     total = len(a) + len(b)
-    return 100.0 if total == 0 else 200.0 * min(len(a), len(b)) / total
+    needed = least * total / 200.0
+    if len(a) < needed - 1e-9:
+        return False
+    spare = int(total - 2 * needed) + 1
+    for i in (64, 256, 1024, 4096, 16384):
+        if i >= len(a):
+            break
+        if lcs_length(a[:i], b[: i + spare]) + (len(a) - i) < needed - 1e-9:
+            return False
+    return indel_ratio(a, b) >= least
 
 
 @F.pandas_udf(DoubleType())
@@ -54,23 +72,23 @@ def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def length_bound(a, b) -> Column:
-    """Native upper bound of the ratio from the two lengths."""
-    la = F.length(F.col(a) if isinstance(a, str) else a)
-    lb = F.length(F.col(b) if isinstance(b, str) else b)
-    return F.when(la + lb == 0, F.lit(100.0)).otherwise(
-        F.lit(200.0) * F.least(la, lb) / (la + lb))
-
-
-def indel_ratio_expr(a, b, min_interest: float | None = None) -> Column:
-    """Ratio column.  With ``min_interest`` set, rows whose length bound is
-    below it get the bound instead of the exact ratio (the exact value is
-    then also below ``min_interest``), and never leave the JVM."""
-    ca = F.col(a) if isinstance(a, str) else a
-    cb = F.col(b) if isinstance(b, str) else b
-    if min_interest is None:
-        return indel_ratio_udf(ca, cb)
-    bound = length_bound(ca, cb)
-    needs = bound >= F.lit(float(min_interest))
-    exact = indel_ratio_udf(F.when(needs, ca), F.when(needs, cb))
-    return F.when(needs, exact).otherwise(bound)
+def indel_ratio_expr(a, b) -> Column:
+    """Ratio column."""
+    return indel_ratio_udf(_col(a), _col(b))
+
+
+def reaches_ratio_expr(a, b, least: float) -> Column:
+    """Whether the ratio is at least ``least``; null for null texts.  Pairs whose lengths rule it out stay in the JVM."""
+    ca, cb = _col(a), _col(b)
+    la, lb = F.length(ca), F.length(cb)
+    possible = (la + lb == 0) | (F.lit(200.0) * F.least(la, lb) >= F.lit(float(least)) * (la + lb))
+
+    @F.pandas_udf("boolean")
+    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or t is None else reaches_ratio(s, t, least) for s, t in zip(x, y)], dtype="object")
+
+    return F.when(possible, reaches(F.when(possible, ca), F.when(possible, cb))).otherwise(F.lit(False) & possible)
+
+
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c

@@ -3,8 +3,8 @@
 Quantiles are exact (linear interpolation between order statistics, the
 pandas ``describe`` convention) yet never gather a column into one task:
 ``percentile_approx`` brackets each needed rank, one aggregate counts the
-values below each bracket, and only the distinct values inside the brackets
-(about ``2 * n / accuracy`` each) are brought back.
+values below and inside each bracket, and brackets are narrowed the same way
+until one holds at most ``FETCH`` values or a single one.
 """
 
 from __future__ import annotations
@@ -19,79 +19,85 @@ DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 DESCRIBE_COLUMNS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
-def _order_statistics(values: DataFrame, n: int, ranks: Sequence[int], accuracy: int) -> dict[int, float]:
+ACCURACY = 10_000
+FETCH = 10_000
+
+
+class _Bracket:
+    """Values from ``low`` to ``high``, among them the order statistics ``ranks``; ``below`` values are smaller."""
+
+    def __init__(self, ranks, low=None, high=None, below=0, inside=0):
+        self.ranks, self.low, self.high, self.below, self.inside = ranks, low, high, below, inside
+
+    def holds(self):
+        cond = F.lit(True)
+        if self.low is not None:
+            cond = cond & (F.col("v") >= F.lit(self.low))
+        if self.high is not None:
+            cond = cond & (F.col("v") <= F.lit(self.high))
+        return cond
+
+    def narrowed(self, values: DataFrame) -> list:
+        """Brackets for the ranks' parts: an approximate percentile gives two values around the ranks; what is
+        below, equal to, between and above them are brackets of their own, so every step gets on."""
+        slack = 2 / ACCURACY
+        first, last = (r - self.below for r in (min(self.ranks), max(self.ranks)))
+        probs = [max(0.0, first / self.inside - slack), min(1.0, (last + 1) / self.inside + slack)]
+        here = values.where(self.holds())
+        low, high = here.agg(F.percentile_approx("v", probs, ACCURACY)).first()[0]
+        v = F.col("v")
+        parts = [v < low, v == low, (v > low) & (v < high), v == high, v > high]
+        if low == high:
+            parts[3] = F.lit(False)
+        found = here.agg(*[f(F.when(p, v)) for p in parts for f in (F.count, F.min, F.max)]).first()
+        out, at = [], self.below
+        for k in range(len(parts)):
+            n, lo, hi = found[3 * k:3 * k + 3]
+            ranks = [r for r in self.ranks if at <= r < at + n]
+            if ranks:
+                out.append(_Bracket(ranks, lo, hi, at, n))
+            at += n
+        return out
+
+    def fetched(self, values: DataFrame) -> dict[int, float]:
+        """The order statistics from the values inside, of which there are at most ``FETCH``."""
+        rows = values.where(self.holds()).groupBy("v").count().collect()
+        found, at = {}, self.below
+        for v, c in sorted(map(tuple, rows)):
+            found.update({r: float(v) for r in self.ranks if at <= r < at + c})
+            at += c
+        return found
+
+
+def _order_statistics(values: DataFrame, n: int, ranks: Sequence[int]) -> dict[int, float]:
     """Exact values at 0-based ``ranks`` of column ``v`` (n non-null rows)."""
-    ranks = sorted(set(ranks))
-    slack = 2 * n // accuracy + 2
+    todo = [_Bracket([r], inside=n) for r in sorted(set(ranks))] if n > FETCH else [
+        _Bracket(sorted(set(ranks)), inside=n)]
     result: dict[int, float] = {}
-    pending = list(ranks)
-    widen = 1
-    while pending:
-        if widen > 64:
-            lows = [None] * len(pending)
-            highs = [None] * len(pending)
+    while todo:
+        bracket = todo.pop()
+        if bracket.low is not None and bracket.low == bracket.high:
+            result.update({r: float(bracket.low) for r in bracket.ranks})
+            continue
+        if bracket.inside <= FETCH:
+            result.update(bracket.fetched(values))
         else:
-            probs = []
-            for r in pending:
-                probs.append(max(0.0, (r - widen * slack) / n))
-                probs.append(min(1.0, (r + widen * slack) / n))
-            approx = values.agg(F.percentile_approx("v", probs, accuracy).alias("q")).first()["q"]
-            lows = approx[0::2]
-            highs = approx[1::2]
-        below_cols = [F.sum(F.when(F.col("v") < F.lit(lo), 1).otherwise(0)).alias(f"b{i}")
-                      if lo is not None else F.lit(0).alias(f"b{i}") for i, lo in enumerate(lows)]
-        below = values.agg(*below_cols).first()
-        inside = None
-        for lo, hi in zip(lows, highs):
-            cond = F.lit(True)
-            if lo is not None:
-                cond = cond & (F.col("v") >= F.lit(lo))
-            if hi is not None:
-                cond = cond & (F.col("v") <= F.lit(hi))
-            inside = cond if inside is None else (inside | cond)
-        counted = sorted((row["v"], row["c"]) for row in
-                         values.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("c")).collect())
-        still = []
-        for i, r in enumerate(pending):
-            lo, hi = lows[i], highs[i]
-            pos = int(below[f"b{i}"] or 0)
-            found = None
-            if pos <= r:
-                for v, c in counted:
-                    if (lo is not None and v < lo) or (hi is not None and v > hi):
-                        continue
-                    if r < pos + c:
-                        found = v
-                        break
-                    pos += c
-            if found is None:
-                still.append(r)
-            else:
-                result[r] = float(found)
-        pending = still
-        widen *= 4
+            todo += bracket.narrowed(values)
     return result
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    accuracy: int = 1_000_000) -> tuple[int, list[float | None]]:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> tuple[int, list[float | None]]:
     values = df.select(F.col(col).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan(F.col("v")))
-    n = values.count()
+    return _quantiles(values, values.count(), probs)
+
+
+def _quantiles(values: DataFrame, n: int, probs: Sequence[float]) -> tuple[int, list[float | None]]:
     if n == 0:
         return 0, [None for _ in probs]
-    needed = []
-    for p in probs:
-        h = (n - 1) * p
-        needed += [math.floor(h), min(math.floor(h) + 1, n - 1)]
-    stats = _order_statistics(values, n, needed, accuracy)
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo = math.floor(h)
-        hi = min(lo + 1, n - 1)
-        out.append(stats[lo] + (h - lo) * (stats[hi] - stats[lo]))
-    return n, out
+    ends = [(math.floor((n - 1) * p), min(math.floor((n - 1) * p) + 1, n - 1), (n - 1) * p) for p in probs]
+    stats = _order_statistics(values, n, [r for lo, hi, _ in ends for r in (lo, hi)])
+    return n, [stats[lo] + (h - lo) * (stats[hi] - stats[lo]) for lo, hi, h in ends]
 
 
 # A5
@@ -99,14 +105,15 @@ def describe(df: DataFrame, col: str, spark: SparkSession | None = None) -> Data
     """One row: count, mean, sample std, min, 25/50/75 % (linear), max."""
     spark = spark or df.sparkSession
     # several passes follow: keep the one projected column, not the upstream plan
-    values = df.select(F.col(col).cast("double").alias(col)).where(
-        F.col(col).isNotNull() & ~F.isnan(F.col(col))).persist()
-    basic = values.agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
-                       F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
-                       F.max(col).cast("double").alias("max")).first()
-    _, (p25, p50, p75) = exact_quantiles(values, col, DESCRIBE_PROBS)
-    values.unpersist()
-    row = (int(basic["count"]), basic["mean"], basic["std"], basic["min"], p25, p50, p75, basic["max"])
+    values = df.select(F.col(col).cast("double").alias("v")).where(
+        F.col("v").isNotNull() & ~F.isnan(F.col("v"))).persist()
+    try:
+        n, mean, std, low, high = values.agg(
+            F.count("v"), F.avg("v"), F.stddev_samp("v"), F.min("v"), F.max("v")).first()
+        _, (p25, p50, p75) = _quantiles(values, n, DESCRIBE_PROBS)
+    finally:
+        values.unpersist()
+    row = (int(n), mean, std, low, p25, p50, p75, high)
     return spark.createDataFrame(
         [row], "count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 

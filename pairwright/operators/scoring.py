@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 
-MAX_REFERENCES = 4096
-
 
 # J14
 def score_against_references(df: DataFrame, refs: Sequence[Sequence[float]], vec: str = "embedding",
-                             out: str = "scores", signed: bool = True) -> DataFrame:
-    """Add ``out``: array of (signed) ``cos^3`` of ``vec`` with each reference, in reference order."""
-    if len(refs) > MAX_REFERENCES:
-        raise ValueError(f"{len(refs)} references exceed the inlined limit {MAX_REFERENCES}")
+                             out: str = "scores", signed: bool = True, most: int = 4096) -> DataFrame:
+    """Add ``out``: array of (signed) ``cos^3`` of ``vec`` with each reference, in reference order.
+
+    The references become literals of the plan, so their number is bounded by ``most``."""
+    if len(refs) > most:
+        raise ValueError(f"{len(refs)} references; raise `most` (now {most}) to inline them")
     import math
 
     sharpen = V.sharpened_signed if signed else V.sharpened_abs

@@ -1,5 +1,6 @@
 """T7/T8 JSON from free text; T5/F6 indel ratio against dynamic programming."""
 
+import json
 import random
 
 from hypothesis import given, settings
@@ -62,3 +63,26 @@ def test_length_bound_skips_python(spark):
     rows = [(i, "x" * rng.randint(1, 50), "y" * rng.randint(200, 300)) for i in range(50)]
     df = spark.createDataFrame(rows, "id int, original_text string, rewritten_text string")
     assert FL.reject_near_identical(df).count() == 50
+
+
+def test_cutoff_agrees_with_the_ratio():
+    from pairwright.functions.similarity import indel_ratio, reaches_ratio
+    rng = random.Random(4)
+    for _ in range(300):
+        a = [rng.choice("abcd") for _ in range(rng.randint(0, 400))]
+        b = list(a)
+        for _ in range(rng.randint(0, 30)):
+            k = rng.randint(0, len(b))
+            b[k:k + rng.randint(0, 2)] = rng.choice(["", "x", "ab"])
+        a, b = "".join(a), "".join(b)
+        for least in (80.0, 95.0, 100.0):
+            assert reaches_ratio(a, b, least) == (indel_ratio(a, b) >= least)
+
+
+def test_json_items_are_ascii_and_parse_back(spark):
+    from pairwright.functions.jsonx import to_json_item
+    rows = [("é ü", 'quote " and \\ and \n'), ("漢😀", None), (None, "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [json.loads(r[0]) for r in df.select(to_json_item(x="a", y="b")).collect()]
+    assert got == [{"x": a, "y": b} for a, b in rows]
+    assert all(r[0].isascii() for r in df.select(to_json_item(x="a", y="b")).collect())
