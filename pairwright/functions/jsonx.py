@@ -63,6 +63,6 @@ def parse_field_as(c, key: str, schema: DataType | str) -> Column:
 
 
 def to_json_item(**fields) -> Column:
-    """JSON object text of the given columns, nulls written as null."""
+    """JSON object text of the given columns, nulls written as null, in ASCII (other characters as \\uXXXX)."""
     cols = [(_col(v)).alias(k) for k, v in fields.items()]
-    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"})

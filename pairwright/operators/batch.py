@@ -1,41 +1,39 @@
 """Distributed batch map with an injected function (M1-M8).
 
 ``batch_map`` runs ``fn(list) -> list`` over fixed-size slices of each Arrow
-batch inside ``mapInPandas``.  ``fn`` is built once per partition (pass a
+batch of its input column.  ``fn`` is built once per partition (pass a
 factory for heavy clients or models).  A failing slice yields nulls and an
 error text and the job goes on, like a failed API call in a generation loop.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .. import fixed_values as FV
 from ..functions import jsonx as J
 from ..functions import templates as TPL
 from ..functions import text as T
+from ..session import shared_folder
 
 
 def batch_map(df: DataFrame, in_col: str, fn: Callable | None, out_col: str,
               out_type: str = "string", batch_size: int = 16, error_col: str | None = None,
               fn_factory: Callable[[], Callable] | None = None) -> DataFrame:
+    """``df`` with the function's result for ``in_col``; only that column goes to Python."""
     if fn is None and fn_factory is None:
         raise ValueError("pass fn or fn_factory")
-    dtype = _parse_datatype_string(out_type)
-    fields = list(df.schema.fields) + [StructField(out_col, dtype, True)]
-    if error_col:
-        fields.append(StructField(error_col, _parse_datatype_string("string"), True))
-    schema = StructType(fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"value {out_type}, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         f = fn_factory() if fn_factory is not None else fn
-        for pdf in batches:
-            values = pdf[in_col].tolist()
+        for series in batches:
+            values = series.tolist()
             outs: list = []
             errs: list = []
             for i in range(0, len(values), batch_size):
@@ -49,13 +47,14 @@ def batch_map(df: DataFrame, in_col: str, fn: Callable | None, out_col: str,
                 except Exception as exc:  # a failed call becomes null, the run goes on
                     outs.extend([None] * len(chunk))
                     errs.extend([repr(exc)] * len(chunk))
-            pdf = pdf.copy()
-            pdf[out_col] = pd.Series(outs, index=pdf.index, dtype="object")
-            if error_col:
-                pdf[error_col] = pd.Series(errs, index=pdf.index, dtype="object")
-            yield pdf
+            yield pd.DataFrame({"value": pd.Series(outs, dtype="object"), "error": pd.Series(errs, dtype="object")})
 
-    return df.mapInPandas(run, schema)
+    # explode keeps one call per row however often its fields are used
+    done = df.select("*", F.explode(F.array(run(F.col(in_col)))).alias("_result"))
+    done = done.withColumn(out_col, F.col("_result.value"))
+    if error_col:
+        done = done.withColumn(error_col, F.col("_result.error"))
+    return done.drop("_result")
 
 
 # M1
@@ -123,44 +122,58 @@ def explode_examples(df: DataFrame, reply: str = "generated") -> DataFrame:
 
 def generate_prompts(spark, fns: dict, n_total: int = FV.PROMPTS_TO_GENERATE,
                      per_request: int = FV.PROMPTS_PER_REQUEST, sink: str | None = None) -> DataFrame:
-    """Request prompt descriptions until ``n_total`` rows exist (may overshoot)."""
+    """Request prompt descriptions until ``n_total`` rows exist (may overshoot).
+
+    Every round is appended to ``sink`` (by default a folder of its own in the shared folder) and
+    counted there, so each request is made once.  A round that adds no row raises an error that
+    says how many there are; a later call goes on from them."""
     from ..sources.resumable import append_new_rows, read_or_empty
 
-    have = read_or_empty(spark, sink, None).count() if sink else 0
-    produced = None
-    rounds = 0
-    while have < n_total and rounds < 1000:
-        missing = n_total - have
-        n_requests = -(-missing // (per_request * len(fns)))
+    sink = sink or f"{shared_folder(spark)}/prompts-{uuid.uuid4().hex}"
+    have = read_or_empty(spark, sink, None).count()
+    while have < n_total:
+        n_requests = -(-(n_total - have) // (per_request * len(fns)))
         reqs = prompt_requests(spark, n_requests, per_request, tuple(fns))
-        parts = [batch_generate(reqs.where(F.col("model") == m), "request", f, 1) for m, f in fns.items()]
-        gen = parts[0]
-        for p in parts[1:]:
-            gen = gen.unionByName(p)
-        rows = explode_examples(gen)
-        if sink:
-            append_new_rows(rows, sink)
-            have = read_or_empty(spark, sink, None).count()
-        else:
-            produced = rows if produced is None else produced.unionByName(rows)
-            have += rows.count()
-        rounds += 1
-        if n_requests > 0 and have == 0:
-            break
-    return read_or_empty(spark, sink, None) if sink else produced
+        append_new_rows(explode_examples(_by_model(reqs, "request", fns, 1, "generated")), sink)
+        before, have = have, read_or_empty(spark, sink, None).count()
+        if have == before:
+            raise RuntimeError(f"a round of {n_requests} requests per model gave no prompt; {have} of {n_total} are in {sink}")
+    return read_or_empty(spark, sink, None)
+
+
+def _by_model(requests: DataFrame, in_col: str, fns: dict, batch_size: int, out_col: str) -> DataFrame:
+    """One pass over ``requests`` (with a ``model`` column): each row goes to its model's function."""
+    names = F.struct(F.col("model").alias("model"), F.col(in_col).alias("text"))
+
+    def run(rows: list) -> list:
+        out = [None] * len(rows)
+        for model in fns:
+            own = [i for i, r in enumerate(rows) if r is not None and r["model"] == model]
+            for at in range(0, len(own), batch_size):
+                part = own[at:at + batch_size]
+                try:
+                    replies = list(fns[model]([rows[i]["text"] for i in part]))
+                except Exception:  # a failed call becomes null, the run goes on
+                    continue
+                if len(replies) == len(part):
+                    for i, reply in zip(part, replies):
+                        out[i] = reply
+        return out
+
+    @F.pandas_udf("string")
+    def call(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(run(rows.to_dict("records")), dtype="object")
+
+    return requests.select("*", F.explode(F.array(call(names))).alias(out_col))
 
 
 # M4
 def generate_texts(prompts: DataFrame, fns: dict, batch_size: int = 1) -> DataFrame:
     """One text per (description, model); rows without text are dropped."""
+    from .joins import cross_models
+
     req = prompts.withColumn("_req", TPL.text_from_description_request(F.to_json("input_characteristics")))
-    parts = []
-    for model, f in fns.items():
-        g = batch_generate(req.withColumn("model", F.lit(model)), "_req", f, batch_size, "original_text", None)
-        parts.append(g)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _by_model(cross_models(req.drop("model"), tuple(fns)), "_req", fns, batch_size, "original_text")
     return out.where(F.col("original_text").isNotNull() & (F.col("original_text") != "")).drop("_req")
 
 

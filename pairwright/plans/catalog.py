@@ -167,24 +167,33 @@ def q_render_chat(spark, sf):
     return pairs(spark, sf).select("id", TPL.chat_prompt("rewrite_prompt", "original_text").alias("request"))
 
 
-_INPUT_JSON_SQL = "CAST(json_object('original_text', original_text, 'rewritten_text', rewritten_text) AS VARCHAR)"
-_OUTPUT_JSON_SQL = "CAST(json_object('prompt', rewrite_prompt) AS VARCHAR)"
+_INPUT_JSON_SQL = S.ascii_json("CAST(json_object('original_text', original_text, 'rewritten_text', rewritten_text) AS VARCHAR)")
+_OUTPUT_JSON_SQL = S.ascii_json("CAST(json_object('prompt', rewrite_prompt) AS VARCHAR)")
 
 
-@query("training_items", PAIRS_V + f"SELECT id, {_INPUT_JSON_SQL} AS input, {_OUTPUT_JSON_SQL} AS output "
-       f"FROM pairs WHERE {NN}")
-def q_training_items(spark, sf):
+def _training_items(spark, sf):
     return full_pairs(spark, sf).select(
         "id", J.to_json_item(original_text="original_text", rewritten_text="rewritten_text").alias("input"),
         J.to_json_item(prompt="rewrite_prompt").alias("output"))
 
 
+# parsed values are compared, and that the JSON text is ASCII
+@query("training_items", PAIRS_V + "SELECT id, original_text, rewritten_text, rewrite_prompt AS prompt, true AS is_ascii "
+       f"FROM pairs WHERE {NN}")
+def q_training_items(spark, sf):
+    both = F.concat("input", "output")
+    i, o = (F.from_json(c, "original_text string, rewritten_text string, prompt string") for c in ("input", "output"))
+    return _training_items(spark, sf).select(
+        "id", i["original_text"].alias("original_text"), i["rewritten_text"].alias("rewritten_text"),
+        o["prompt"].alias("prompt"), (F.length(both) == F.octet_length(both)).alias("is_ascii"))
+
+
 _TRAIN_TEXT_SQL = S.render(FV.TRAINING_TEMPLATE, input=_INPUT_JSON_SQL, output=_OUTPUT_JSON_SQL)
 
 
 @query("render_training", PAIRS_V + f"SELECT id, {_TRAIN_TEXT_SQL} AS text FROM pairs WHERE {NN}")
 def q_render_training(spark, sf):
-    items = q_training_items(spark, sf)
+    items = _training_items(spark, sf)
     return items.select("id", TPL.training_text("input", "output").alias("text"))
 
 
@@ -253,11 +262,12 @@ def q_reject_boilerplate(spark, sf):
     return FL.reject_boilerplate(pairs(spark, sf), "rewritten_text", ("license", "sure", "here is")).select("id")
 
 
-@query("reject_identical", PAIRS_V + f"SELECT id FROM pairs WHERE {NN} AND " +
+# a third of the rows get the original as their rewritten text
+@query("reject_identical", PAIRS_V + f"SELECT id FROM pairs WHERE {NN} AND id % 3 <> 0 AND " +
        S.strip_preamble("rewritten_text") + " <> original_text")
 def q_reject_identical(spark, sf):
-    p = full_pairs(spark, sf).withColumn("rewritten_text", T.strip_preamble("rewritten_text"))
-    return FL.reject_identical(p).select("id")
+    echo = F.when(F.col("id") % 3 == 0, F.col("original_text")).otherwise(T.strip_preamble("rewritten_text"))
+    return FL.reject_identical(full_pairs(spark, sf).withColumn("rewritten_text", echo)).select("id")
 
 
 @query("reject_redundant", "SELECT doc_id FROM documents WHERE " +
@@ -266,10 +276,13 @@ def q_reject_redundant(spark, sf):
     return FL.reject_redundant_prompt(VW.table(spark, sf, "documents"), "text").select("doc_id")
 
 
-@query("reject_blank", PAIRS_V + "SELECT id FROM pairs WHERE coalesce(" + S.strip("rewrite_prompt") +
+# a quarter of the prompts are blanked
+@query("reject_blank", PAIRS_V + "SELECT id FROM pairs WHERE id % 4 <> 0 AND coalesce(" + S.strip("rewrite_prompt") +
        " <> '', true) AND coalesce(" + S.strip("rewritten_text") + " <> '', true)")
 def q_reject_blank(spark, sf):
-    return FL.reject_blank(pairs(spark, sf), ["rewrite_prompt", "rewritten_text"]).select("id")
+    blanked = F.when(F.col("id") % 4 == 0, F.lit(" \n\t")).otherwise(F.col("rewrite_prompt"))
+    p = pairs(spark, sf).withColumn("rewrite_prompt", blanked)
+    return FL.reject_blank(p, ["rewrite_prompt", "rewritten_text"]).select("id")
 
 
 @query("filter_max_tokens", f"SELECT doc_id, {S.token_count('text')} AS n_tokens FROM documents "
@@ -426,10 +439,11 @@ def q_remove_leaks(spark, sf):
     return JN.remove_leaks(held, JN.train_keys(lab)).select("id")
 
 
+# only the variations at position 0 are known
 @query("keep_known_prompts", PAIRS_VAR_V + "SELECT id FROM pairs WHERE rewrite_prompt IN "
-       "(SELECT original FROM variations UNION SELECT variation FROM variations)")
+       "(SELECT original FROM variations WHERE pos = 0 UNION SELECT variation FROM variations WHERE pos = 0)")
 def q_keep_known_prompts(spark, sf):
-    return JN.keep_known_prompts(pairs(spark, sf), VW.variations(spark, sf)).select("id")
+    return JN.keep_known_prompts(pairs(spark, sf), VW.variations(spark, sf).where("pos = 0")).select("id")
 
 
 @query("known_prompts", S.with_views(S.VARIATIONS) + "SELECT DISTINCT prompt FROM (SELECT original AS prompt FROM variations "
@@ -528,7 +542,7 @@ def q_cross_instructions(spark, sf):
         "original", "pos", TPL.variation_request("original", "instruction").alias("request"))
 
 
-_DESC_SQL = "CAST(json_object('type', lang, 'domain', source) AS VARCHAR)"
+_DESC_SQL = S.ascii_json("CAST(json_object('type', lang, 'domain', source) AS VARCHAR)")
 
 
 @query("cross_models", "SELECT doc_id, m.model, " + S.strip(S.render(FV.TEXT_FROM_DESCRIPTION_TEMPLATE, json_input=_DESC_SQL))
@@ -616,13 +630,13 @@ def q_stage_counts(spark, sf):
 # =================================================================== sampling (K*)
 _SAMPLE_SQL = (S.with_views(S.PAIRS, S.VARIATIONS, _CLUSTER_PROMPTS_SQL) +
                "SELECT DISTINCT prompt FROM (SELECT prompt, row_number() OVER (PARTITION BY cluster ORDER BY " +
-               S.md5_key(SEED, ["prompt"]) + ", prompt) AS rn FROM cluster_prompts) t WHERE rn <= 30")
+               S.md5_key(SEED, ["prompt"]) + ", prompt) AS rn FROM cluster_prompts) t WHERE rn <= 2")
 
 
 @query("sample_per_group", _SAMPLE_SQL)
 def q_sample_per_group(spark, sf):
     cp = JN.cluster_prompts(pairs(spark, sf), VW.variations(spark, sf))
-    return K.sample_per_group(cp, "cluster", "prompt", FV.PROMPTS_PER_CLUSTER, SEED)
+    return K.sample_per_group(cp, "cluster", "prompt", 2, SEED)  # small enough to cut the clusters
 
 
 _PC = ["id", "original_text", "rewrite_prompt", "rewritten_text", "cluster", "split"]
@@ -779,9 +793,9 @@ def reverse_words(texts: list[str]) -> list[str]:
 
 
 def echo_prompt_json(texts: list[str]) -> list[str]:
-    """Deterministic stand-in predictor: a JSON reply quoting the last input line."""
+    """Deterministic stand-in predictor: a JSON reply with the words of the whole input reversed."""
     import json
-    return ["Here you go: " + json.dumps({"prompt": t.strip().split("\n")[-1][:80]}) for t in texts]
+    return ["Here you go: " + json.dumps({"prompt": " ".join(reversed(t.split()))}) for t in texts]
 
 
 @query("batch_generate")
@@ -805,6 +819,22 @@ def q_rewrite_worklist(spark, sf):
         "original_text", "rewrite_prompt", "cluster", "is_selected", "order_key")
 
 
+_EVALUATE_SQL = _EVAL_SET_SQL.replace("\nSELECT * FROM u WHERE", ",\nes AS (SELECT * FROM u WHERE", 1) + f"""),
+enc AS (SELECT *, {_letters_sql('rewrite_prompt')} AS va, {_letters_sql(S.lit(FV.BASELINE_MEAN_PROMPT))} AS vp FROM es),
+un AS (SELECT *, coalesce({_unit_sql('va')}, va) AS ua, coalesce({_unit_sql('vp')}, vp) AS up FROM enc),
+scored AS (SELECT abs(pow({S.cosine('ua', 'up', 26)}, 3)) AS score, cluster FROM un)
+""" + ("SELECT 'score' AS measure, * FROM (" + _describe_sql("scored", "score") + ") UNION ALL SELECT 'cluster_score', * FROM ("
+       + _describe_sql("(SELECT cluster, avg(score) AS score FROM scored GROUP BY cluster) m", "score") + ")")
+
+
+# the whole of P6: evaluation set, predictor, encoder, scores and both summaries
+@query("evaluate", _EVALUATE_SQL)
+def q_evaluate(spark, sf):
+    done = P.evaluate(q_evaluation_set(spark, sf).drop("split"), M.constant_prediction, SC.letter_profile)
+    parts = [_round_describe(done[k]).withColumn("measure", F.lit(k)) for k in ("score", "cluster_score")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("encode_hashing")
 def q_encode_hashing(spark, sf):
     e = SC.encode_hashing(pairs(spark, sf).select("id", "rewrite_prompt"), "rewrite_prompt", num_features=256)

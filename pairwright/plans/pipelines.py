@@ -26,6 +26,8 @@ from ..operators import joins as JN
 from ..operators import sampling as K
 from ..operators import scoring as SC
 from ..operators import selection as SEL
+from ..session import written
+from ..sources.files import write_csv
 
 PAIR_COLUMNS = ("id", "original_text", "rewrite_prompt", "rewritten_text", "cluster")
 
@@ -40,7 +42,7 @@ def clean_pairs(df: DataFrame, reject_any_words: Sequence[str] = FV.REJECT_ANY_W
     out = FL.reject_if_contains_any(out, "rewrite_prompt", reject_any_words)
     for group in word_groups[1:]:
         out = FL.reject_if_contains_all(out, "rewrite_prompt", group)
-    out = out.withColumn("rewritten_text", T.strip_preamble("rewritten_text"))
+    out = strip_once(out)
     out = FL.reject_identical(out, "rewritten_text", "original_text")
     out = FL.reject_boilerplate(out, "rewritten_text", phrases)
     out = FL.reject_near_identical(out, "original_text", "rewritten_text", max_ratio)
@@ -50,17 +52,27 @@ def clean_pairs(df: DataFrame, reject_any_words: Sequence[str] = FV.REJECT_ANY_W
     return out.withColumn("rewritten_text", T.ustrip("rewritten_text"))
 
 
+def strip_once(df: DataFrame, col: str = "rewritten_text") -> DataFrame:
+    """``strip_preamble`` on ``col``, evaluated once per row: the filters that follow
+    test the output of a generator, through which Catalyst doesn't push them."""
+    kept = [c for c in df.columns if c != col]
+    out = df.select(*kept, F.explode(F.array(T.strip_preamble(col))).alias(col))
+    return out.select(*df.columns)
+
+
 def stage_flags(df: DataFrame, reject_any_words: Sequence[str] = FV.REJECT_ANY_WORDS,
                 word_groups: Sequence[Sequence[str]] = FV.REJECT_ALL_WORD_GROUPS,
                 phrases: Sequence[str] = FV.BOILERPLATE_PHRASES,
-                max_ratio: float | None = FV.NEAR_IDENTICAL_MAX_RATIO) -> list[tuple[str, object]]:
+                max_ratio: float | None = FV.NEAR_IDENTICAL_MAX_RATIO,
+                stripped: str = "_stripped") -> list[tuple[str, object]]:
     """Per-row "passes stage" conditions of P1's filters, in order
-    (``max_ratio=None`` leaves out the near-identity stage)."""
+    (``max_ratio=None`` leaves out the near-identity stage); ``stripped`` names
+    the column with the rewritten text less its preamble."""
     nn = F.lit(True)
     for c in df.columns:
         nn = nn & F.col(c).isNotNull()
     prompt = F.col("rewrite_prompt")
-    stripped = T.strip_preamble("rewritten_text")
+    stripped = F.col(stripped)
     fl = [("drop_null_rows", nn),
           ("reject_translate", ~T.contains_all_ci(prompt, word_groups[0])),
           ("reject_words", ~T.contains_any_literal(prompt, reject_any_words))]
@@ -84,7 +96,7 @@ def stage_counts(df: DataFrame, **kw) -> DataFrame:
         cum = cum & F.coalesce(cond, F.lit(False))
         aggs.append(F.sum(F.when(cum, 1).otherwise(0)).cast("long").alias(f"s{i}"))
     names = ["input"] + [n for n, _ in flags]
-    row = df.agg(*aggs)
+    row = df.select("*", F.explode(F.array(T.strip_preamble("rewritten_text"))).alias("_stripped")).agg(*aggs)
     stack = ", ".join(f"{i}, '{n}', s{i}" for i, n in enumerate(names))
     return row.selectExpr(f"stack({len(names)}, {stack}) as (stage_no, stage, rows)")
 
@@ -123,8 +135,9 @@ def evaluation_set(old: DataFrame, new: DataFrame, splits: DataFrame, seed=1,
     if not literal:
         o = o.where(F.col("split") != F.lit(FV.DEFAULT_SPLIT))
         n = n.where(F.col("split") != F.lit(FV.DEFAULT_SPLIT))
-    o = JN.remove_leaks(o, *train)
-    n = JN.remove_leaks(n, *train)
+    # each side is used for a histogram and then for the cut: write it once
+    o = written(JN.remove_leaks(o, *train), "old_side")
+    n = written(JN.remove_leaks(n, *train), "new_side")
     o_s, n_s = K.balance_samples(o, n, seed)
     out = D.distinct_rows(D.union_all(n_s, o_s))
     out = FL.drop_null_rows(out)
@@ -153,9 +166,13 @@ def evaluate_rows(eval_set: DataFrame, predictor: Callable = M.constant_predicti
 
 
 def evaluate(eval_set: DataFrame, predictor: Callable = M.constant_prediction,
-             encoder: Callable | None = None) -> dict:
+             encoder: Callable | None = None, path: str | None = None) -> dict:
+    """Rows with their scores and the two summaries (frames); the rows are written once, as Parquet
+    into the shared folder and, with ``path``, as CSV."""
     rows, _ = evaluate_rows(eval_set, predictor, encoder)
-    rows = rows.persist()
+    rows = written(rows, "evaluation")
+    if path:
+        write_csv(rows, path)
     return {"rows": rows, "score": A.describe(rows, "score"),
             "cluster_score": A.describe_by_cluster(rows, "score", "cluster")}
 

@@ -1,11 +1,13 @@
-"""Session construction and the shared checkpoint folder."""
+"""Session construction, the shared folder and shipping the package to executors."""
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: adaptive execution (runtime broadcast of small
 # sides, skew-join splitting, partition coalescing) and Arrow for pandas UDFs.
@@ -37,16 +39,41 @@ def get_session(master: str | None = None, app_name: str = "pairwright",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+_own_folder: dict[str, str] = {}
 
-    On a cluster this setting names a shared folder and is only read.  When it
-    is unset (local tests) a fresh scratch folder is created and registered.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="pairwright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session gets a temporary folder and a cluster
+    uses its warehouse, which is shared as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        _own_folder[app] = (tempfile.mkdtemp(prefix="pairwright-") if local
+                            else spark.conf.get("spark.sql.warehouse.dir"))
+    return _own_folder[app].rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the shared folder and read from there: several jobs can use it
+    without computing it again, and a lost executor costs no earlier stage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions whose workers don't have it on their path."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    marker = f"pairwright-shipped-{spark.sparkContext.applicationId}"
+    if marker in _own_folder:
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="pairwright-pkg-"), "pairwright")
+    archive = shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+    _own_folder[marker] = archive

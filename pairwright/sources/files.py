@@ -6,14 +6,14 @@ read once and should be landed as Parquet for every later job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 PAIR_SCHEMA = ("id string, original_text string, rewrite_prompt string, "
                "rewritten_text string, cluster int")
 
-# Strings a pandas CSV reader turns into missing values (besides the empty field).
+# Strings a pandas CSV reader turns into missing values (besides the empty field).
 NA_STRINGS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
               "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -28,21 +28,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
 # S1
 def read_pairs_csv(spark: SparkSession, path: str, schema: str | StructType = PAIR_SCHEMA,
                    na_values=NA_STRINGS) -> DataFrame:
-    """Header CSV with quoted multi-line fields and doubled quotes; NA strings -> null."""
+    """Header CSV with quoted multi-line fields and doubled quotes; NA strings -> null.
+
+    Columns are found by their name in the header, in any order; others are
+    left out.  Whole numbers may be written with a fraction of zero ("3.0");
+    a value that is not of its column's type becomes null."""
     raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-           .schema(_string_schema(spark, schema)).csv(path))
-    typed = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
-    cols = []
-    for f in typed.fields:
-        c = F.when(F.col(f.name).isin(list(na_values)), None).otherwise(F.col(f.name))
-        cols.append(c.cast(f.dataType).alias(f.name))
-    return raw.select(*cols)
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    typed = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    return raw.select(*[_parsed(F.when(~F.col(f.name).isin(list(na_values)), F.col(f.name)), f) for f in typed.fields])
 
 
-def _string_schema(spark, schema) -> StructType:
-    typed = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
-    return StructType([StructField(f.name, StringType(), True) for f in typed.fields])
+def _parsed(text: Column, field: StructField) -> Column:
+    if not isinstance(field.dataType, IntegralType):
+        return text.try_cast(field.dataType).alias(field.name)
+    number = text.try_cast("double")
+    whole = F.coalesce(text.try_cast(field.dataType), F.when(number == F.rint(number), number.try_cast(field.dataType)))
+    return whole.alias(field.name)
 
 
 # S2
@@ -86,13 +88,10 @@ def read_split_map_json(spark: SparkSession, path: str) -> DataFrame:
 # S6
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .option("quoteAll", False).csv(path))
 
 
 # S7
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
-
-
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)

@@ -38,9 +38,10 @@ def append_new_rows(df: DataFrame, path: str) -> None:
 
 
 def append_results(spark: SparkSession, inputs: DataFrame, path: str, key: Sequence[str] | str,
-                   compute) -> DataFrame:
+                   compute, error_col: str | None = None) -> DataFrame:
     """Compute ``compute(pending_inputs)`` for keys missing from ``path``,
-    append them, and return the whole sink."""
-    todo = pending(spark, inputs, path, key)
-    append_new_rows(compute(todo), path)
+    append them, and return the whole sink.  Rows with an error text in
+    ``error_col`` are not written, so the next run tries them again."""
+    rows = compute(pending(spark, inputs, path, key))
+    append_new_rows(rows if error_col is None else rows.where(F.col(error_col).isNull()).drop(error_col), path)
     return spark.read.parquet(path)

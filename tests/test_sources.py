@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pairwright.sources import files as S
 from pairwright.sources import resumable as R
+from pairwright.sources.files import read_pairs_csv, write_csv
+from pairwright.sources.resumable import append_results
 
 
 def test_read_pairs_csv(spark, scratch):
@@ -59,3 +61,27 @@ def test_write_and_resumable_append(spark, scratch):
     S.write_csv(full, csv_out)
     back = spark.read.option("header", True).csv(csv_out)
     assert back.count() == 10
+
+
+def test_csv_columns_by_header_and_whole_numbers_with_a_fraction(spark, scratch):
+    path = f"{scratch}/pairs.csv"
+    with open(path, "w") as f:
+        f.write("cluster,extra,rewrite_prompt,original_text,rewritten_text,id\n3.0,e,p,o,r,1\n,e,NA,o2,r2,2\n2.5,e,p,o,r,3\nx,e,p,o,r,4\n")
+    got = {r["id"]: tuple(r) for r in read_pairs_csv(spark, path).collect()}
+    assert got["1"] == ("1", "o", "p", "r", 3) and got["2"] == ("2", "o2", None, "r2", None)
+    assert got["3"][4] is None and got["4"][4] is None
+
+
+def test_csv_round_trip_keeps_spaces_newlines_and_quotes(spark, scratch):
+    rows = [("1", " pad ", 'quote " in', "line\nbreak", 1), ("2", "\ttab\t", "a,b", "\\", 2), ("3", None, "x", "  ", None)]
+    df = spark.createDataFrame(rows, "id string, original_text string, rewrite_prompt string, rewritten_text string, cluster int")
+    write_csv(df, f"{scratch}/out")
+    assert sorted(map(tuple, read_pairs_csv(spark, f"{scratch}/out").collect())) == sorted(rows)
+
+
+def test_failed_rows_are_tried_again(spark, scratch):
+    inputs = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    path = f"{scratch}/sink"
+    flaky = lambda todo: todo.withColumn("error", F.when(F.col("id") % 2 == 0, "failed"))
+    assert append_results(spark, inputs, path, "id", flaky, "error").count() == 3
+    assert append_results(spark, inputs, path, "id", lambda t: t.withColumn("error", F.lit(None).cast("string")), "error").count() == 6
