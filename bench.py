@@ -22,7 +22,8 @@ from pairwright.plans import catalog as C  # noqa: E402
 from pairwright.session import get_session  # noqa: E402
 
 HEADLINE = ("clean_pairs", "build_final", "stage_counts", "evaluation_set", "score_describe",
-            "reference_scores", "training_set", "indel_ratio", "cluster_prompts", "dedupe_keep_first")
+            "reference_scores", "training_set", "indel_ratio", "cluster_prompts", "dedupe_keep_first",
+            "evaluate", "greedy_profile_match", "select_prompts")
 
 
 def run(df) -> None:

@@ -1,11 +1,11 @@
 """Greedy selection of prompts whose mean score profile matches a target (K5, K7, K8).
 
-The driver keeps only the selection state: chosen ids (bounded by the
-desired size), the running sum of their score vectors and the seeds tried.
-Each greedy step is one distributed aggregate over the candidate table:
-``min(struct(new_max_energy, id, scores))``, planned as a partial aggregate
-per partition plus a single-row final merge, so no candidate list ever
-reaches the driver.
+The driver keeps only the selection state: the ids chosen so far, the running
+sum of their score vectors and the place of the last seed in the seed order.
+One distributed scan serves all seed trajectories that are grown side by side:
+every partition returns its lowest-energy candidates per state, a second stage
+reduces them to one short list per state, and only those lists reach the
+driver, which takes every step that the lists prove to be the greedy one.
 
 Energy of a mean profile ``avg``: ``max_r |target_r - avg_r|``.
 """
@@ -45,13 +45,6 @@ def best_candidate(candidates: DataFrame, total: Sequence[float], n: int, target
     return None if best is None else (best["energy"], best["id"], list(best["scores"]))
 
 
-def _next_seed(candidates: DataFrame, used: Sequence[int], seed, id_col: str, scores: str):
-    pool = candidates.where(~F.col(id_col).isin(list(used))) if used else candidates
-    row = pool.agg(F.min(F.struct(hash_key(seed, [id_col]).alias("h"), F.col(id_col).alias("id"),
-                                  F.col(scores).alias("scores"))).alias("s")).first()["s"]
-    return None if row is None else (row["id"], list(row["scores"]))
-
-
 def _energies(total: np.ndarray, n: int, target: np.ndarray, vecs: np.ndarray) -> np.ndarray:
     return np.abs(target - (total + vecs) / (n + 1)).max(axis=1)
 
@@ -61,8 +54,9 @@ def _scan(candidates: DataFrame, states, target, per_partition: int, id_col: str
 
     ``states`` is a list of ``(key, total, n, excluded_ids)``.  For each state
     every partition returns its ``per_partition`` lowest-energy candidates
-    (ties: lowest id), the lowest energy among its other candidates and its
-    candidate count; each partition also reports its largest |score|."""
+    (ties: lowest id), the lowest energy among its other candidates, its
+    candidate count and its largest |score|; a task per state reduces them to
+    as many candidates and one such summary."""
     tgt = np.asarray(target, dtype=float)
     prepared = [(key, np.asarray(total, dtype=float), n, np.asarray(sorted(ex), dtype=np.int64))
                 for key, total, n, ex in states]
@@ -103,8 +97,17 @@ def _scan(candidates: DataFrame, states, target, per_partition: int, id_col: str
             out["scores"] += [list(x) for x in kv] + [[vmax]]
         yield pd.DataFrame(out)
 
-    rows = candidates.select(id_col, scores).mapInPandas(
-        run, "state long, kind string, energy double, id long, scores array<double>").collect()
+    schema = "state long, kind string, energy double, id long, scores array<double>"
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = pdf[pdf["kind"] == "best"].sort_values(["energy", "id"])
+        rest = pdf[pdf["kind"] == "summary"]
+        bound = min(rest["energy"].min(), best["energy"].iloc[k] if len(best) > k else np.inf)
+        summary = pd.DataFrame({"state": pdf["state"].iloc[:1], "kind": "summary", "energy": bound, "id": rest["id"].sum(),
+                                "scores": [[max(v[0] for v in rest["scores"])]]})
+        return pd.concat([best.iloc[:k], summary])
+
+    rows = candidates.select(id_col, scores).mapInPandas(run, schema).groupBy("state").applyInPandas(reduce, schema).collect()
     result = {}
     for key, *_ in prepared:
         mine = [r for r in rows if r["state"] == key]
@@ -187,12 +190,14 @@ class _Trajectory:
             self.status = "ok" if (current <= tolerance or n >= desired_len) else "fail"
 
 
-def _seed_batch(pool: DataFrame, used: Sequence[int], seed, count: int, id_col: str, scores: str):
-    rest = pool.where(~F.col(id_col).isin(list(used))) if used else pool
-    rows = (rest.select(hash_key(seed, [id_col]).alias("_h"), F.col(id_col).alias("id"),
-                        F.col(scores).alias("scores"))
-                .orderBy("_h", "id").limit(count).collect())
-    return [(r["id"], np.asarray(r["scores"], dtype=float)) for r in rows]
+def _seed_batch(pool: DataFrame, after, seed, count: int, id_col: str, scores: str):
+    """The next ``count`` seeds behind the place ``after`` (hash, id) of the seed order, and the new place."""
+    keyed = pool.select(hash_key(seed, [id_col]).alias("_h"), F.col(id_col).alias("id"), F.col(scores).alias("scores"))
+    if after is not None:
+        keyed = keyed.where((F.col("_h") > after[0]) | ((F.col("_h") == after[0]) & (F.col("id") > after[1])))
+    rows = keyed.orderBy("_h", "id").limit(count).collect()
+    place = (rows[-1]["_h"], rows[-1]["id"]) if rows else after
+    return [(r["id"], np.asarray(r["scores"], dtype=float)) for r in rows], place
 
 
 @dataclass
@@ -209,7 +214,7 @@ def greedy_profile_match(candidates: DataFrame, target: Sequence[float] = FV.TAR
                          desired_len: int = FV.SELECTION_SIZE, seed=0,
                          id_col: str = "id", scores: str = "scores",
                          trace: GreedyTrace | None = None, exclude: Sequence[int] = (),
-                         per_partition: int = 8, parallel_seeds: int = 128) -> list[int] | None:
+                         per_partition: int = 1024, parallel_seeds: int = 16) -> list[int] | None:
     """One greedy cluster: start from a seeded random candidate, repeatedly add
     the candidate giving the lowest new max energy while it is lower than the
     current energy or below ``tolerance``.  When none qualifies, return the
@@ -224,17 +229,16 @@ def greedy_profile_match(candidates: DataFrame, target: Sequence[float] = FV.TAR
     tgt = np.asarray(target, dtype=float)
     base = set(exclude)
     pool = candidates.where(~F.col(id_col).isin(sorted(base))) if base else candidates
-    used: list[int] = []
+    place = None
     active: list[_Trajectory] = []
     seeds_left = True
     key = 0
     while True:
         if seeds_left and len(active) < parallel_seeds:
-            fresh = _seed_batch(pool, used, seed, parallel_seeds - len(active), id_col, scores)
+            fresh, place = _seed_batch(pool, place, seed, parallel_seeds - len(active), id_col, scores)
             if len(fresh) < parallel_seeds - len(active):
                 seeds_left = False
             for sid, vec in fresh:
-                used.append(sid)
                 active.append(_Trajectory(key, sid, vec[:len(tgt)], base))
                 key += 1
         if not active:

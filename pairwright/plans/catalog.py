@@ -27,6 +27,7 @@ from ..operators import joins as JN
 from ..operators import sampling as K
 from ..operators import scoring as SC
 from ..operators import selection as SEL
+from ..session import written
 from ..sources import views as VW
 from . import pipelines as P
 from . import sql as S
@@ -405,17 +406,26 @@ def q_best_candidate(spark, sf):
     return spark.createDataFrame([(int(best[1]), round(best[0], 6))], "id long, energy double")
 
 
+# The target is the mean profile of a seeded part of the candidates and the tolerance a quarter of its
+# distance from the mean of all, so that clusters exist, some seeds fail and not everything is absorbed.
+TARGET_SHARE, CLOSENESS = 1 / 64, 0.25
+
+
+def _selectable(spark, sf):
+    s = written(_scores(spark, sf).select(F.col("vec_id").alias("id"), "scores"), "candidates")
+    target, tolerance = P.sampled_target(s, TARGET_SHARE, CLOSENESS, SEED) or (FV.TARGET_SCORES, FV.SELECTION_TOLERANCE)
+    return s, target, tolerance
+
+
 @query("greedy_profile_match")
 def q_greedy_profile_match(spark, sf):
-    s = _scores(spark, sf).select(F.col("vec_id").alias("id"), "scores").persist()
-    ids = SEL.greedy_profile_match(s, FV.TARGET_SCORES, FV.SELECTION_TOLERANCE, FV.SELECTION_SIZE, SEED) or []
+    ids = SEL.greedy_profile_match(*_selectable(spark, sf), FV.SELECTION_SIZE, SEED) or []
     return spark.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "step int, id long")
 
 
 @query("select_until")
 def q_select_until(spark, sf):
-    s = _scores(spark, sf).select(F.col("vec_id").alias("id"), "scores")
-    ids = SEL.select_until(s, FV.TARGET_SCORES, FV.SELECTION_TOLERANCE, FV.SELECTION_SIZE, SEED)
+    ids = SEL.select_until(*_selectable(spark, sf), FV.SELECTION_SIZE, SEED)
     return spark.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "rank int, id long")
 
 
@@ -784,7 +794,8 @@ def q_training_set(spark, sf):
 
 @query("select_prompts")
 def q_select_prompts(spark, sf):
-    return P.select_prompts(pairs(spark, sf), VW.variations(spark, sf), size=40, seed=SEED)
+    return P.select_prompts(pairs(spark, sf), VW.variations(spark, sf), seed=SEED,
+                            target_share=TARGET_SHARE, closeness=CLOSENESS)
 
 
 def reverse_words(texts: list[str]) -> list[str]:
@@ -798,7 +809,8 @@ def echo_prompt_json(texts: list[str]) -> list[str]:
     return ["Here you go: " + json.dumps({"prompt": " ".join(reversed(t.split()))}) for t in texts]
 
 
-@query("batch_generate")
+@query("batch_generate", PAIRS_V + "SELECT id, array_to_string(list_reverse(" + S.ws_split(_CHAT_SQL) + "), ' ') AS generated, "
+       "CAST(NULL AS VARCHAR) AS error FROM pairs WHERE original_text IS NOT NULL")
 def q_batch_generate(spark, sf):
     req = pairs(spark, sf).where(F.col("original_text").isNotNull()).select(
         "id", TPL.chat_prompt("rewrite_prompt", "original_text").alias("request"))

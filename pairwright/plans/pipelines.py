@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
@@ -197,21 +197,42 @@ def training_set(final: DataFrame, splits: DataFrame, max_size: int | None = Non
 
 
 # ------------------------------------------------------------------ P3
+def sampled_target(scored: DataFrame, share: float, closeness: float, seed=0) -> tuple[list[float], float] | None:
+    """Mean profile of the candidates whose seeded hash is below ``share`` (None if there are none), and
+    ``closeness`` of its largest distance from the mean profile of all."""
+    chosen = scored.where(F.conv(F.substring(K.hash_key(f"target{seed}", ["id"]), 1, 8), 16, 10).cast("long") < F.lit(int(share * 16 ** 8)))
+    k = chosen.select(F.size("scores")).first()
+    if k is None:
+        return None
+    target, overall = (list(A.mean_profile(d, "scores", k[0]).first()[0]) for d in (chosen, scored))
+    return target, closeness * SEL.profile_energy(overall, target)
+
+
 def select_prompts(pairs: DataFrame, variations: DataFrame, per_cluster: int = FV.PROMPTS_PER_CLUSTER,
                    size: int = FV.SELECTION_SIZE, seed=0, encoder: Callable | None = None,
-                   profile=FV.REFERENCE_PROFILE, tolerance: float = FV.SELECTION_TOLERANCE) -> DataFrame:
+                   profile=FV.REFERENCE_PROFILE, tolerance: float = FV.SELECTION_TOLERANCE,
+                   target_share: float | None = None, closeness: float = 0.25) -> DataFrame:
     """Cluster prompts (+ variations), sample per cluster, encode, score
-    against the encoded reference prompts, select greedily."""
+    against the encoded reference prompts, select greedily.
+
+    The target is the profile's scores or, with ``target_share``, the mean
+    profile of that share of the candidates (chosen by a hash); the tolerance
+    is then ``closeness`` of its distance from the mean of all."""
     spark = pairs.sparkSession
     encoder = encoder or SC.letter_profile
     prompts = K.sample_per_group(JN.cluster_prompts(pairs, variations), "cluster", "prompt", per_cluster, seed)
-    cand = (prompts.withColumn("id", F.xxhash64("prompt"))
+    # equal hashes of different prompts get neighbouring ids
+    nth = F.row_number().over(Window.partitionBy(F.xxhash64("prompt")).orderBy("prompt")) - 1
+    cand = (prompts.withColumn("id", F.xxhash64("prompt") + nth)
                    .withColumn("_norm", T.normalize_prompt("prompt"))
                    .withColumn("embedding", encoder(F.col("_norm"))).drop("_norm"))
     refs_df = spark.createDataFrame([(i, p) for i, p, _ in profile], "ref_id int, prompt string")
     refs = [list(r["e"]) for r in refs_df.orderBy("ref_id").withColumn("_norm", T.normalize_prompt("prompt"))
             .select(encoder(F.col("_norm")).alias("e")).collect()]
-    scored = SC.score_against_references(cand, refs, "embedding", "scores").select("id", "prompt", "scores")
-    ids = SEL.select_until(scored, [t for _, _, t in profile], tolerance, size, seed)
+    scored = written(SC.score_against_references(cand, refs, "embedding", "scores").select("id", "prompt", "scores"), "scored")
+    target = [t for _, _, t in profile]
+    if target_share is not None:
+        target, tolerance = sampled_target(scored, target_share, closeness, seed) or (target, tolerance)
+    ids = SEL.select_until(scored, target, tolerance, size, seed)
     chosen = spark.createDataFrame([(int(i), n) for n, i in enumerate(ids)], "id long, rank int")
     return scored.join(chosen, "id", "inner").select("rank", "prompt").orderBy("rank")

@@ -78,3 +78,26 @@ def test_best_candidate_ties_take_lowest_id(spark):
     assert cid == 3 and abs(e) < 1e-12
     assert SEL.best_candidate(df.where(F.lit(False)), [0.0, 0.0], 0, [0.5, 0.5]) is None
     assert np.isclose(SEL.profile_energy([0.1, 0.2], [0.15, 0.5]), 0.3)
+
+
+def test_registered_queries_equal_the_model(spark):
+    import __spark_entry__ as E
+    from pairwright.plans import catalog as C
+
+    from .conftest import SF001
+
+    df, target, tolerance = C._selectable(spark, SF001)
+    vecs = {r["id"]: list(r["scores"]) for r in df.collect()}
+    order = [r["id"] for r in df.select("id", hash_key(C.SEED, ["id"]).alias("h")).orderBy("h", "id").collect()]
+    want = model_greedy(vecs, target, tolerance, 1500, order)
+    got = [r["id"] for r in E.queries()["greedy_profile_match"](spark, SF001).orderBy("step").collect()]
+    assert got and got == want and got[0] != order[0]  # seeds before it failed
+    until = [r["id"] for r in E.queries()["select_until"](spark, SF001).orderBy("rank").collect()]
+    assert until[:len(got)] == got and len(set(until)) == len(until)
+
+
+def test_small_shortlists_give_the_same_cluster(spark):
+    vecs, target, df, order = _setup(spark, 60, 3, 5)
+    for k in (1, 3, 1024):
+        got = SEL.greedy_profile_match(df, target, 0.03, 8, seed=7, per_partition=k, parallel_seeds=4)
+        assert got == model_greedy(vecs, target, 0.03, 8, order)
