@@ -214,3 +214,26 @@ def rewrite_worklist(pairs: DataFrame, variations: DataFrame, selected: DataFram
                  .select("original_text", "rewrite_prompt", "cluster", "parent_prompt", "pos",
                          "is_selected", "order_key", "request")
                  .orderBy(F.col("is_selected").desc(), "order_key", "pos", "original_text"))
+
+
+def with_pair_id(df: DataFrame, cols: tuple[str, ...] = ("original_text", "rewrite_prompt", "rewritten_text"),
+                 out: str = "id") -> DataFrame:
+    """``df`` with an id where it has none: ``sha2`` over the pair columns that are there, null-safe."""
+    if out in df.columns:
+        return df
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("null")) for c in cols if c in df.columns]
+    return df.withColumn(out, F.sha2(F.concat_ws("\u0001", *parts), 256))
+
+
+def generate_rewrites(work: DataFrame, sink: str, fn: Callable | None = None, batch_size: int = 2,
+                      fn_factory: Callable | None = None) -> DataFrame:
+    """A rewritten text for every work item (``request``), kept in ``sink`` under its id.
+
+    Items that the sink has are not requested again; a failed batch is left out and tried by the next
+    run.  Items without an id get one from their original text and prompt, so equal items are one."""
+    from ..sources.resumable import append_results
+
+    items = with_pair_id(work, ("original_text", "rewrite_prompt")).dropDuplicates(["id"])
+    return append_results(
+        work.sparkSession, items, sink, "id",
+        lambda todo: batch_generate(todo, "request", fn, batch_size, "rewritten_text", "error", fn_factory), "error")

@@ -8,6 +8,7 @@ grows with them.  Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from ..operators import joins as JN
 from ..operators import sampling as K
 from ..operators import scoring as SC
 from ..operators import selection as SEL
-from ..session import written
+from ..session import shared_folder, written
 from ..sources import views as VW
 from . import pipelines as P
 from . import sql as S
@@ -774,20 +775,25 @@ def q_evaluation_set(spark, sf):
 
 
 # =================================================================== pipelines (P*) and model stages (M*)
+# words that occur in the tables, so that every filter acts
+CLEAN_PARAMS = {k: v for k, v in STAGE_PARAMS.items() if k != "max_ratio"}
+
+
 @query("clean_pairs")
 def q_clean_pairs(spark, sf):
-    return P.clean_pairs(pairs(spark, sf))
+    return P.clean_pairs(pairs(spark, sf), **CLEAN_PARAMS)
 
 
 @query("build_final")
 def q_build_final(spark, sf):
     p = pairs(spark, sf)
-    return P.build_final(P.clean_pairs(p), p, VW.variations(spark, sf))
+    return P.build_final(P.clean_pairs(p, **CLEAN_PARAMS), p, VW.variations(spark, sf), min_count=2)
 
 
 @query("training_set")
 def q_training_set(spark, sf):
-    final = P.build_final(P.clean_pairs(pairs(spark, sf)), pairs(spark, sf), VW.variations(spark, sf), min_count=2)
+    p = pairs(spark, sf)
+    final = P.build_final(P.clean_pairs(p, **CLEAN_PARAMS), p, VW.variations(spark, sf), min_count=2)
     return P.training_set(final, VW.split_map(spark), None, SEED).select(
         "id", "input", "output", "n_tokens", "completion_part", "shuffle_key")
 
@@ -847,6 +853,15 @@ def q_evaluate(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+# M6 to the end: the work items of variations, rewritten by the stand-in and kept in a sink
+@query("generate_rewrites")
+def q_generate_rewrites(spark, sf):
+    p = pairs(spark, sf)
+    work = M.rewrite_worklist(p, VW.variations(spark, sf), _selected(spark, sf), p.where(F.col("cluster") < 5), SEED)
+    sink = f"{shared_folder(spark)}/rewrites-{uuid.uuid4().hex}"
+    return M.generate_rewrites(work, sink, reverse_words).select("id", "original_text", "rewrite_prompt", "cluster", "rewritten_text")
+
+
 @query("encode_hashing")
 def q_encode_hashing(spark, sf):
     e = SC.encode_hashing(pairs(spark, sf).select("id", "rewrite_prompt"), "rewrite_prompt", num_features=256)

@@ -84,3 +84,26 @@ def test_preamble_is_stripped_once_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "p", "## x\nb", 1)], "id int, original_text string, rewrite_prompt string, rewritten_text string, cluster int")
     plan = P.clean_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("array_repeat(0") == 1
+
+
+def test_rewrites_end_in_the_sink_and_failures_are_retried(spark, scratch):
+    rows = [(f"text {i}", "shorter", i % 2, f"request {i}") for i in range(6)]
+    work = spark.createDataFrame(rows + rows[:2], "original_text string, rewrite_prompt string, cluster int, request string").coalesce(1)
+
+    def flaky(batch):
+        if any(r.endswith(("2", "5")) for r in batch):
+            raise ValueError("busy")
+        return [r.upper() for r in batch]
+
+    sink = f"{scratch}/rewrites"
+    assert M.generate_rewrites(work, sink, flaky, batch_size=1).count() == 4
+    done = M.generate_rewrites(work, sink, lambda batch: [r.upper() for r in batch], batch_size=4)
+    assert {r["rewritten_text"] for r in done.collect()} == {f"REQUEST {i}" for i in range(6)}
+    assert done.select("id").distinct().count() == done.count() == 6
+
+
+def test_pair_ids_tell_nulls_and_cuts_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("ab", ""), ("a", "b"), ("a", "b")], "original_text string, rewrite_prompt string")
+    ids = [r["id"] for r in M.with_pair_id(df).collect()]
+    assert len(set(ids)) == 4 and ids[3] == ids[4]
+    assert M.with_pair_id(df.withColumn("id", df["rewrite_prompt"])).columns == ["original_text", "rewrite_prompt", "id"]
