@@ -91,7 +91,7 @@ def test_stages_take_odd_rows_and_keep_columns(spark):
 
 
 def test_run_is_registered(spark, stages):
-    assert entry.queries()["pipeline"] is corpus_pipeline.run
+    assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
     got = {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, SF001).collect()}
     assert got == {r["doc_id"]: r["taken"] for r in stages["mix"]}
 
