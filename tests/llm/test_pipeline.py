@@ -6,6 +6,7 @@ import uuid
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -80,7 +81,8 @@ def test_mix(stages):
 def test_stages_take_odd_rows_and_keep_columns(spark):
     odd = table(spark, SF001, "documents").limit(30).withColumn("score", F.lit("clash")).withColumn("_lines", F.lit(1))
     more = spark.createDataFrame(
-        [(10**6, None, None, None, None, None, None), (10**6 + 1, "", "en", "s", 0, "x", 2), (None, "text without id", None, "s", 15, "x", 2)], odd.schema
+        [(10**6, None, None, None, None, None, None), (10**6 + 1, "", "en", "s", 0, "x", 2), (None, "text without id", None, "s", 15, "x", 2)],
+        T.StructType([T.StructField(f.name, f.dataType) for f in odd.schema.fields]),
     )
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd.unionByName(more), SF001)
