@@ -127,10 +127,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives"
     )
     single = known.join(reps.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi")
-    members = single.select(F.col("id").alias("rep"), "n", "bands", F.posexplode("bands").alias("band", "key"))
+    members = single.select(F.col("id").alias("rep"), "n", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("hub"))
     members = stash(members.join(buckets.where("m > 1"), ["band", "key"]), "members")
-    joined = _verified_components(docs, id_col, text_col, k, threshold, members)
+    keys = single.select(F.col("id").alias("rep"), "bands")
+    joined = _verified_components(docs, id_col, text_col, k, threshold, members, keys)
     reps = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", "copies", F.coalesce("component", "rep").alias("component_id")
     )
@@ -143,8 +144,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _verified_components(docs, id_col: str, text_col: str, k: int, threshold: int, members: DataFrame) -> DataFrame:
-    """node, component over all verified links between members of a bucket."""
+def _verified_components(
+    docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int, members: DataFrame, keys: DataFrame
+) -> DataFrame:
+    """node, component over all verified links between members of a bucket; ``keys`` has all bands of each."""
     wanted = members.select(F.col("rep").alias(id_col)).distinct()
     texts = docs.select(id_col, text_col).join(wanted, id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = T.StructType([texts.schema["id"], *_fields("items array<bigint>, signature binary")])
@@ -154,7 +157,9 @@ def _verified_components(docs, id_col: str, text_col: str, k: int, threshold: in
     links = stash(verified(pairs.distinct(), sets.drop("signature"), threshold), "links")
     joined = components(links)
 
-    blocks = _blocks(members.drop("hub"), joined).join(sets.select("rep", "signature"), "rep")
+    blocks = _blocks(members.drop("hub"), joined)
+    marks = sets.select("rep", "signature").join(keys, "rep").join(blocks.select("rep").distinct(), "rep", "left_semi")
+    blocks = blocks.join(marks, "rep")
     blocks = blocks.repartition("band", "key", "_q", "_r").sortWithinPartitions("band", "key", "_q", "_r")
     schema = T.StructType([T.StructField(c, members.schema["rep"].dataType) for c in "ab"])
     pairs = blocks.select("band", "key", "_q", "_r", "_role", "rep", "n", "_component", "bands", "signature")
@@ -188,7 +193,7 @@ def _blocks(members: DataFrame, joined: DataFrame) -> DataFrame:
     one = F.array(F.struct(F.lit(0).alias("_q"), F.lit(0).alias("_r"), F.when(F.col("_query"), 3).otherwise(2).alias("_role")))
     queries = F.when(F.col("_query"), dealt("_nr", 1)).otherwise(F.filter(dealt("_nr", 1), lambda _: F.lit(False)))
     places = F.when(whole, one).otherwise(F.concat(queries, dealt("_nq", 2)))
-    return rows.select(*bucket, "rep", "n", "bands", "_component", F.inline(places))
+    return rows.select(*bucket, "rep", "n", "_component", F.inline(places))
 
 
 def _place(n: str, role: int, i, slot):
