@@ -3,7 +3,8 @@
 Every page is cut into blocks; a block is a leaf with its path of tags from the root. Over the blocks
 of a path, text length and punctuation are summed and divided by the number of blocks (the two
 ratios). The ratios are fused into one score, less the share of link text, and weighted by what the
-tags of the path say (0 for menus, adverts, forms, comments and the like). A path's score is smoothed
+tags of the path say (0 for menus, adverts, forms, comments and the like, unless such a name or form
+stands around most of the page's article, or of its text where there is no article). A path's score is smoothed
 with that of the container its blocks stand in, so that a heading or a short paragraph follows
 its article. Blocks whose path reaches a share of the page's mean score are the main text.
 
@@ -56,19 +57,26 @@ OFF_NAMES = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended comments comment respond reply "
     "disqus pagination pager widget skip search form contentinfo complementary".split()
 )
+#: A name with one of these says something about the page, not what the element is (has-sidebar, comments-open).
+STATE = frozenset("has have is no not with without open closed enabled disabled".split())
 GOOD_TAGS = frozenset("article main".split())
 GOOD_NAMES = frozenset("article main content post entry story body-text".split())
 
 
 class Page:
-    """The blocks of a page: text, path (tuple of marks), characters of links, container (0: the page itself)."""
+    """The blocks of a page: text, path (tuple of marks), characters of links, container (0: the page itself).
+
+    ``elements`` has the numbers of the elements of each block's path.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, tuple[str, ...], int, int]] = []
+        self.elements: list[tuple[int, ...]] = []
         self.stack: list[tuple[str, str, int]] = []  # tag, mark, number
         self.opened = 0
         self.parts: list[str] = []
         self.path: tuple[str, ...] = ()
+        self.numbers: tuple[int, ...] = ()
         self.box = 0
         self.links = 0
         at = 0
@@ -88,6 +96,7 @@ class Page:
                 text = unescape(text)
             if not self.path and not text.isspace():
                 self.path = tuple(mark for _, mark, _ in self.stack)
+                self.numbers = tuple(n for _, _, n in self.stack)
                 self.box = next((n for tag, _, n in reversed(self.stack) if tag in CONTAINERS), 0)
             if any(tag == "a" for tag, _, _ in self.stack):
                 self.links += len(text.strip())
@@ -97,6 +106,7 @@ class Page:
         text = BLANK.sub(" ", "".join(self.parts)).strip()
         if text:
             self.blocks.append((text, self.path, self.links, self.box))
+            self.elements.append(self.numbers)
         self.parts, self.path, self.links, self.box = [], (), 0, 0
 
     def _tag(self, tag: str, closing: bool, attrs: str) -> None:
@@ -133,10 +143,55 @@ def mark_says(mark: str) -> tuple[bool, bool, bool]:
     """Of one element: it is boilerplate; it is boilerplate outside an article; it is an article."""
     tag, *names = mark.split(" ")
     words = {w for name in names for w in (name, *re.split(r"[-_]+", name))}
-    off = tag in OFF_TAGS or tag not in ("body", "html") and bool(words & OFF_NAMES)
+    off = tag in OFF_TAGS or tag not in ("body", "html") and any(map(off_name, names))
     return off, tag == "header", tag in GOOD_TAGS or bool(words & GOOD_NAMES)
 
 
+def off_name(name: str) -> bool:
+    words = re.split(r"[-_]+", name)
+    return name in OFF_NAMES or not STATE.intersection(words) and bool(OFF_NAMES.intersection(words))
+
+
+def without_wrappers(page: Page) -> list[tuple[str, tuple[str, ...], int, int]]:
+    """The blocks with the boilerplate marks of wrappers taken out of their paths.
+
+    A boilerplate name, or a form, is that of a wrapper if it holds more than half of the text of the
+    page's articles and is not inside one; on a page without articles, if it holds more than half of the
+    page's text. Text of links and text under other boilerplate tags don't count.
+    """
+    held: dict[tuple[int, bool], int] = defaultdict(int)  # by element and whether in an article: characters that count
+    marked: dict[int, str] = {}
+    total = {True: 0, False: 0}
+    for (text, path, links, _), numbers in zip(page.blocks, page.elements):
+        tags = [mark.split(" ", 1)[0] for mark in path]
+        first = next((i for i, tag in enumerate(tags) if tag in GOOD_TAGS), len(path))
+        for i, mark in enumerate(path):
+            # The article itself may have the name; what is inside it is judged as before.
+            if mark_says(mark)[0] and (tags[i] == "form" or tags[i] not in OFF_TAGS) and (i <= first or tags[i] == "form"):
+                marked[numbers[i]] = mark
+        if any(tag in OFF_TAGS and tag != "form" for tag in tags):
+            continue
+        chars = max(len(text) - links, 0)
+        total[first < len(path)] += chars
+        for n in numbers:
+            held[n, first < len(path)] += chars
+    if not marked:
+        return page.blocks
+    inside = total[True] > 0
+    wrappers = {n for n in marked if 2 * held[n, inside] > total[inside]}
+    if not wrappers:
+        return page.blocks
+
+    def plain(mark: str) -> str:
+        tag, *names = mark.split(" ")
+        return " ".join(["div" if tag == "form" else tag, *(x for x in names if not off_name(x))])
+
+    return [
+        (text, tuple(plain(m) if n in wrappers else m for m, n in zip(path, numbers)), links, box)
+        for (text, path, links, box), numbers in zip(page.blocks, page.elements)
+    ]
+
+
 def weight(path: tuple[str, ...]) -> float:
     """What the marks of a path say: 0 for boilerplate, more than 1 inside an article."""
     out = 1.0
@@ -155,7 +210,7 @@ def main_text(html: str | None) -> str:
     """
     if not html:
         return ""
-    blocks = Page(html).blocks
+    blocks = without_wrappers(Page(html))
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for text, path, links, _ in blocks:
         s = sums[path]

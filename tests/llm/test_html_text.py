@@ -50,3 +50,23 @@ def test_frame(spark):
     got = sorted((r["text"], r["n_chars"]) for r in extract_text(df).collect())
     assert got == [("", 0), ("", 0), (LONG.strip(), len(LONG.strip()))]
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<div class="site has-sidebar"><article>', "</article></div>"), ('<article class="post comments-open">', "</article>"),
+        ('<div id="page" class="no-menu"><div>', "</div></div>"), ("<form action=/ method=post><div>", "</div></form>"),
+        ("<form><main>", "</main></form>"), ("<main><form><div>", "</div></form></main>"), ('<div class="page sidebar"><article>', "</article></div>"),
+    ],
+)
+def test_names_of_wrappers_and_a_page_wide_form(start, end):
+    page = f"""<body>{start}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div class="sidebar"><p>Other, more. Text.</p></div>
+    <nav>Home, about us.</nav>{end}</body>"""
+    assert main_text(page) == f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_boilerplate_that_is_longer_than_the_article_goes():
+    article = f"<article><p>{LONG}</p><div class='comments'><p>{LONG * 4}</p></div></article>"
+    assert main_text(f"<body>{article}<div class='sidebar'><p>{LONG * 9}</p></div></body>") == LONG.strip()
+    assert main_text(f"<body><div><p>{LONG}</p></div><nav><p>{LONG * 9}</p></nav></body>") == LONG.strip()
