@@ -5,8 +5,8 @@ of a path, text length and punctuation are summed and divided by the number of b
 ratios). The ratios are fused into one score, less the share of link text, and weighted by what the
 tags of the path say (0 for menus, adverts, forms, comments and the like, unless such a name or form
 stands around most of the page's article, or of its text where there is no article). A path's score is smoothed
-with that of the container its blocks stand in, so that a heading or a short paragraph follows
-its article. Blocks whose path reaches a share of the page's mean score are the main text.
+with that of the container its blocks stand in (the outermost article, main or content element, else
+the nearest container), so that a heading, a table cell or a quotation follows its article. Blocks whose path reaches a share of the page's mean score are the main text.
 
 Pages are independent of one another: the work is an Arrow-batched function of the html column alone.
 """
@@ -97,7 +97,8 @@ class Page:
             if not self.path and not text.isspace():
                 self.path = tuple(mark for _, mark, _ in self.stack)
                 self.numbers = tuple(n for _, _, n in self.stack)
-                self.box = next((n for tag, _, n in reversed(self.stack) if tag in CONTAINERS), 0)
+                nearest = next((n for tag, _, n in reversed(self.stack) if tag in CONTAINERS), 0)
+                self.box = next((n for tag, mark, n in self.stack if tag not in ("body", "html") and mark_says(mark)[2]), nearest)
             if any(tag == "a" for tag, _, _ in self.stack):
                 self.links += len(text.strip())
             self.parts.append(text)

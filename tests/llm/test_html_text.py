@@ -70,3 +70,13 @@ def test_boilerplate_that_is_longer_than_the_article_goes():
     article = f"<article><p>{LONG}</p><div class='comments'><p>{LONG * 4}</p></div></article>"
     assert main_text(f"<body>{article}<div class='sidebar'><p>{LONG * 9}</p></div></body>") == LONG.strip()
     assert main_text(f"<body><div><p>{LONG}</p></div><nav><p>{LONG * 9}</p></nav></body>") == LONG.strip()
+
+
+@pytest.mark.parametrize("start, end", [("<article>", "</article>"), ("<main><div><article>", "</article></div></main>"), ('<div class="content">', "</div>")])
+def test_short_blocks_in_containers_of_the_article_stay(start, end):
+    long = "A sentence of some words, with more. " * 6
+    page = f"""<body><nav><a href=/>Home</a></nav>{start}<p>{long}</p><table><tr><th>Year</th><td>1999</td></tr></table>
+    <blockquote><p>A quoted sentence.</p></blockquote><section><h2>Part</h2><div><p>Short one.</p></div></section><p>{long}</p>{end}
+    <div><a href=1>one</a></div></body>"""
+    want = [long.strip(), "Year", "1999", "A quoted sentence.", "Part", "Short one.", long.strip()]
+    assert main_text(page).split("\n\n") == want
