@@ -865,7 +865,7 @@ def q_generate_rewrites(spark, sf):
 @query("encode_hashing")
 def q_encode_hashing(spark, sf):
     e = SC.encode_hashing(pairs(spark, sf).select("id", "rewrite_prompt"), "rewrite_prompt", num_features=256)
-    return e.select("id", r6(V.norm("embedding")).alias("norm"))
+    return e.select("id", F.transform("embedding", r6).alias("embedding"))
 
 
 @query("generate_variations")

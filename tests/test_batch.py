@@ -107,3 +107,25 @@ def test_pair_ids_tell_nulls_and_cuts_apart(spark):
     ids = [r["id"] for r in M.with_pair_id(df).collect()]
     assert len(set(ids)) == 4 and ids[3] == ids[4]
     assert M.with_pair_id(df.withColumn("id", df["rewrite_prompt"])).columns == ["original_text", "rewrite_prompt", "id"]
+
+
+def test_encode_hashing_query_returns_the_embedding(spark):
+    import math
+    from collections import Counter
+
+    from pyspark.ml.feature import HashingTF
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from pairwright.functions import text as T
+    from pairwright.sources.views import pairs
+    from tests.conftest import SF001
+
+    got = {r["id"]: r["embedding"] for r in entry.queries()["encode_hashing"](spark, SF001).collect()}
+    tf = HashingTF(numFeatures=256)
+    rows = pairs(spark, SF001).select("id", F.split(T.normalize_prompt("rewrite_prompt"), f"[{T.WHITESPACE_CLASS}]+").alias("words")).limit(50)
+    for r in rows.collect():
+        n = Counter(tf.indexOf(w) for w in r["words"] or [] if w)
+        norm = math.sqrt(sum(k * k for k in n.values()))
+        want = [n[i] / norm if n else 0.0 for i in range(256)]
+        assert len(got[r["id"]]) == 256 and all(abs(a - b) < 1e-5 for a, b in zip(got[r["id"]], want))
