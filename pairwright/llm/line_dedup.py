@@ -1,8 +1,8 @@
 """Line dedup (7) by overlapping three-line windows. DataFrame functions only.
 
 1. A text is cut into lines: a newline or the end of a sentence ends a line, and a line holds at most
-   ``LINE_WORDS`` words, so that a passage falls into the same lines wherever it stands. The lines
-   joined give the text again.
+   ``LINE_WORDS`` words. A passage put in mid-sentence falls into the same lines only from its first
+   sentence end or newline on, and not at all without one. The lines joined give the text again.
 2. Every ``WINDOW`` consecutive lines of at least ``MIN_CHARS`` code points together are hashed, trimmed.
 3. Windows that occur more than once are found by an aggregation (a frequent window costs one row per
    task) and joined back to their places; all places but the first (smallest doc_id, then position)
