@@ -48,7 +48,7 @@ def main() -> None:
     n_cand = scores.count()
     seed = scores.orderBy("id").first()
     t0 = time.time()
-    SEL._scan(scores, [(0, list(seed["scores"]), 1, {seed["id"]})], FV.TARGET_SCORES, 8, "id", "scores")
+    SEL.best_candidate(scores, list(seed["scores"]), 1, FV.TARGET_SCORES, [seed["id"]])
     times["greedy_step"] = round(time.time() - t0, 3)
     # indel ratio throughput on all pairs
     pairs = C.full_pairs(spark, sf_dir).persist()

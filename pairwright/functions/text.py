@@ -116,41 +116,19 @@ def strip_preamble(c) -> Column:
     return F.when(passes > 0, removed).otherwise(text)
 
 
-# ---------------------------------------------------------------- T6
-# Fixed values of this engine (not of the reproduced pipeline): common
-# irregular past participles for the native approximation of the
-# "noun + to be + past participle" test.
-IRREGULAR_PARTICIPLES = (
-    "done", "made", "given", "taken", "seen", "known", "shown", "kept", "left",
-    "told", "said", "found", "put", "set", "read", "sent", "built", "held",
-    "brought", "thought", "taught", "bought", "caught", "sold", "paid", "run",
-    "begun", "chosen", "drawn", "grown", "thrown", "worn", "torn", "spoken",
-    "broken", "frozen", "hidden", "cut", "shut", "split", "spread", "met",
-    "led", "fed", "felt", "meant", "lost", "won", "heard", "understood",
-)
-REDUNDANT_PATTERN = (
-    "(?i)\\b[a-z]+\\s+to\\s+be\\s+(?:[a-z]+(?:ed|en)|"
-    + "|".join(IRREGULAR_PARTICIPLES) + ")\\b"
-)
-
-
-def redundant_pattern(c) -> Column:
-    """Native approximation of "noun, 'to', 'be', past participle"."""
-    return _col(c).rlike(REDUNDANT_PATTERN)
+# ---------------------------------------------------------------- T11, T13
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, f"[{WHITESPACE_CLASS}]+"), lambda w: w != F.lit(""))
 
 
-# ---------------------------------------------------------------- T11, T13
 def subtract_vocabulary(c, vocabulary_text: str = FV.MEAN_PROMPT) -> Column:
     """Normalise each whitespace word and drop words of ``vocabulary_text``.
 
     Words that normalise to '' are kept as empty strings, so "!!!" gives ''
     and "!! ??" gives ' '.
     """
-    vocab = sorted({"".join(ch for ch in w.lower() if ch.isalnum() or ch.isspace())
-                    for w in vocabulary_text.split()})
-    vocab_array = F.array(*[F.lit(v) for v in vocab])
-    words = F.filter(F.split(_col(c), f"[{WHITESPACE_CLASS}]+"), lambda w: w != F.lit(""))
-    cleaned = F.transform(words, lambda w: normalize_prompt(w))
+    vocab_array = F.transform(_words(F.lit(vocabulary_text)), normalize_prompt)
+    cleaned = F.transform(_words(_col(c)), normalize_prompt)
     kept = F.filter(cleaned, lambda w: ~F.array_contains(vocab_array, w))
     return F.array_join(kept, " ")
 

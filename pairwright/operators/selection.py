@@ -1,26 +1,27 @@
 """Greedy selection of prompts whose mean score profile matches a target (K5, K7, K8).
 
-The driver keeps only the selection state: the ids chosen so far, the running
-sum of their score vectors and the place of the last seed in the seed order.
-One distributed scan serves all seed trajectories that are grown side by side:
-every partition returns its lowest-energy candidates per state, a second stage
-reduces them to one short list per state, and only those lists reach the
-driver, which takes every step that the lists prove to be the greedy one.
+The candidates are laid out in blocks by their scores. The driver keeps the
+selection state (the ids chosen so far, the running sum of their score vectors, the
+place of the last seed in the seed order), the bounds of at most 4,096
+blocks and a bounded number of rows that steps have looked at. A step reads
+only the blocks whose bounds may hold its winner; where these are too many,
+one native aggregate finds the winner of every seed grown side by side.
 
 Energy of a mean profile ``avg``: ``max_r |target_r - avg_r|``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
+from ..session import written
 from .sampling import hash_key
 
 
@@ -49,133 +50,136 @@ def _energies(total: np.ndarray, n: int, target: np.ndarray, vecs: np.ndarray) -
     return np.abs(target - (total + vecs) / (n + 1)).max(axis=1)
 
 
-def _scan(candidates: DataFrame, states, target, per_partition: int, id_col: str, scores: str):
-    """One distributed pass serving several greedy states at once.
-
-    ``states`` is a list of ``(key, total, n, excluded_ids)``.  For each state
-    every partition returns its ``per_partition`` lowest-energy candidates
-    (ties: lowest id), the lowest energy among its other candidates, its
-    candidate count and its largest |score|; a task per state reduces them to
-    as many candidates and one such summary."""
-    tgt = np.asarray(target, dtype=float)
-    prepared = [(key, np.asarray(total, dtype=float), n, np.asarray(sorted(ex), dtype=np.int64))
-                for key, total, n, ex in states]
-    k = per_partition
-    dim = len(tgt)
-
-    def run(batches):
-        keep = {key: (np.empty(0), np.empty(0, dtype=np.int64), np.empty((0, dim))) for key, *_ in prepared}
-        rest = {key: np.inf for key, *_ in prepared}
-        count = {key: 0 for key, *_ in prepared}
-        vmax = 0.0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids_all = pdf[id_col].to_numpy(dtype=np.int64)
-            vecs_all = np.stack([np.asarray(v, dtype=float)[:dim] for v in pdf[scores]])
-            vmax = max(vmax, float(np.abs(vecs_all).max()))
-            for key, tot, n, excl in prepared:
-                mask = ~np.isin(ids_all, excl) if len(excl) else np.ones(len(ids_all), dtype=bool)
-                ids, vecs = ids_all[mask], vecs_all[mask]
-                count[key] += len(ids)
-                ke, ki, kv = keep[key]
-                e = np.concatenate([ke, _energies(tot, n, tgt, vecs)])
-                i = np.concatenate([ki, ids])
-                v = np.concatenate([kv, vecs])
-                order = np.lexsort((i, e))
-                if len(order) > k:
-                    rest[key] = min(rest[key], float(e[order[k]]))
-                    order = order[:k]
-                keep[key] = (e[order], i[order], v[order])
-        out = {"state": [], "kind": [], "energy": [], "id": [], "scores": []}
-        for key, *_ in prepared:
-            ke, ki, kv = keep[key]
-            out["state"] += [key] * (len(ki) + 1)
-            out["kind"] += ["best"] * len(ki) + ["summary"]
-            out["energy"] += list(ke) + [rest[key]]
-            out["id"] += list(ki) + [count[key]]
-            out["scores"] += [list(x) for x in kv] + [[vmax]]
-        yield pd.DataFrame(out)
-
-    schema = "state long, kind string, energy double, id long, scores array<double>"
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf[pdf["kind"] == "best"].sort_values(["energy", "id"])
-        rest = pdf[pdf["kind"] == "summary"]
-        bound = min(rest["energy"].min(), best["energy"].iloc[k] if len(best) > k else np.inf)
-        summary = pd.DataFrame({"state": pdf["state"].iloc[:1], "kind": "summary", "energy": bound, "id": rest["id"].sum(),
-                                "scores": [[max(v[0] for v in rest["scores"])]]})
-        return pd.concat([best.iloc[:k], summary])
-
-    rows = candidates.select(id_col, scores).mapInPandas(run, schema).groupBy("state").applyInPandas(reduce, schema).collect()
-    result = {}
-    for key, *_ in prepared:
-        mine = [r for r in rows if r["state"] == key]
-        best = sorted(((r["energy"], r["id"], np.asarray(r["scores"], dtype=float)) for r in mine
-                       if r["kind"] == "best"), key=lambda x: (x[0], x[1]))
-        summ = [r for r in mine if r["kind"] == "summary"]
-        result[key] = (best, min((r["energy"] for r in summ), default=np.inf),
-                       sum(int(r["id"]) for r in summ), max((r["scores"][0] for r in summ), default=0.0))
-    return result
+class Blocks:
+    """Candidates laid out by their scores, with the bounds of every block on the driver.
+
+    The dimensions that vary most are cut at their quantiles; candidates in the same cells are a block, and the
+    table lies in the shared folder in the order of the blocks. A block's least and largest scores bound the
+    energy of all its candidates from below, so a greedy step reads only blocks that may hold the winner. Rows that
+    were read are kept up to ``kept_rows``; what is left of a step beyond ``read_rows`` is one
+    aggregate in Spark. Rows without an id or scores take no part."""
+
+    CUT, AT_MOST, ROWS = 3, 4096, 512
+
+    def __init__(self, candidates: DataFrame, dims: int, id_col: str = "id", scores: str = "scores",
+                 read_rows: int = 20_000, kept_rows: int = 200_000):
+        self.dims, self.read_rows, self.kept_rows = dims, read_rows, kept_rows
+        rows = candidates.where(F.col(id_col).isNotNull() & F.col(scores).isNotNull())
+        rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(scores).cast("array<double>").alias("scores"))
+        of = [F.col("scores")[i] for i in range(dims)]
+        spread = rows.agg(F.count(F.lit(1)), *[F.variance(x) for x in of],
+                          *[F.percentile_approx(x, [i / 64 for i in range(1, 64)], 1000) for x in of]).first()
+        n_cells = min(self.AT_MOST, max(1, spread[0] // self.ROWS))
+        cut = sorted(range(dims), key=lambda i: -(spread[1 + i] or 0.0))[:self.CUT]
+        per_dim = math.ceil(n_cells ** (1 / len(cut)))
+        block = F.lit(0)
+        for i in cut:
+            quantiles = spread[1 + dims + i] or []
+            edges = sorted({quantiles[64 * j // per_dim - 1] for j in range(1, per_dim)}) if quantiles else []
+            cell = sum((F.when(of[i] > e, 1).otherwise(0) for e in edges), F.lit(0))
+            block = block * per_dim + cell
+        laid = rows.withColumn("block", block.cast("int")).repartitionByRange("block").sortWithinPartitions("block")
+        self.rows = written(laid, "blocks")
+        bounds = self.rows.groupBy("block").agg(F.count(F.lit(1)), *[F.min(x) for x in of], *[F.max(x) for x in of]).collect()
+        self.number = np.array([r[0] for r in bounds], dtype=np.int64)
+        self.size = np.array([r[1] for r in bounds], dtype=np.int64)
+        edges = np.array([r[2:] for r in bounds], dtype=float).reshape(len(bounds), 2 * dims)
+        self.low, self.high = edges[:, :dims], edges[:, dims:]
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.scans = 0
+
+    def least_energy(self, total: np.ndarray, n: int, target: np.ndarray) -> np.ndarray:
+        """A lower bound per block for the energy after one of its candidates joined."""
+        low, high = (total + self.low) / (n + 1), (total + self.high) / (n + 1)
+        return np.maximum(np.maximum(low - target, target - high), 0.0).max(axis=1, initial=0.0)
+
+    def read(self, blocks: set[int]) -> None:
+        """Keep the rows of these blocks; the ones read first go when there are too many."""
+        numbers = [int(self.number[b]) for b in sorted(blocks)]
+        place = {int(x): b for b, x in enumerate(self.number)}
+        by_block: dict[int, list] = {}
+        for r in self.rows.where(F.col("block").isin(numbers)).collect():
+            by_block.setdefault(place[r["block"]], []).append((r["id"], r["scores"][:self.dims]))
+        self.scans += 1
+        for b, rows in by_block.items():
+            rows.sort()
+            self.kept[b] = (np.array([i for i, _ in rows], dtype=np.int64), np.array([v for _, v in rows], dtype=float))
+        held = sum(len(ids) for ids, _ in self.kept.values())
+        for b in [b for b in self.kept if b not in blocks]:
+            if held <= self.kept_rows:
+                break
+            held -= len(self.kept.pop(b)[0])
+
+    def best_of(self, wanted: list[tuple[int, np.ndarray, int, set[int], set[int]]], target: np.ndarray) -> dict:
+        """One aggregate for several states (key, total, n, chosen ids, blocks): the best candidate of each."""
+        spark = self.rows.sparkSession
+        taken = [(key, int(i)) for key, _, _, chosen, _ in wanted for i in chosen]
+        rows = self.rows.where(F.col("block").isin(sorted({int(self.number[b]) for *_, bs in wanted for b in bs})))
+        # at most as many rows as the states have chosen: the sizes asked for
+        gone = spark.createDataFrame(taken, "state int, id long").groupBy("id").agg(F.collect_list("state").alias("states"))
+        rows = rows.join(F.broadcast(gone), "id", "left")
+        best = []
+        for key, total, n, _, blocks in wanted:
+            here = F.col("block").isin([int(self.number[b]) for b in blocks])
+            free = F.col("states").isNull() | ~F.array_contains("states", key)
+            best.append(F.min(F.when(here & free, F.struct(step_energy("scores", total, n, target).alias("energy"), "id", "scores"))))
+        found = rows.agg(*best).first()
+        self.scans += 1
+        return {key: None if b is None else (b["energy"], b["id"], np.asarray(b["scores"][:self.dims], dtype=float))
+                for (key, *_), b in zip(wanted, found)}
 
 
 class _Trajectory:
-    """One greedy cluster grown from one seed, with its certified shortlist.
-
-    After a scan at state ``(S0, n0)`` every scanned candidate outside the
-    shortlist has energy >= ``bound``.  At a later state ``(S, n)`` its mean
-    moves by at most ``max_r |S_r/(n+1) - S0_r/(n0+1)| + vmax*|1/(n+1) - 1/(n0+1)|``
-    per component, and its energy (a max of absolute deviations) by no more.
-    A shortlist winner strictly below ``bound - drift`` is thus the global
-    winner; candidates excluded at scan time but free now are known to the
-    driver (they were chosen earlier) and are evaluated exactly."""
+    """One greedy cluster grown from one seed."""
 
-    def __init__(self, key, seed_id, seed_vec, base):
+    def __init__(self, key: int, seed_id: int, seed_vec: np.ndarray, base: set[int]):
         self.key, self.base = key, base
-        self.chosen = [seed_id]
-        self.vecs = {seed_id: seed_vec}
+        self.chosen, self.own = [seed_id], {seed_id}
         self.total = seed_vec.copy()
         self.status = None          # None (running), "ok", "fail", "none"
-        self.items = None
+        self.missing: set[int] = set()  # blocks that this step still has to look at
+        self.found = None           # the best of the blocks that an aggregate looked at in this step
+        self.looked: set[int] = set()
+        self.free: dict[int, np.ndarray] = {}
 
-    def exclusion(self):
-        return self.base | set(self.chosen)
+    def excluded(self) -> set[int]:
+        return self.base | self.own
 
-    def certified_best(self, target):
-        """(energy, id, vec), "none" or None when a scan is needed."""
-        if self.items is None:
-            return None
-        ex = self.exclusion()
-        pool = {c: v for c, v in self.items.items() if c not in ex}
-        for c in self.excluded0 - ex:
-            pool[c] = self.vecs[c]
+    def best(self, blocks: Blocks, target: np.ndarray):
+        """(energy, id, vector) of the step, "none", or None when ``missing`` has to be looked at first."""
         n = len(self.chosen)
-        drift = float(np.max(np.abs(self.total / (n + 1) - self.s0 / (self.n0 + 1)))) + \
-            self.vmax * abs(1.0 / (n + 1) - 1.0 / (self.n0 + 1)) + 1e-12
-        if pool:
-            ids = list(pool)
-            e = _energies(self.total, n, target, np.stack([pool[c] for c in ids]))
-            j = min(range(len(ids)), key=lambda x: (e[x], ids[x]))
-            if e[j] < self.bound - drift:
-                return float(e[j]), ids[j], pool[ids[j]]
-        elif self.bound == np.inf and self.scanned_left(ex) == 0:
-            return "none"
-        return None
-
-    def scanned_left(self, ex):
-        return self.available - len([c for c in self.items if c in ex])
-
-    def absorb_scan(self, best, bound, available, vmax):
-        self.items = {cid: v for _, cid, v in best}
-        self.bound, self.available, self.vmax = bound, available, vmax
-        self.s0, self.n0, self.excluded0 = self.total.copy(), len(self.chosen), self.exclusion()
-
-    def advance(self, target, tolerance, desired_len):
-        """Take certified steps until finished or a scan is needed."""
+        least = blocks.least_energy(self.total, n, target) * (1 - 1e-9) - 1e-12
+        best, self.missing = self.found, set()
+        for b in np.argsort(least, kind="stable").tolist():
+            if best is not None and least[b] > best[0]:
+                break
+            if b in self.looked:
+                continue
+            if b not in blocks.kept:
+                if best is None and self.missing and sum(blocks.size[x] for x in self.missing) >= blocks.read_rows // 4:
+                    break
+                self.missing.add(b)
+                continue
+            ids, vecs = blocks.kept[b]
+            if b not in self.free:
+                self.free[b] = ~np.isin(ids, np.fromiter(self.excluded(), np.int64))
+            free = self.free[b]
+            if free.any():
+                e = _energies(self.total, n, target, vecs)
+                e[~free] = np.inf
+                i = int(e.argmin())  # ids ascend within a block
+                if best is None or (e[i], ids[i]) < best[:2]:
+                    best = (float(e[i]), int(ids[i]), vecs[i])
+        if self.missing:
+            return None
+        return best or "none"
+
+    def advance(self, blocks: Blocks, target: np.ndarray, tolerance: float, desired_len: int) -> None:
+        """Take steps until finished or until blocks have to be read."""
         while self.status is None:
             n = len(self.chosen)
             current = float(np.max(np.abs(target - self.total / n)))
-            best = self.certified_best(target)
+            best = self.best(blocks, target)
             if best is None:
                 return
             if best == "none":
@@ -184,15 +188,44 @@ class _Trajectory:
             energy, cid, vec = best
             if energy < current or energy < tolerance:
                 self.chosen.append(cid)
-                self.vecs[cid] = vec
+                self.own.add(cid)
                 self.total = self.total + vec
+                for b in list(self.free):
+                    if b not in blocks.kept:
+                        del self.free[b]
+                        continue
+                    ids = blocks.kept[b][0]
+                    self.free[b][np.searchsorted(ids, cid):np.searchsorted(ids, cid, "right")] = False
+                self.found, self.looked = None, set()
                 continue
             self.status = "ok" if (current <= tolerance or n >= desired_len) else "fail"
 
 
-def _seed_batch(pool: DataFrame, after, seed, count: int, id_col: str, scores: str):
+def _look(blocks: Blocks, states: list[_Trajectory], target: np.ndarray) -> None:
+    """Read the blocks that the states miss, or look at them by an aggregate where they have too many rows."""
+    rows = 0
+    few: set[int] = set()
+    many = []
+    for t in states:
+        size = int(blocks.size[list(t.missing - few)].sum())
+        if rows + size <= blocks.read_rows:
+            few |= t.missing
+            rows += size
+        else:
+            many.append(t)
+    if few:
+        blocks.read(few)
+    if many:
+        best = blocks.best_of([(t.key, t.total, len(t.chosen), t.excluded(), t.missing) for t in many], target)
+        for t in many:
+            t.looked |= t.missing
+            if best[t.key] is not None and (t.found is None or best[t.key][:2] < t.found[:2]):
+                t.found = best[t.key]
+
+
+def _seed_batch(pool: DataFrame, after, seed, count: int):
     """The next ``count`` seeds behind the place ``after`` (hash, id) of the seed order, and the new place."""
-    keyed = pool.select(hash_key(seed, [id_col]).alias("_h"), F.col(id_col).alias("id"), F.col(scores).alias("scores"))
+    keyed = pool.select(hash_key(seed, ["id"]).alias("_h"), "id", "scores")
     if after is not None:
         keyed = keyed.where((F.col("_h") > after[0]) | ((F.col("_h") == after[0]) & (F.col("id") > after[1])))
     rows = keyed.orderBy("_h", "id").limit(count).collect()
@@ -209,12 +242,12 @@ class GreedyTrace:
 
 
 # K7
-def greedy_profile_match(candidates: DataFrame, target: Sequence[float] = FV.TARGET_SCORES,
+def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float] = FV.TARGET_SCORES,
                          tolerance: float = FV.SELECTION_TOLERANCE,
                          desired_len: int = FV.SELECTION_SIZE, seed=0,
                          id_col: str = "id", scores: str = "scores",
                          trace: GreedyTrace | None = None, exclude: Sequence[int] = (),
-                         per_partition: int = 1024, parallel_seeds: int = 16) -> list[int] | None:
+                         parallel_seeds: int = 16, seeds_at_once: int = 256) -> list[int] | None:
     """One greedy cluster: start from a seeded random candidate, repeatedly add
     the candidate giving the lowest new max energy while it is lower than the
     current energy or below ``tolerance``.  When none qualifies, return the
@@ -223,46 +256,49 @@ def greedy_profile_match(candidates: DataFrame, target: Sequence[float] = FV.TAR
     when candidates or seeds run out.
 
     Restarts depend only on the seed order, so up to ``parallel_seeds``
-    seeds are grown side by side and share each distributed scan; the result
-    is the first seed's outcome in order, as in a sequential run."""
+    seeds are grown side by side and share each job; the result is the first
+    seed's outcome in order, as in a sequential run.  Ids are distinct; rows
+    without an id or scores take no part."""
     trace = trace or GreedyTrace()
     tgt = np.asarray(target, dtype=float)
+    blocks = candidates if isinstance(candidates, Blocks) else Blocks(candidates, len(tgt), id_col, scores)
     base = set(exclude)
-    pool = candidates.where(~F.col(id_col).isin(sorted(base))) if base else candidates
     place = None
+    waiting: list[tuple[int, np.ndarray]] = []
     active: list[_Trajectory] = []
-    seeds_left = True
+    more = True
     key = 0
-    while True:
-        if seeds_left and len(active) < parallel_seeds:
-            fresh, place = _seed_batch(pool, place, seed, parallel_seeds - len(active), id_col, scores)
-            if len(fresh) < parallel_seeds - len(active):
-                seeds_left = False
-            for sid, vec in fresh:
+    before = blocks.scans
+    try:
+        while True:
+            while len(active) < parallel_seeds and (waiting or more):
+                if not waiting:
+                    fresh, place = _seed_batch(blocks.rows, place, seed, seeds_at_once)
+                    more = len(fresh) == seeds_at_once
+                    waiting = [s for s in fresh if s[0] not in base]
+                    continue
+                sid, vec = waiting.pop(0)
                 active.append(_Trajectory(key, sid, vec[:len(tgt)], base))
                 key += 1
-        if not active:
-            return None
-        for t in active:
-            t.advance(tgt, tolerance, desired_len)
-        while active and active[0].status is not None:
-            head = active.pop(0)
-            if head.status == "ok":
-                trace.steps += len(head.chosen) - 1
-                return head.chosen
-            if head.status == "none":
-                return None
-            trace.restarts += 1
-        if not active:
-            if not seeds_left:
+            if not active:
                 return None
-            continue
-        need = [t for t in active if t.status is None]
-        res = _scan(candidates, [(t.key, t.total, len(t.chosen), t.exclusion()) for t in need],
-                    tgt, per_partition, id_col, scores)
-        trace.scans += 1
-        for t in need:
-            t.absorb_scan(*res[t.key])
+            for i, t in enumerate(active):
+                t.advance(blocks, tgt, tolerance, desired_len)
+                if t.status in ("ok", "none") and all(u.status == "fail" for u in active[:i]):
+                    break
+            while active and active[0].status is not None:
+                head = active.pop(0)
+                if head.status == "ok":
+                    trace.steps += len(head.chosen) - 1
+                    return head.chosen
+                if head.status == "none":
+                    return None
+                trace.restarts += 1
+            need = [t for t in active if t.status is None and t.missing]
+            if need:
+                _look(blocks, need, tgt)
+    finally:
+        trace.scans += blocks.scans - before
 
 
 # K8
@@ -272,15 +308,12 @@ def select_until(candidates: DataFrame, target: Sequence[float] = FV.TARGET_SCOR
                  trace: GreedyTrace | None = None) -> list[int]:
     """Repeat the greedy match on the remaining candidates until ``size`` ids
     are selected (the last cluster may overshoot) or no cluster is found."""
-    pool = candidates.select(id_col, scores).persist()
+    blocks = Blocks(candidates, len(target), id_col, scores)
     selected: list[int] = []
-    try:
-        while len(selected) < size:
-            cluster = greedy_profile_match(pool, target, tolerance, size - len(selected), seed,
-                                           id_col, scores, trace, exclude=selected)
-            if cluster is None:
-                break
-            selected.extend(cluster)
-    finally:
-        pool.unpersist()
+    while len(selected) < size:
+        cluster = greedy_profile_match(blocks, target, tolerance, size - len(selected), seed,
+                                       trace=trace, exclude=selected)
+        if cluster is None:
+            break
+        selected.extend(cluster)
     return selected

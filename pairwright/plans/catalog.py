@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
 from ..functions import jsonx as J
+from ..functions import tagging
 from ..functions import templates as TPL
 from ..functions import text as T
 from ..functions import vectors as V
@@ -77,6 +78,7 @@ def r6(c) -> F.Column:
 
 
 PAIRS_V = S.with_views(S.PAIRS)
+REDUNDANT_PAIRS_V = PAIRS_V.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + tagging.redundant_sql("pairs", "rewrite_prompt") + " "
 PAIRS_SPLITS_V = S.with_views(S.PAIRS, S.SPLITS)
 PAIRS_VAR_V = S.with_views(S.PAIRS, S.VARIATIONS)
 NN = "original_text IS NOT NULL AND rewrite_prompt IS NOT NULL AND rewritten_text IS NOT NULL"
@@ -115,17 +117,14 @@ def q_normalize_prompt(spark, sf):
     return VW.table(spark, sf, "documents").select("doc_id", T.normalize_prompt("text").alias("normalized"))
 
 
-@query("redundant_pattern",
-       "SELECT doc_id, coalesce(regexp_matches(text, " + S.lit(T.REDUNDANT_PATTERN.replace("\\b", "\\b")) +
-       "), false) AS is_redundant FROM documents")
+@query("redundant_pattern", "WITH RECURSIVE " + tagging.redundant_sql("documents") +
+       " SELECT doc_id, coalesce(text IN (SELECT text FROM redundant), false) AS is_redundant FROM documents")
 def q_redundant_pattern(spark, sf):
     return VW.table(spark, sf, "documents").select(
-        "doc_id", F.coalesce(T.redundant_pattern("text"), F.lit(False)).alias("is_redundant"))
+        "doc_id", F.coalesce(tagging.noun_to_be_participle("text"), F.lit(False)).alias("is_redundant"))
 
 
-MEAN_VOCAB = sorted({"".join(ch for ch in w.lower() if ch.isalnum() or ch.isspace())
-                     for w in FV.MEAN_PROMPT.split()})
-_VOCAB_SQL = "[" + ", ".join(S.lit(v) for v in MEAN_VOCAB) + "]"
+_VOCAB_SQL = "list_transform(string_split(" + S.lit(FV.MEAN_PROMPT) + ", ' '), lambda v: " + S.normalize("v") + ")"
 _SUBTRACT_SQL = ("array_to_string(list_filter(list_transform(" + S.ws_split("rewrite_prompt") +
                  ", lambda w: " + S.normalize("w") + "), lambda w: NOT list_contains(" + _VOCAB_SQL + ", w)), ' ')")
 
@@ -272,8 +271,8 @@ def q_reject_identical(spark, sf):
     return FL.reject_identical(full_pairs(spark, sf).withColumn("rewritten_text", echo)).select("id")
 
 
-@query("reject_redundant", "SELECT doc_id FROM documents WHERE " +
-       S.keep_unless("regexp_matches(text, " + S.lit(T.REDUNDANT_PATTERN) + ")"))
+@query("reject_redundant", "WITH RECURSIVE " + tagging.redundant_sql("documents") +
+       " SELECT doc_id FROM documents WHERE coalesce(text NOT IN (SELECT text FROM redundant), true)")
 def q_reject_redundant(spark, sf):
     return FL.reject_redundant_prompt(VW.table(spark, sf, "documents"), "text").select("doc_id")
 
@@ -619,14 +618,14 @@ def _stage_sql() -> str:
         ("reject_group_2", S.keep_unless(S.contains_all_ci("rewrite_prompt", ("the", "and")))),
         ("reject_identical", f"coalesce({stripped} <> original_text, false)"),
         ("reject_boilerplate", S.keep_unless(S.contains_any_ci(stripped, ("license", "sure")))),
-        ("reject_redundant", S.keep_unless("regexp_matches(rewrite_prompt, " + S.lit(T.REDUNDANT_PATTERN) + ")")),
+        ("reject_redundant", "rewrite_prompt NOT IN (SELECT text FROM redundant)"),
     ]
     cum = []
     selects = ["SELECT 0 AS stage_no, 'input' AS stage, count(*) AS rows FROM pairs"]
     for i, (name, c) in enumerate(conds, start=1):
         cum.append(f"({c})")
         selects.append(f"SELECT {i}, '{name}', count(*) FROM pairs WHERE " + " AND ".join(cum))
-    return PAIRS_V + "\nUNION ALL ".join(selects)
+    return REDUNDANT_PAIRS_V + "\nUNION ALL ".join(selects)
 
 
 STAGE_PARAMS = dict(reject_any_words=("that", "with"), word_groups=(("from", "to"), ("the", "and")),

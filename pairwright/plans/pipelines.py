@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
 from ..functions import jsonx as J
+from ..functions import tagging
 from ..functions import templates as TPL
 from ..functions import text as T
 from ..operators import aggregates as A
@@ -82,7 +83,7 @@ def stage_flags(df: DataFrame, reject_any_words: Sequence[str] = FV.REJECT_ANY_W
            ("reject_boilerplate", ~T.contains_any_ci(stripped, phrases))]
     if max_ratio is not None:
         fl.append(("reject_near_identical", ~FL.near_identical_flag("original_text", stripped, max_ratio)))
-    fl.append(("reject_redundant", ~T.redundant_pattern(prompt)))
+    fl.append(("reject_redundant", ~tagging.noun_to_be_participle(prompt)))
     return fl
 
 

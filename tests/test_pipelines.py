@@ -38,9 +38,8 @@ def py_clean(pdf: pd.DataFrame) -> pd.DataFrame:
     pat = re.compile("|".join(re.escape(p) for p in FV.BOILERPLATE_PHRASES), re.I)
     d = d[~d.rewritten_text.map(lambda t: bool(pat.search(t)))]
     d = d[[indel_ratio(a, b) < 95 for a, b in zip(d.original_text, d.rewritten_text)]]
-    from pairwright.functions.text import REDUNDANT_PATTERN
-    rp = re.compile(REDUNDANT_PATTERN.replace("(?i)", ""), re.I | re.ASCII)
-    d = d[~d.rewrite_prompt.map(lambda t: bool(rp.search(t)))]
+    from .test_tagging import most_likely
+    d = d[~d.rewrite_prompt.map(most_likely)]
     d = d[["id", "original_text", "rewrite_prompt", "rewritten_text", "cluster"]].drop_duplicates().dropna()
     return d.assign(rewritten_text=d.rewritten_text.str.strip())
 

@@ -54,7 +54,7 @@ def test_greedy_matches_model(spark):
         vecs, target, df, order = _setup(spark, 40, 4, case)
         for th, desired in ((0.005, 10), (0.05, 5), (0.2, 3)):
             trace = SEL.GreedyTrace()
-            got = SEL.greedy_profile_match(df, target, th, desired, seed=7, trace=trace, per_partition=4)
+            got = SEL.greedy_profile_match(df, target, th, desired, seed=7, trace=trace)
             assert got == model_greedy(vecs, target, th, desired, order)
 
 
@@ -96,8 +96,30 @@ def test_registered_queries_equal_the_model(spark):
     assert until[:len(got)] == got and len(set(until)) == len(until)
 
 
-def test_small_shortlists_give_the_same_cluster(spark):
+def test_blocks_read_or_looked_at_by_aggregates_give_the_same_cluster(spark, monkeypatch):
+    monkeypatch.setattr(SEL.Blocks, "ROWS", 6)
     vecs, target, df, order = _setup(spark, 60, 3, 5)
-    for k in (1, 3, 1024):
-        got = SEL.greedy_profile_match(df, target, 0.03, 8, seed=7, per_partition=k, parallel_seeds=4)
-        assert got == model_greedy(vecs, target, 0.03, 8, order)
+    want = model_greedy(vecs, target, 0.03, 8, order)
+    for read, kept in ((1000, 1000), (12, 24), (0, 0)):  # all rows kept, few, none: every step is an aggregate
+        blocks = SEL.Blocks(df, 3, read_rows=read, kept_rows=kept)
+        assert len(blocks.size) > 4 and blocks.size.sum() == 60
+        trace = SEL.GreedyTrace()
+        got = SEL.greedy_profile_match(blocks, target, 0.03, 8, seed=7, parallel_seeds=4, seeds_at_once=5, trace=trace)
+        assert got == want
+        assert (len(blocks.kept) == 0) == (read == 0)
+
+
+def test_few_blocks_are_read_for_a_target_inside_the_cloud(spark, monkeypatch):
+    monkeypatch.setattr(SEL.Blocks, "ROWS", 20)
+    vecs, _, df, order = _setup(spark, 2000, 2, 3)
+    blocks = SEL.Blocks(df, 2, read_rows=40)
+    total, target = np.array(vecs[order[0]]), np.array([0.2, 0.2])
+    least = blocks.least_energy(total, 1, target)
+    exact = {i: max(abs(t - (s + x) / 2) for t, s, x in zip(target, total, v)) for i, v in vecs.items()}
+    assert (least <= min(exact.values())).sum() < len(least) / 4
+
+
+def test_no_candidates_and_null_scores(spark):
+    df = spark.createDataFrame([(1, [0.5, 0.5]), (2, None), (None, [0.1, 0.2])], "id long, scores array<double>")
+    assert SEL.greedy_profile_match(df.where("id = 9"), [0.5, 0.5], 0.01, 5) is None
+    assert SEL.select_until(df, [0.5, 0.5], 0.01, 5) == []  # one candidate can't be joined by another

@@ -73,11 +73,6 @@ def test_boilerplate(spark):
     assert [r[0] for r in FL.reject_boilerplate(df).collect()] == ["fine text"]
 
 
-def test_redundant_pattern(spark):
-    got = _one(spark, T.redundant_pattern("t"), ["text to be rewritten", "needs to be clear", "to be"])
-    assert got == [True, False, False]
-
-
 def test_mean_prompt_blend(spark):
     got = _one(spark, T.blend_with_mean_prompt("t"), ["!!!", "!! ??", "Rewrite this poem {x}"])
     pre, post = FV.MEAN_PROMPT_BASE.split("{}")
