@@ -81,18 +81,48 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.score_quality(df.limit(0), lf).count() == 0
 
 
-def test_rules_are_read_from_trees_and_compiled(spark):
-    printed = """RandomForestClassificationModel
-  Tree 0 (weight 1.0):
-    If (feature 0 <= 2.5)
-     If (feature 1 <= 1.0)
-      Predict: 0.0
-     Else (feature 1 > 1.0)
-      Predict: 1.0
-    Else (feature 0 > 2.5)
-     Predict: 1.0
-"""
-    rules = quality.tree_rules(printed, ("a", "b"))
-    assert rules == [(("a", True, 2.5),), (("a", True, 2.5), ("b", True, 1.0)), (("a", True, 2.5), ("b", False, 1.0)), (("a", False, 2.5),)]
-    df = spark.createDataFrame([(1.0, 3.0), (3.0, 3.0)], "a double, b double").select(F.struct("a", "b").alias("stats"))
-    assert [r[0] for r in df.select(quality.Rule(rules[2]).column()).collect()] == [True, False]
+def test_rules_of_trees_hold_for_separable_rows_and_are_compiled(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.uniform(size=(600, 3))
+    labels = ((values[:, 0] > 0.5) & (values[:, 2] <= 0.75)).astype(float)
+    rules = quality.tree_rules(values, labels, ("a", "b", "c"))
+    assert rules == quality.tree_rules(values, labels, ("a", "b", "c"))
+    place = {"a": 0, "b": 1, "c": 2}
+
+    def holds(tests):
+        return np.all([(values[:, place[n]] <= bound) == at_most for n, at_most, bound in tests], axis=0)
+
+    held = np.array([holds(t) for t in rules]).T.astype(float)
+    weights = quality.lasso(held, labels)
+    right = ((weights[0] + held @ weights[1:] > 0) == labels).mean()
+    assert right > 0.95
+    df = spark.createDataFrame([tuple(map(float, v)) for v in values[:50]], "a double, b double, c double").select(F.struct("a", "b", "c").alias("stats"))
+    for tests in rules[:5]:
+        assert [r[0] for r in df.select(quality.Rule(tests).column()).collect()] == holds(tests)[:50].tolist()
+
+
+def test_lasso_is_the_minimum():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = (rng.uniform(size=(200, 6)) > 0.5).astype(float)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=200) * 0.3 > 0.8).astype(float)
+
+    def loss(w):
+        z = w[0] + x @ w[1:]
+        return np.mean(np.logaddexp(0, z) - y * z) + 0.02 * np.abs(w[1:]).sum()
+
+    best = quality.lasso(x, y, 0.02)
+    assert all(loss(best) <= loss(best + d) + 1e-7 for d in rng.normal(size=(500, 7)) * rng.choice([0.001, 0.01, 0.1], size=(500, 1)))
+    assert (best[1:] == 0).any()
+
+
+def test_quality_columns_with_internal_names(spark):
+    names = ["_stat_text", "_stat_words", "_stat_lines", "_stats", "_run_doc"]
+    df = spark.createDataFrame([(i, f"word{i} " * 9, *"abcde") for i in range(30)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    lf = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    scored = quality.score_quality(df, lf)
+    assert {tuple(r[n] for n in names) for r in scored.collect()} == {tuple("abcde")}
+    assert quality.keep_good(df, lf).columns == df.columns
