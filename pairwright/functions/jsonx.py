@@ -1,10 +1,12 @@
 """JSON from free text and JSON rendering.
 
 A reply "contains" a JSON object when the greedy span from the first ``{`` to
-the last ``}`` parses as exactly one object.  Wrapping the span in ``[...]``
-and parsing it as an array makes Spark reject trailing text after the object
-(``{..} x {..}``) and expose ``{..},{..}`` as two elements, which is then
-refused by the size test.  Strings may contain raw control characters.
+the last ``}`` parses as exactly one object.  Spark stops at the end of the first
+value, so the span is parsed twice: as the element of an array and as the value of a
+key.  What follows the first object must then close (or continue) an array for the one
+and an object for the other, which only the end of the span does: ``{..} x {..}``,
+``{..},{..}``, ``{..}] [{..}`` and ``{..}} {..}`` fail one of the two.  Strings may
+contain raw control characters.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ def json_span(c) -> Column:
     return F.regexp_extract(ustrip(_col(c)), r"(?s)\{.*\}", 0)
 
 
-def json_objects_from_text(c, value_type: str = "string") -> Column:
-    """``array<map<string, value_type>>`` parsed from the span (null if invalid)."""
-    wrapped = F.concat(F.lit("["), json_span(c), F.lit("]"))
-    return F.from_json(wrapped, f"array<map<string,{value_type}>>", _PARSE_OPTIONS)
+def _single(span: Column) -> Column:
+    """Whether the span is one JSON object and nothing else."""
+    in_array = F.from_json(F.concat(F.lit("["), span, F.lit("]")), "array<map<string,string>>", _PARSE_OPTIONS)
+    in_object = F.from_json(F.concat(F.lit('{"value":'), span, F.lit("}")), "map<string,map<string,string>>", _PARSE_OPTIONS)
+    return (F.size(in_array) == 1) & (F.size(in_object) == 1)
 
 
 def json_object_from_text(c) -> Column:
@@ -40,8 +43,8 @@ def json_object_from_text(c) -> Column:
 
     Non-string values come back as their JSON text; duplicate keys keep the
     last value."""
-    objs = json_objects_from_text(c)
-    return F.when(F.size(objs) == 1, objs.getItem(0))
+    span = json_span(c)
+    return F.when(_single(span), F.from_json(span, "map<string,string>", _PARSE_OPTIONS))
 
 
 def extract_field(c, key: str = "prompt", default: str | None = FV.DEFAULT_PREDICTED_PROMPT) -> Column:
@@ -56,10 +59,7 @@ def extract_field(c, key: str = "prompt", default: str | None = FV.DEFAULT_PREDI
 
 def parse_field_as(c, key: str, schema: DataType | str) -> Column:
     """Parse the object's ``key`` into a typed value (e.g. ``array<struct<...>>``)."""
-    raw = F.from_json(F.concat(F.lit("["), json_span(c), F.lit("]")),
-                      "array<map<string,string>>", _PARSE_OPTIONS)
-    one = F.when(F.size(raw) == 1, raw.getItem(0).getItem(key))
-    return F.from_json(one, schema, _PARSE_OPTIONS)
+    return F.from_json(json_object_from_text(c).getItem(key), schema, _PARSE_OPTIONS)
 
 
 def to_json_item(**fields) -> Column:

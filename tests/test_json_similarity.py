@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,6 +25,36 @@ def test_extract_field_cases(spark):
     assert got == [e for _, e in cases]
 
 
+def by_json_loads(text, key, default):
+    """The same by the standard library: greedy span, one object, raw control characters allowed."""
+    found = re.search(r"\{.*\}", text, re.DOTALL)
+    try:
+        value = json.loads(found[0], strict=False)
+    except (TypeError, ValueError):
+        return default
+    return value.get(key, default)
+
+
+def test_text_after_the_object_is_refused(spark):
+    cases = ['{"prompt":"a"}] [{"prompt":"b"}', '{"prompt":"a"}} {"prompt":"b"}', '{"prompt":"a"}]}', '{"prompt":"a"},"x":{"y":"z"}', '{"prompt":"a"}]',
+             '[{"prompt":"a"}]', '{"a":{"prompt":"b"}}', '{"prompt":"}] [{"}', '{"prompt":"a"} {"prompt":"b"}', '{"prompt":"a"}\n\n']
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = [r[0] for r in df.select(J.extract_field("t", "prompt", D)).collect()]
+    assert got == [by_json_loads(t.strip(), "prompt", D) for t in cases]
+
+
+def test_extract_field_equals_json_loads_on_pieces(spark):
+    rng = random.Random(8)
+    pieces = ['{', '}', '[', ']', '"prompt"', ':', ',', '"a"', '"b}"', '"[{"', '\\', '"', ' ', '{"prompt":"x"}', '{"prompt":"y","n":"1"}', '"q"']
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    texts += [x + '{"prompt":"x"}' + y for x in ("", "[", "{", '"') for y in ("", "]", "}", "]}", "} {}", "] [{}", ",{}", ',"a":{}')]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", J.extract_field("t", "prompt", D)).collect()}
+    want = {i: by_json_loads(t.strip(), "prompt", D) for i, t in enumerate(texts)}
+    assert {i: (texts[i], got[i], w) for i, w in want.items() if isinstance(w, str | None) and got[i] != w} == {}
+    assert sum(w != D for w in want.values()) > 30
+
+
 def dp_lcs(a, b):
     prev = [0] * (len(b) + 1)
     for ca in a:
