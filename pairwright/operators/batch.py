@@ -8,10 +8,15 @@ error text and the job goes on, like a failed API call in a generation loop.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
+import os
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +99,23 @@ def run_predictor(df: DataFrame, predictor: Callable) -> tuple[DataFrame, list[s
     return res, []
 
 
+def load_predictor(module: str) -> Callable:
+    """The ``predict`` function of a predictor: a module name, or the path of a Python file, from any folder. What it
+    defines goes to the executors by value, so they need not find the module."""
+    if module.endswith(".py"):
+        name = os.path.splitext(os.path.basename(module))[0]
+        spec = importlib.util.spec_from_file_location(name, module)
+        found = importlib.util.module_from_spec(spec)
+        sys.modules[name] = found
+        spec.loader.exec_module(found)
+    else:
+        found = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(found)
+    return found.predict
+
+
 # M3 / K9 / T9
+# Fixed value: the fields of a prompt description.
 EXAMPLE_SCHEMA = (
     "array<struct<prompt:string,"
     "input_characteristics:struct<type:string,style:string,domain:string,sentiment:string,"

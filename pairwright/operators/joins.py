@@ -10,11 +10,13 @@ falls back to a shuffle join otherwise, splitting skewed partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
+from ..session import written
 
 
 # J1, J2
@@ -160,3 +162,30 @@ def cross_instructions(prompts: DataFrame, instructions: Sequence[str] = FV.VARI
 
 def cross_models(df: DataFrame, models: Sequence[str] = FV.TEXT_MODELS) -> DataFrame:
     return fan_out(df, models, "model")
+
+
+# J15
+def number_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` written once, with the position of each row as ``name`` (from 0, in the order of its partitions).
+
+    Rows are counted per partition and the counts become offsets, so no task holds more than its own
+    partition; the driver holds one number per partition."""
+    numbered = written(df.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33)
+    counts = sorted(numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets = list(accumulate((r["n"] for r in counts), initial=0))
+    starts = df.sparkSession.createDataFrame([(r["part"], at) for r, at in zip(counts, offsets)], "_part long, _start long")
+    rows = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(name, F.col("_start") + inside).drop("_place", "_part", "_start")
+
+
+def attach_truth(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """The columns of ``truth`` beside those of ``predicted``, row by row in their order; a column that both have
+    comes from ``predicted``. Frames of different length are refused."""
+    left = number_rows(predicted, "_row")
+    right = number_rows(truth.select(*[c for c in truth.columns if c not in predicted.columns]), "_row")
+    n = [f.count() for f in (left, right)]
+    if n[0] != n[1]:
+        raise ValueError(f"{n[0]} predictions for {n[1]} rows")
+    return left.join(right, "_row").drop("_row")

@@ -146,16 +146,21 @@ def evaluation_set(old: DataFrame, new: DataFrame, splits: DataFrame, seed=1,
 
 
 # ------------------------------------------------------------------ P6
-def evaluate_rows(eval_set: DataFrame, predictor: Callable = M.constant_prediction,
+def evaluate_rows(eval_set: DataFrame, predictor: Callable | str = M.constant_prediction,
                   encoder: Callable | None = None) -> tuple[DataFrame, list[str]]:
-    """Predict prompts with the truth hidden, then score ``|cos^3|`` of the
-    encoded (normalised) truth and prediction.
+    """Predict prompts from a frame without the truth, re-attach the truth by position, then score
+    ``|cos^3|`` of the encoded (normalised) truth and prediction.
 
+    ``predictor`` is a function or the name of a module (or Python file) with ``predict``; it maps the frame
+    to one with ``rewrite_prompt`` in the same order, or to that and the names of further columns to keep.
     ``encoder`` maps a text Column to a vector Column (native); the default
     is the letter-profile test encoder."""
     encoder = encoder or SC.letter_profile
-    hidden = eval_set.withColumnRenamed("rewrite_prompt", "rewrite_prompt_og")
-    pred, extra = M.run_predictor(hidden, predictor)
+    if isinstance(predictor, str):
+        predictor = M.load_predictor(predictor)
+    held = written(eval_set, "evaluation_input")
+    pred, extra = M.run_predictor(held.drop("rewrite_prompt"), predictor)
+    pred = JN.attach_truth(pred.select("rewrite_prompt", *extra), held.withColumnRenamed("rewrite_prompt", "rewrite_prompt_og"))
     scored = (pred.withColumn("_na", T.normalize_prompt("rewrite_prompt_og"))
                   .withColumn("_np", T.normalize_prompt("rewrite_prompt"))
                   .withColumn("_a", encoder(F.col("_na")))
@@ -166,7 +171,7 @@ def evaluate_rows(eval_set: DataFrame, predictor: Callable = M.constant_predicti
     return scored.select(*cols), extra
 
 
-def evaluate(eval_set: DataFrame, predictor: Callable = M.constant_prediction,
+def evaluate(eval_set: DataFrame, predictor: Callable | str = M.constant_prediction,
              encoder: Callable | None = None, path: str | None = None) -> dict:
     """Rows with their scores and the two summaries (frames); the rows are written once, as Parquet
     into the shared folder and, with ``path``, as CSV."""

@@ -3,9 +3,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairwright.operators import batch as M
 from pairwright.operators import filters as FL
+from pairwright.operators import joins as JN
+from pairwright.operators import scoring as SC
 from pairwright.plans import pipelines as P
 
 
@@ -73,6 +76,61 @@ def test_predictor_with_extra_columns_and_csv(spark, scratch):
     assert done["cluster_score"].first()["count"] == 2
 
 
+def eval_rows(spark, n=40):
+    rows = [(f"o{i}", f"r{i}", f"make it {i}", i % 3) for i in range(n)]
+    return spark.createDataFrame(rows, "original_text string, rewritten_text string, rewrite_prompt string, cluster int").repartition(5)
+
+
+def test_predictor_that_returns_only_its_own_column_and_cannot_see_the_truth(spark):
+    def predictor(frame):
+        assert "rewrite_prompt" not in frame.columns and not any("og" in c for c in frame.columns)
+        return frame.select(F.concat(F.lit("guess "), F.substring("original_text", 2, 9)).alias("rewrite_prompt"))
+
+    rows, _ = P.evaluate_rows(eval_rows(spark), predictor)
+    got = rows.collect()
+    assert len(got) == 40 and all(r["rewrite_prompt"] == "guess " + r["original_text"][1:] for r in got)
+    assert all(r["rewrite_prompt_og"] == "make it " + r["original_text"][1:] == "make it " + r["rewritten_text"][1:] for r in got)
+
+
+def test_predictions_of_another_number_are_refused(spark):
+    with pytest.raises(ValueError, match="39 predictions for 40 rows"):
+        P.evaluate_rows(eval_rows(spark), lambda f: f.where("original_text <> 'o3'").withColumn("rewrite_prompt", F.lit("x")))
+
+
+def test_positions_count_over_partitions(spark):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 <> 0 and (id < 200 or id > 500)")
+    got = JN.number_rows(df).orderBy("id").collect()
+    assert [r["row"] for r in got] == list(range(len(got)))
+    assert JN.number_rows(df.where("id < 0")).count() == 0
+
+
+def test_predictor_module_from_another_folder(spark, scratch):
+    with open(f"{scratch}/shouting_predictor.py", "w") as f:
+        f.write("import pandas as pd\nfrom pyspark.sql import functions as F\n\n\ndef shout(text):\n    return text.upper()\n\n\n"
+                "@F.pandas_udf('string')\ndef shouted(texts: pd.Series) -> pd.Series:\n    return texts.map(shout)\n\n\n"
+                "def predict(frame):\n    return frame.withColumn('rewrite_prompt', shouted('original_text'))\n")
+    rows, _ = P.evaluate_rows(eval_rows(spark, 6), f"{scratch}/shouting_predictor.py")
+    assert {r["rewrite_prompt"] for r in rows.collect()} == {f"O{i}" for i in range(6)}
+
+
+def test_many_references_score_as_literals_do(spark):
+    import random
+
+    rng = random.Random(1)
+    refs = [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(20_000)]
+    refs[7] = [0.0] * 8
+    df = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(5)] + [(9, [0.0] * 8), (10, None)], "id int, embedding array<double>")
+    many = {r["id"]: r["scores"] for r in SC.score_against_references(df, refs).collect()}
+    few = {r["id"]: r["scores"] for r in SC.score_against_references(df, refs[:40]).collect()}
+    assert many[10] is None and all(len(many[i]) == 20_000 for i in range(5))
+    for i in (*range(5), 9):
+        assert many[i][:40] == pytest.approx(few[i], abs=1e-12)
+    absolute = SC.score_against_references(df.where("id = 0"), refs, signed=False).first()["scores"]
+    assert absolute == pytest.approx([abs(x) for x in many[0]], abs=1e-12)
+    with pytest.raises(ValueError, match="most_bytes"):
+        SC.score_against_references(df, refs, most_bytes=1000)
+
+
 def test_mean_prompt_blend_in_prediction(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id int, original_text string, rewritten_text string")
     plain = M.predict_prompts(df, lambda xs: [json.dumps({"prompt": "zebra"}) for _ in xs]).first()["rewrite_prompt"]

@@ -85,3 +85,43 @@ def test_failed_rows_are_tried_again(spark, scratch):
     flaky = lambda todo: todo.withColumn("error", F.when(F.col("id") % 2 == 0, "failed"))
     assert append_results(spark, inputs, path, "id", flaky, "error").count() == 3
     assert append_results(spark, inputs, path, "id", lambda t: t.withColumn("error", F.lit(None).cast("string")), "error").count() == 6
+
+
+def test_overlapping_runs_leave_one_row_per_key(spark, scratch):
+    path = f"{scratch}/sink"
+    inputs = spark.range(20)
+    append_results(spark, inputs.where("id < 5"), path, "id", lambda t: t.withColumn("by", F.lit("first")))
+
+    def slow(todo):
+        # while this run computes, another one starts and ends, and a third fails halfway
+        append_results(spark, inputs.where("id < 12"), path, "id", lambda t: t.withColumn("by", F.lit("other")))
+        try:
+            append_results(spark, inputs, path, "id", lambda t: t.withColumn("by", F.raise_error(F.lit("lost"))))
+        except Exception:
+            pass
+        return todo.withColumn("by", F.lit("slow"))
+
+    got = append_results(spark, inputs, path, "id", slow)
+    rows = {r["id"]: r["by"] for r in got.collect()}
+    assert got.count() == 20 and set(rows) == set(range(20))
+    assert [rows[i] for i in (0, 5, 11, 12, 19)] == ["first", "other", "other", "slow", "slow"]
+    calls = []
+    append_results(spark, inputs, path, "id", lambda t: (calls.append(t.count()), t.withColumn("by", F.lit("last")))[1])
+    assert calls == [0] and R.read_or_empty(spark, path, None).count() == 20
+
+
+def test_keys_may_be_null_or_several_and_repeat_within_a_run(spark, scratch):
+    path = f"{scratch}/sink"
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "a")], "id long, kind string")
+    base = R.entries(spark, path)
+    for by in ("x", "y"):  # both have seen the empty log
+        R.append_new_rows(rows.withColumn("by", F.lit(by)), path, ["id", "kind"], base)
+    got = R.read_or_empty(spark, path, None)
+    assert sorted((r["id"], r["kind"] or "", r["by"]) for r in got.collect()) == [(1, "", "x"), (1, "a", "x"), (2, "a", "x")]
+
+
+def test_write_json_lines_come_back(spark, scratch):
+    rows = [(1, "é \" quote", None), (2, "line\nbreak", [1, 2])]
+    df = spark.createDataFrame(rows, "id long, text string, xs array<long>")
+    S.write_json(df, f"{scratch}/json")
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(f"{scratch}/json").collect())) == sorted(rows)
