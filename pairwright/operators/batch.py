@@ -29,30 +29,42 @@ from ..session import shared_folder
 
 def batch_map(df: DataFrame, in_col: str, fn: Callable | None, out_col: str,
               out_type: str = "string", batch_size: int = 16, error_col: str | None = None,
-              fn_factory: Callable[[], Callable] | None = None) -> DataFrame:
-    """``df`` with the function's result for ``in_col``; only that column goes to Python."""
+              fn_factory: Callable[[], Callable] | None = None, window: int = 64) -> DataFrame:
+    """``df`` with the function's result for ``in_col``; only that column goes to Python.
+
+    Model batches run over the borders of Arrow batches, so only the last one of a partition may be short. Within
+    ``window`` batches the inputs are sorted by length, so that a batch pads little; results keep the order of rows."""
     if fn is None and fn_factory is None:
         raise ValueError("pass fn or fn_factory")
 
     @F.pandas_udf(f"value {out_type}, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         f = fn_factory() if fn_factory is not None else fn
-        for series in batches:
-            values = series.tolist()
-            outs: list = []
-            errs: list = []
+        held: list = []
+
+        def results(values: list) -> pd.DataFrame:
+            order = sorted(range(len(values)), key=lambda i: len(values[i]) if isinstance(values[i], str) else 0)
+            outs, errs = [None] * len(values), [None] * len(values)
             for i in range(0, len(values), batch_size):
-                chunk = values[i:i + batch_size]
+                at = order[i:i + batch_size]
                 try:
-                    res = list(f(chunk))
-                    if len(res) != len(chunk):
-                        raise ValueError(f"function returned {len(res)} results for {len(chunk)} inputs")
-                    outs.extend(res)
-                    errs.extend([None] * len(chunk))
+                    res = list(f([values[j] for j in at]))
+                    if len(res) != len(at):
+                        raise ValueError(f"function returned {len(res)} results for {len(at)} inputs")
+                    for j, value in zip(at, res):
+                        outs[j] = value
                 except Exception as exc:  # a failed call becomes null, the run goes on
-                    outs.extend([None] * len(chunk))
-                    errs.extend([repr(exc)] * len(chunk))
-            yield pd.DataFrame({"value": pd.Series(outs, dtype="object"), "error": pd.Series(errs, dtype="object")})
+                    for j in at:
+                        errs[j] = repr(exc)
+            return pd.DataFrame({"value": pd.Series(outs, dtype="object"), "error": pd.Series(errs, dtype="object")})
+
+        for series in batches:
+            held += series.tolist()
+            while len(held) >= batch_size * window:
+                yield results(held[:batch_size * window])
+                held = held[batch_size * window:]
+        if held:
+            yield results(held)
 
     # explode keeps one call per row however often its fields are used
     done = df.select("*", F.explode(F.array(run(F.col(in_col)))).alias("_result"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
@@ -37,22 +37,45 @@ PAIR_COLUMNS = ("id", "original_text", "rewrite_prompt", "rewritten_text", "clus
 def clean_pairs(df: DataFrame, reject_any_words: Sequence[str] = FV.REJECT_ANY_WORDS,
                 word_groups: Sequence[Sequence[str]] = FV.REJECT_ALL_WORD_GROUPS,
                 phrases: Sequence[str] = FV.BOILERPLATE_PHRASES,
-                max_ratio: float = FV.NEAR_IDENTICAL_MAX_RATIO, tagger=None) -> DataFrame:
-    out = FL.drop_null_rows(df)
-    out = FL.reject_if_contains_all(out, "rewrite_prompt", word_groups[0])
-    out = FL.reject_if_contains_any(out, "rewrite_prompt", reject_any_words)
-    for group in word_groups[1:]:
-        out = FL.reject_if_contains_all(out, "rewrite_prompt", group)
+                max_ratio: float | None = FV.NEAR_IDENTICAL_MAX_RATIO, tagger=None,
+                observed: StageCounts | None = None) -> DataFrame:
+    """P1. ``observed`` counts the rows after each filter while the result is computed (A11 as a by-product);
+    ``max_ratio=None`` leaves out the near-identity stage."""
+    seen = observed.after if observed is not None else lambda frame, _: frame
+    out = seen(df, "input")
+    out = seen(FL.drop_null_rows(out), "drop_null_rows")
+    out = seen(FL.reject_if_contains_all(out, "rewrite_prompt", word_groups[0]), "reject_translate")
+    out = seen(FL.reject_if_contains_any(out, "rewrite_prompt", reject_any_words), "reject_words")
+    for i, group in enumerate(word_groups[1:]):
+        out = seen(FL.reject_if_contains_all(out, "rewrite_prompt", group), f"reject_group_{i + 2}")
     out = strip_once(out)
-    out = FL.reject_identical(out, "rewritten_text", "original_text")
-    out = FL.reject_boilerplate(out, "rewritten_text", phrases)
-    out = FL.reject_near_identical(out, "original_text", "rewritten_text", max_ratio)
-    out = FL.reject_redundant_prompt(out, "rewrite_prompt", tagger)
+    out = seen(FL.reject_identical(out, "rewritten_text", "original_text"), "reject_identical")
+    out = seen(FL.reject_boilerplate(out, "rewritten_text", phrases), "reject_boilerplate")
+    if max_ratio is not None:
+        out = seen(FL.reject_near_identical(out, "original_text", "rewritten_text", max_ratio), "reject_near_identical")
+    out = seen(FL.reject_redundant_prompt(out, "rewrite_prompt", tagger), "reject_redundant")
     out = D.distinct_rows(out.select(*PAIR_COLUMNS))
     out = FL.drop_null_rows(out)
     return out.withColumn("rewritten_text", T.ustrip("rewritten_text"))
 
 
+# A11
+class StageCounts:
+    """Rows after each stage of one run, as metrics of that run: no job of their own."""
+
+    def __init__(self) -> None:
+        self.stages: list[tuple[str, Observation]] = []
+
+    def after(self, df: DataFrame, stage: str) -> DataFrame:
+        metric = Observation()
+        self.stages.append((stage, metric))
+        return df.observe(metric, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> list[tuple[int, str, int]]:
+        """(stage_no, stage, rows); waits for the first action on the observed frame."""
+        return [(i, stage, metric.get["rows"]) for i, (stage, metric) in enumerate(self.stages)]
+
+
 def strip_once(df: DataFrame, col: str = "rewritten_text") -> DataFrame:
     """``strip_preamble`` on ``col``, evaluated once per row: the filters that follow
     test the output of a generator, through which Catalyst doesn't push them."""

@@ -187,3 +187,18 @@ def test_encode_hashing_query_returns_the_embedding(spark):
         norm = math.sqrt(sum(k * k for k in n.values()))
         want = [n[i] / norm if n else 0.0 for i in range(256)]
         assert len(got[r["id"]]) == 256 and all(abs(a - b) < 1e-5 for a, b in zip(got[r["id"]], want))
+
+
+def test_batches_run_over_arrow_batches_and_sort_by_length(spark):
+    df = spark.createDataFrame([(i, "x" * ((i * 7) % 23)) for i in range(103)], "i int, t string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        got = M.batch_map(df, "t", lambda ts: [f"{len(ts)}/{max(map(len, ts)) - min(map(len, ts))}/{len(t)}" for t in ts], "o", batch_size=8, window=4).collect()
+    finally:
+        spark.conf.set(key, before)
+    parts = [r["o"].split("/") for r in sorted(got)]
+    assert [int(p[2]) for p in parts] == [(i * 7) % 23 for i in range(103)]  # results in row order
+    assert sorted(int(p[0]) for p in parts) == [7] * 7 + [8] * 96  # only the last batch is short
+    assert max(int(p[1]) for p in parts) < 22

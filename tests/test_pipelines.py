@@ -76,3 +76,21 @@ def test_batch_map_failure_becomes_null(spark):
     out = M.batch_generate(df, "p", flaky, batch_size=2).orderBy("id").collect()
     assert [r["generated"] for r in out] == ["0!", "1!", None, None, "4!", "5!"]
     assert out[2]["error"] and out[0]["error"] is None
+
+
+def test_stage_counts_are_a_by_product_of_the_run(spark):
+    import __spark_entry__ as E
+    from pairwright.plans import catalog as C
+
+    pairs = VW.pairs(spark, SF001)
+    counts = P.StageCounts()
+    tracker, group = spark.sparkContext.statusTracker(), "observed-run"
+    spark.sparkContext.setJobGroup(group, "")
+    P.clean_pairs(pairs, observed=counts, **{**C.STAGE_PARAMS}).write.format("noop").mode("overwrite").save()
+    rows = counts.rows()
+    jobs = len(tracker.getJobIdsForGroup(group))
+    counts.rows()
+    assert len(tracker.getJobIdsForGroup(group)) == jobs
+    spark.sparkContext._jsc.clearJobGroup()
+    want = sorted(map(tuple, E.queries()["stage_counts"](spark, SF001).collect()))
+    assert rows == want and len({r[2] for r in rows}) > 3
