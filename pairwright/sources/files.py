@@ -1,14 +1,14 @@
 """File sources and sinks (S1-S7) with explicit schemas.
 
-Multi-line CSV and whole-file JSON documents cannot be split, so they are
-read once and should be landed as Parquet for every later job.
+Quoted multi-line CSV is read in many tasks (``csv_records``).  Whole-file JSON documents
+cannot be split, so they are read once and should be landed as Parquet for every later job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, StructField, StructType
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 PAIR_SCHEMA = ("id string, original_text string, rewrite_prompt string, "
                "rewritten_text string, cluster int")
@@ -26,16 +26,59 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 # S1
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of quoted CSV files as ``(file, record, text)``, whole and numbered from 0 in each file, read in many tasks.
+
+    A line begins a record if the quotes before it, from the start of its file, are even in number (a doubled quote
+    counts twice). Spark splits files by bytes and says where a split begins; the quotes and beginnings of each split are
+    summed up, and running sums over the splits of a file tell each split what came before. A task holds the lines of
+    one split; only the records at its borders meet those of its neighbours."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"))
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    within = Window.partitionBy("file", "split").orderBy("place")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("before", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+
+    def starts(parity: int):
+        return F.sum(F.when(F.col("before") == parity, 1).otherwise(0))
+
+    # one row per split: its quotes, and its beginnings if it begins outside or inside of quotes
+    splits = lines.groupBy("file", "split").agg((F.sum("quotes") % 2).alias("odd"), starts(0).alias("outside"), starts(1).alias("inside"))
+    of_file = Window.partitionBy("file").orderBy("split")
+    earlier = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("parity", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    splits = splits.withColumn("begins", F.when(F.col("parity") == 0, F.col("outside")).otherwise(F.col("inside")))
+    splits = splits.select(F.col("file").alias("_file"), F.col("split").alias("_split"), "parity",
+                           (F.coalesce(F.sum("begins").over(earlier), F.lit(0)) - 1).alias("last"))
+    lines = lines.join(splits, (F.col("file") == F.col("_file")) & (F.col("split") == F.col("_split"))).drop("_file", "_split")
+    begins = F.when(F.col("before") == F.col("parity"), 1).otherwise(0)
+    lines = lines.withColumn("record", F.col("last") + F.sum(begins).over(within))
+    parts = lines.groupBy("file", "split", "record", "last").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("lines"))
+    parts = parts.withColumn("text", F.array_join(F.transform("lines", lambda x: x["value"]), "\n"))
+    ends = F.max("record").over(Window.partitionBy("file", "split"))
+    parts = parts.withColumn("inner", (F.col("record") > F.col("last") + 1) & (F.col("record") < ends))
+    inner = parts.where("inner").select("file", "record", "text")
+    border = parts.where("not inner").groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("split", "text"))).alias("texts"))
+    border = border.select("file", "record", F.array_join(F.transform("texts", lambda x: x["text"]), "\n").alias("text"))
+    return inner.unionByName(border).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+
+
 def read_pairs_csv(spark: SparkSession, path: str, schema: str | StructType = PAIR_SCHEMA,
                    na_values=NA_STRINGS) -> DataFrame:
     """Header CSV with quoted multi-line fields and doubled quotes; NA strings -> null.
 
-    Columns are found by their name in the header, in any order; others are
+    Columns are found by their name in the header of the first file, in any order; others are
     left out.  Whole numbers may be written with a fraction of zero ("3.0");
-    a value that is not of its column's type becomes null."""
-    raw = (spark.read.option("header", True).option("multiLine", True)
-           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    a value that is not of its column's type becomes null.  One file is read in as many tasks as it has splits."""
     typed = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    header = spark.read.option("header", True).option("multiLine", True).options(**options).csv(path).columns
+    text = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
+    records = csv_records(spark, path).where((F.col("record") > 0) & (F.trim("text") != ""))
+    raw = records.select(F.from_csv("text", text.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    raw = raw.select(*[F.col(f"r.c{i}").alias(name) for i, name in enumerate(header)])
     return raw.select(*[_parsed(F.when(~F.col(f.name).isin(list(na_values)), F.col(f.name)), f) for f in typed.fields])
 
 

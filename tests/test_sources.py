@@ -125,3 +125,46 @@ def test_write_json_lines_come_back(spark, scratch):
     df = spark.createDataFrame(rows, "id long, text string, xs array<long>")
     S.write_json(df, f"{scratch}/json")
     assert sorted(map(tuple, spark.read.schema(df.schema).json(f"{scratch}/json").collect())) == sorted(rows)
+
+
+def by_csv_module(folder):
+    import csv
+
+    rows = []
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}", newline="") as f:
+            rows += [tuple(None if x == "" or x in S.NA_STRINGS else x for x in row) for row in list(csv.reader(f))[1:]]
+    return rows
+
+
+def test_csv_is_read_by_many_tasks(spark, scratch):
+    import csv
+    import random
+
+    rng = random.Random(6)
+    cells = ["plain", "", "NA", 'a "quoted" word', "two\nlines", '"', '""\n""', "comma, here", " pad ", "\n\n", "é漢😀", "x" * 300, 'end"', "\r\nwin", ","]
+    os.mkdir(f"{scratch}/many")
+    for name, n, end in (("a", 700, "\n"), ("b", 1, "\r\n"), ("c", 300, "\r\n"), ("d", 0, "\n")):
+        with open(f"{scratch}/many/{name}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator=end)
+            out.writerow(["id", "original_text", "rewrite_prompt", "rewritten_text", "cluster"])
+            for i in range(n):
+                out.writerow([f"{name}{i}", *(rng.choice(cells) for _ in range(3)), i])
+    with open(f"{scratch}/many/c.csv", "a") as f:
+        f.write('c-last,"no line end",x,"open\nfield",7')
+    keys = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    want = sorted(map(repr, by_csv_module(f"{scratch}/many")))
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        lines = spark.read.text(f"{scratch}/many")
+        assert lines.rdd.getNumPartitions() > 20
+        schema = "id string, original_text string, rewrite_prompt string, rewritten_text string, cluster string"
+        got = sorted(repr(tuple(r)) for r in read_pairs_csv(spark, f"{scratch}/many", schema).collect())
+        records = S.csv_records(spark, f"{scratch}/many").groupBy("file").agg(F.count("*").alias("n"), F.max("record").alias("m")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(want) == 1002 and got == want
+    assert sorted((r["n"], r["m"]) for r in records) == [(1, 0), (2, 1), (302, 301), (701, 700)]
