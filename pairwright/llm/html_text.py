@@ -59,6 +59,14 @@ OFF_NAMES = frozenset(
 )
 #: A name with one of these says something about the page, not what the element is (has-sidebar, comments-open).
 STATE = frozenset("has have is no not with without open closed enabled disabled".split())
+#: Beside one of the names above these say that an element is of that kind; other words make it a name of its own (related-work).
+COMPANIONS = frozenset(
+    "post posts article articles link links list box area section button buttons bar slot container wrapper wrap form block unit item items "
+    "story stories text content inner outer main site page global primary secondary left right top bottom col column panel field input "
+    "message card title heading icon icons media holder row group 1 2 3 4".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LINKED = 0.3  # share of link text at which an unclear name inside an article counts as boilerplate
 GOOD_TAGS = frozenset("article main".split())
 GOOD_NAMES = frozenset("article main content post entry story body-text".split())
 
@@ -144,7 +152,7 @@ def mark_says(mark: str) -> tuple[bool, bool, bool]:
     """Of one element: it is boilerplate; it is boilerplate outside an article; it is an article."""
     tag, *names = mark.split(" ")
     words = {w for name in names for w in (name, *re.split(r"[-_]+", name))}
-    off = tag in OFF_TAGS or tag not in ("body", "html") and any(map(off_name, names))
+    off = tag in OFF_TAGS or tag not in ("body", "html") and tag not in HEADINGS and any(map(off_name, names))
     return off, tag == "header", tag in GOOD_TAGS or bool(words & GOOD_NAMES)
 
 
@@ -153,20 +161,31 @@ def off_name(name: str) -> bool:
     return name in OFF_NAMES or not STATE.intersection(words) and bool(OFF_NAMES.intersection(words))
 
 
+def unclear(name: str) -> bool:
+    """A name of several parts of which only some speak of boilerplate (market-share, notice-period)."""
+    words = set(re.split(r"[-_]+", name))
+    return off_name(name) and name not in OFF_NAMES and not words <= OFF_NAMES | COMPANIONS
+
+
 def without_wrappers(page: Page) -> list[tuple[str, tuple[str, ...], int, int]]:
     """The blocks with the boilerplate marks of wrappers taken out of their paths.
 
     A boilerplate name, or a form, is that of a wrapper if it holds more than half of the text of the
     page's articles and is not inside one; on a page without articles, if it holds more than half of the
-    page's text. Text of links and text under other boilerplate tags don't count.
+    page's text. Text of links and text under other boilerplate tags don't count. Inside an article, unclear names
+    are taken out as well unless much of the element's text is links.
     """
     held: dict[tuple[int, bool], int] = defaultdict(int)  # by element and whether in an article: characters that count
     marked: dict[int, str] = {}
+    doubtful: dict[int, list[int]] = defaultdict(lambda: [0, 0])  # characters and those of links, of unclear names inside an article
     total = {True: 0, False: 0}
     for (text, path, links, _), numbers in zip(page.blocks, page.elements):
         tags = [mark.split(" ", 1)[0] for mark in path]
         first = next((i for i, tag in enumerate(tags) if tag in GOOD_TAGS), len(path))
         for i, mark in enumerate(path):
+            if i > first and tags[i] not in OFF_TAGS and all(map(unclear, filter(off_name, mark.split(" ")[1:]))) and mark_says(mark)[0]:
+                doubtful[numbers[i]][0] += len(text)
+                doubtful[numbers[i]][1] += min(links, len(text))
             # The article itself may have the name; what is inside it is judged as before.
             if mark_says(mark)[0] and (tags[i] == "form" or tags[i] not in OFF_TAGS) and (i <= first or tags[i] == "form"):
                 marked[numbers[i]] = mark
@@ -176,10 +195,11 @@ def without_wrappers(page: Page) -> list[tuple[str, tuple[str, ...], int, int]]:
         total[first < len(path)] += chars
         for n in numbers:
             held[n, first < len(path)] += chars
-    if not marked:
+    if not marked and not doubtful:
         return page.blocks
     inside = total[True] > 0
     wrappers = {n for n in marked if 2 * held[n, inside] > total[inside]}
+    wrappers |= {n for n, (chars, linked) in doubtful.items() if linked < LINKED * chars}
     if not wrappers:
         return page.blocks
 
@@ -204,6 +224,41 @@ def weight(path: tuple[str, ...]) -> float:
     return out
 
 
+def in_article(path: tuple[str, ...]) -> bool:
+    return any(mark_says(mark)[2] for mark in path)
+
+
+def text_element(page: Page, blocks: list, mass: list[float]) -> int:
+    """The innermost element that holds most of the score, on a page without an article; 0 is the page."""
+    if not sum(mass) or any(m and in_article(path) for (_, path, _, _), m in zip(blocks, mass)):
+        return -1
+    held: dict[int, float] = defaultdict(float)
+    for numbers, m in zip(page.elements, mass):
+        for n in numbers:
+            held[n] += m
+    return max((n for n, m in held.items() if m >= 0.6 * sum(mass)), default=0)
+
+
+def boxes(page: Page, blocks: list, mass: list[float]) -> list[int | None]:
+    """The container with which a block is smoothed; None: it stands alone.
+
+    Without an article the element of the text takes this place; a title and what stands between it and
+    the text belong to it, as do blocks that have no container of their own where that element is the page."""
+    found = [box or None for _, _, _, box in blocks]
+    root = text_element(page, blocks, mass)
+    if root < 0:
+        return found
+    inside = [root in numbers for numbers in page.elements] if root else [True] * len(blocks)
+    tag = next((m.split(" ", 1)[0] for (_, path, _, _), ns in zip(blocks, page.elements) for m, n in zip(path, ns) if n == root), "body")
+    alone = tag not in ("body", "html")  # an element for the text itself
+    first = inside.index(True)
+    title = next((i for i in range(first) if any(m.split(" ", 1)[0] in ("h1", "h2") for m in blocks[i][1])), first)
+    for i, here in enumerate(inside):
+        if here and (alone or found[i] is None) or title <= i < first:
+            found[i] = -1
+    return found
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its content blocks in page order, joined by an empty line.
 
@@ -211,7 +266,8 @@ def main_text(html: str | None) -> str:
     """
     if not html:
         return ""
-    blocks = without_wrappers(Page(html))
+    page = Page(html)
+    blocks = without_wrappers(page)
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for text, path, links, _ in blocks:
         s = sums[path]
@@ -221,18 +277,21 @@ def main_text(html: str | None) -> str:
         s[3] += min(links, len(text))
     score = {}
     for path, (chars, marks, n, links) in sums.items():
-        score[path] = weight(path) * (chars / n) * (1 + marks / n) * (1 - links / chars) ** 2
+        plain = (1 - links / chars) ** 2
+        # inside an article a linked heading or list item only counts less than its neighbours
+        score[path] = weight(path) * (chars / n) * (1 + marks / n) * (max(plain, 0.01) if in_article(path) else plain)
+    box_of = boxes(page, blocks, [score[path] * len(text) for text, path, _, _ in blocks])
     inside: dict[int, list[float]] = defaultdict(lambda: [0, 0])
-    for text, path, _, box in blocks:
-        if box and score[path] > 0:
+    for (text, path, _, _), box in zip(blocks, box_of):
+        if box is not None and score[path] > 0:
             inside[box][0] += score[path] * len(text)
             inside[box][1] += len(text)
 
-    def smooth(path: tuple[str, ...], box: int) -> float:
+    def smooth(path: tuple[str, ...], box: int | None) -> float:
         total, chars = inside[box] if box in inside else (0, 1)
         return max(score[path], total / chars / 2) if score[path] > 0 else 0.0
 
-    smoothed = [(text, smooth(path, box)) for text, path, _, box in blocks]
+    smoothed = [(text, smooth(path, box)) for (text, path, _, _), box in zip(blocks, box_of)]
     mass = sum(len(text) for text, s in smoothed if s > 0)
     if not mass:
         return ""

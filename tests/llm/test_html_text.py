@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -80,3 +81,64 @@ def test_short_blocks_in_containers_of_the_article_stay(start, end):
     <div><a href=1>one</a></div></body>"""
     want = [long.strip(), "Year", "1999", "A quoted sentence.", "Part", "Short one.", long.strip()]
     assert main_text(page).split("\n\n") == want
+
+
+LONG = ". ".join(["This is a sentence of the article, with some words in it"] * 4) + "."
+
+
+def paragraphs(n):
+    return "".join(f"<p>{i} {LONG}</p>" for i in range(n))
+
+
+KEPT_OR_NOT = [
+    ("<body><h1>Title</h1>" + paragraphs(3) + "<ul><li>one</li><li>two</li></ul></body>", ["Title", "one", "two"], []),
+    (
+        "<body><nav><a href=x>Home</a></nav><article><h2><a href=#s>Section</a></h2>" + paragraphs(3)
+        + "<ul><li><a href=q>linked item</a></li></ul><blockquote><a href=z>A linked quotation.</a></blockquote></article></body>",
+        ["Section", "linked item", "A linked quotation."], ["Home"],
+    ),
+    (
+        '<body><div class="top"><a href=x>Home</a> <a href=y>About</a></div><div><h1>The title</h1><p>A lead.</p></div><div>'
+        + paragraphs(4) + "</div></body>",
+        ["The title", "A lead."], ["Home About"],
+    ),
+    (
+        "<body><article>" + paragraphs(2) + '<section class="related-work"><p>Related work is here.</p></section><section id="market-share">'
+        '<p>Market share grew.</p></section><p class="notice-period">The notice period is long.</p><h2 id="search">Search</h2>'
+        '<div class="related-posts"><a href=a>Other post</a></div><div class="share-buttons">Share this</div>'
+        '<div class="comments-area"><p>I liked this, really, a lot.</p></div><div class="sidebar-notes"><a href=a>Much of it linked</a></div></article></body>',
+        ["Related work is here.", "Market share grew.", "The notice period is long.", "Search"],
+        ["Other post", "Share this", "I liked this, really, a lot.", "Much of it linked"],
+    ),
+]
+
+
+@pytest.mark.parametrize("html, kept, gone", KEPT_OR_NOT)
+def test_article_text_is_kept_whole(html, kept, gone):
+    blocks = main_text(html).split("\n\n")
+    assert [k for k in kept if k not in blocks] == [] and [g for g in gone if g in blocks] == []
+    assert f"0 {LONG}" in blocks and f"1 {LONG}" in blocks
+
+
+def test_recall_and_precision_of_blocks_on_made_pages():
+    """Articles put into frames of menus, notices and comments: every block of the article and nothing else."""
+    rng = random.Random(12)
+    frames = [
+        "<html><body><header><a href=/>Home</a></header><article>{}</article><footer>All rights reserved.</footer></body></html>",
+        '<body><div id="menu"><ul><li><a href=a>News</a></li></ul></div><div id="content">{}</div><div class="comments"><p>Nice one, thanks!</p></div></body>',
+        '<body><div class="cookie-notice">We use cookies.</div><main><div class="ad">Buy now!</div><div>{}</div></main><aside><p>See also this.</p></aside></body>',
+        '<body class="has-sidebar"><form>{}</form><div class="sidebar"><a href=x>Other</a></div></body>',
+    ]
+    off = {"Home", "All rights reserved.", "News", "Nice one, thanks!", "We use cookies.", "Buy now!", "See also this.", "Other"}
+    for frame in frames:
+        for _ in range(10):
+            want, parts = [], []
+            for i in range(rng.randint(4, 12)):
+                kind = rng.choice(["p", "p", "p", "h2", "li", "blockquote", "td"])
+                text = f"{i} {LONG}" if kind == "p" else f"{i} short {kind}"
+                want.append(text)
+                parts.append({"li": f"<ul><li>{text}</li></ul>", "td": f"<table><tr><td>{text}</td></tr></table>"}.get(kind, f"<{kind}>{text}</{kind}>"))
+            want.append(f"end {LONG}")
+            parts.append(f"<p>end {LONG}</p>")
+            got = main_text(frame.format("".join(parts))).split("\n\n")
+            assert got == want and not off.intersection(got)
