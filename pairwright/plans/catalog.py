@@ -305,7 +305,9 @@ def q_indel_ratio(spark, sf):
     return p.select("id", r6(indel_ratio_expr("original_text", "rewritten_text")).alias("ratio"))
 
 
-@query("reject_near_identical")
+@query("reject_near_identical", PAIRS_V.replace("WITH ", "WITH RECURSIVE ", 1) + f", full_pairs AS (SELECT * FROM pairs WHERE {NN}), "
+       + S.near_identical("full_pairs", "original_text", "rewritten_text", FV.NEAR_IDENTICAL_MAX_RATIO) +
+       " SELECT id FROM full_pairs WHERE id NOT IN (SELECT id FROM near_identical)")
 def q_reject_near_identical(spark, sf):
     return FL.reject_near_identical(full_pairs(spark, sf)).select("id")
 
@@ -336,13 +338,12 @@ def q_sharpened_score(spark, sf):
                                          r6(V.sharpened_signed(c)).alias("signed_score"))
 
 
-@query("l2_normalize", S.with_views(S.VECTORS) + "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS first, "
-       "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n)), 6) AS total "
+@query("l2_normalize", S.with_views(S.VECTORS) + "SELECT vec_id, "
+       "list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / n, 6) + 0.0) AS unit "
        f"FROM (SELECT vec_id, embedding, {S.norm('embedding', DIM)} AS n FROM vectors) t WHERE n > 0")
 def q_l2_normalize(spark, sf):
-    v = VW.vectors(spark, sf).where(V.norm("embedding") > 0).withColumn("u", V.l2_normalize("embedding"))
-    return v.select("vec_id", r6(F.col("u")[0]).alias("first"),
-                    r6(F.aggregate("u", F.lit(0.0), lambda acc, x: acc + x)).alias("total"))
+    v = VW.vectors(spark, sf).where(V.norm("embedding") > 0)
+    return v.select("vec_id", F.transform(V.l2_normalize("embedding"), r6).alias("unit"))
 
 
 def _scores(spark, sf):
@@ -498,7 +499,8 @@ def q_prompts_by_cluster(spark, sf):
         F.col("cluster").isNotNull() & F.col("rewrite_prompt").isNotNull()).distinct()
 
 
-@query("pending_by_id", PAIRS_V + "SELECT id FROM pairs WHERE id NOT IN (SELECT id FROM pairs WHERE cluster < 10)")
+@query("pending_by_id", PAIRS_V + ", done AS (SELECT id FROM pairs WHERE cluster < 10) "
+       "SELECT p.id FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.id = p.id)")
 def q_pending_by_id(spark, sf):
     p = pairs(spark, sf)
     return JN.pending_by_id(p.select("id"), p.where(F.col("cluster") < 10).select("id"))
@@ -608,10 +610,9 @@ def q_group_variations(spark, sf):
                     F.array_join("variations", " || ").alias("variations"))
 
 
-def _stage_sql() -> str:
-    fp_text = "rewritten_text"
-    stripped = S.strip_preamble(fp_text)
-    conds = [
+def _stage_conditions() -> list[tuple[str, str]]:
+    stripped = S.strip_preamble("rewritten_text")
+    return [
         ("drop_null_rows", "id IS NOT NULL AND original_text IS NOT NULL AND rewrite_prompt IS NOT NULL AND rewritten_text IS NOT NULL AND cluster IS NOT NULL"),
         ("reject_translate", S.keep_unless(S.contains_all_ci("rewrite_prompt", ("from", "to")))),
         ("reject_words", S.keep_unless(S.contains_any_literal("rewrite_prompt", ("that", "with")))),
@@ -620,6 +621,10 @@ def _stage_sql() -> str:
         ("reject_boilerplate", S.keep_unless(S.contains_any_ci(stripped, ("license", "sure")))),
         ("reject_redundant", "rewrite_prompt NOT IN (SELECT text FROM redundant)"),
     ]
+
+
+def _stage_sql() -> str:
+    conds = _stage_conditions()
     cum = []
     selects = ["SELECT 0 AS stage_no, 'input' AS stage, count(*) AS rows FROM pairs"]
     for i, (name, c) in enumerate(conds, start=1):
@@ -778,18 +783,50 @@ def q_evaluation_set(spark, sf):
 CLEAN_PARAMS = {k: v for k, v in STAGE_PARAMS.items() if k != "max_ratio"}
 
 
-@query("clean_pairs")
+def _cleaned_sql() -> str:
+    """CTEs up to ``cleaned``: P1 by the stages' conditions, then near-identity of what is left."""
+    passes = " AND ".join(f"({c})" for _, c in _stage_conditions())
+    return REDUNDANT_PAIRS_V.rstrip() + f""",
+passed AS (SELECT id, original_text, rewrite_prompt, {S.strip_preamble('rewritten_text')} AS stripped, cluster FROM pairs WHERE {passes}),
+{S.near_identical("passed", "original_text", "stripped", FV.NEAR_IDENTICAL_MAX_RATIO)},
+cleaned AS (SELECT DISTINCT id, original_text, rewrite_prompt, {S.strip('stripped')} AS rewritten_text, cluster FROM passed
+            WHERE id NOT IN (SELECT id FROM near_identical))"""
+
+
+_FINAL_SQL = _cleaned_sql() + ",\n" + S.VARIATIONS + f""",
+known AS (SELECT original AS prompt FROM variations UNION SELECT variation FROM variations),
+both_sides AS (SELECT *, 0 AS src FROM cleaned UNION ALL
+               SELECT id, original_text, rewrite_prompt, rewritten_text, cluster, 1 FROM pairs WHERE {NN}),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY original_text, rewrite_prompt ORDER BY src, id, rewritten_text, cluster) AS nth
+           FROM both_sides WHERE rewrite_prompt IN (SELECT prompt FROM known)),
+filled AS (SELECT id, original_text, rewrite_prompt, rewritten_text, cluster FROM firsts
+           WHERE nth = 1 AND {S.strip('rewrite_prompt')} <> '' AND {S.strip('rewritten_text')} <> ''),
+final AS (SELECT * FROM filled WHERE original_text IN (SELECT original_text FROM filled GROUP BY original_text HAVING count(*) >= 2))"""
+
+
+@query("clean_pairs", _cleaned_sql() + " SELECT * FROM cleaned")
 def q_clean_pairs(spark, sf):
     return P.clean_pairs(pairs(spark, sf), **CLEAN_PARAMS)
 
 
-@query("build_final")
+@query("build_final", _FINAL_SQL + " SELECT * FROM final")
 def q_build_final(spark, sf):
     p = pairs(spark, sf)
     return P.build_final(P.clean_pairs(p, **CLEAN_PARAMS), p, VW.variations(spark, sf), min_count=2)
 
 
-@query("training_set")
+_ITEMS_SQL = _FINAL_SQL + ",\n" + S.SPLITS + f""",
+items AS (SELECT f.id, {_INPUT_JSON_SQL} AS input, {_OUTPUT_JSON_SQL} AS output
+          FROM final f LEFT JOIN splits s ON s.cluster = f.cluster WHERE coalesce(s.split, 'train') = 'train'),
+rendered AS (SELECT id, input, output, {S.render(FV.TRAINING_TEMPLATE, input='input', output='output')} AS text FROM items),
+counted AS (SELECT *, {S.token_count('text')} AS n_tokens FROM rendered)
+SELECT id, input, output, CAST(n_tokens AS INTEGER) AS n_tokens,
+       substr(text, strpos(text, {S.lit(FV.RESPONSE_MARKER)}) + {len(FV.RESPONSE_MARKER)}) AS completion_part,
+       {S.md5_key(SEED, ["id", "input", "output"])} AS shuffle_key
+FROM counted WHERE n_tokens < {FV.MAX_TRAINING_TOKENS}"""
+
+
+@query("training_set", _ITEMS_SQL)
 def q_training_set(spark, sf):
     p = pairs(spark, sf)
     final = P.build_final(P.clean_pairs(p, **CLEAN_PARAMS), p, VW.variations(spark, sf), min_count=2)
@@ -822,13 +859,30 @@ def q_batch_generate(spark, sf):
     return M.batch_generate(req, "request", reverse_words, batch_size=2).select("id", "generated", "error")
 
 
-@query("predict_prompts")
+def _reversed_sql(x: str) -> str:
+    return "array_to_string(list_reverse(" + S.ws_split(x) + "), ' ')"
+
+
+@query("predict_prompts", PAIRS_V + ", items AS (SELECT id, " + _INPUT_JSON_SQL + f" AS input FROM pairs WHERE {NN}) SELECT id, "
+       + _reversed_sql(S.render(FV.INFERENCE_INSTRUCTION_TEMPLATE, json_input="input")) + " AS rewrite_prompt FROM items")
 def q_predict_prompts(spark, sf):
     return M.predict_prompts(full_pairs(spark, sf).select("id", "original_text", "rewritten_text"),
                              echo_prompt_json, batch_size=16).select("id", "rewrite_prompt")
 
 
-@query("rewrite_worklist")
+_WORK_SQL = S.with_views(S.PAIRS, S.VARIATIONS, _PROCESSED_SQL, _SELECTED_SQL) + f""",
+parents AS (SELECT DISTINCT original FROM variations WHERE original NOT IN (SELECT original FROM processed)),
+flagged AS (SELECT original, original IN (SELECT original FROM sel_parents) AS is_selected, {S.md5_key(SEED, ['original'])} AS order_key FROM parents),
+work AS (SELECT p.original_text, v.variation AS rewrite_prompt, p.cluster, f.is_selected, f.order_key
+         FROM pairs p JOIN variations v ON v.original = p.rewrite_prompt AND v.variation IS NOT NULL JOIN flagged f ON f.original = v.original)"""
+_REWRITES_SQL = _WORK_SQL + f""",
+told AS (SELECT *, sha256(concat_ws(chr(1), coalesce(length(original_text) || ':' || original_text, 'null'),
+                                    coalesce(length(rewrite_prompt) || ':' || rewrite_prompt, 'null'))) AS id FROM work),
+one AS (SELECT DISTINCT ON (id) id, original_text, rewrite_prompt, cluster FROM told)
+SELECT id, original_text, rewrite_prompt, cluster, {_reversed_sql(_CHAT_SQL)} AS rewritten_text FROM one"""
+
+
+@query("rewrite_worklist", _WORK_SQL + " SELECT * FROM work")
 def q_rewrite_worklist(spark, sf):
     p = pairs(spark, sf)
     return M.rewrite_worklist(p, VW.variations(spark, sf), _selected(spark, sf),
@@ -853,7 +907,7 @@ def q_evaluate(spark, sf):
 
 
 # M6 to the end: the work items of variations, rewritten by the stand-in and kept in a sink
-@query("generate_rewrites")
+@query("generate_rewrites", _REWRITES_SQL)
 def q_generate_rewrites(spark, sf):
     p = pairs(spark, sf)
     work = M.rewrite_worklist(p, VW.variations(spark, sf), _selected(spark, sf), p.where(F.col("cluster") < 5), SEED)
@@ -867,7 +921,14 @@ def q_encode_hashing(spark, sf):
     return e.select("id", F.transform("embedding", r6).alias("embedding"))
 
 
-@query("generate_variations")
+_VARIED_SQL = S.with_views(S.PAIRS, S.VARIATIONS, _INSTR_SQL) + f""",
+todo AS (SELECT DISTINCT rewrite_prompt AS original FROM pairs WHERE rewrite_prompt IS NOT NULL AND rewrite_prompt NOT IN (SELECT original FROM variations)),
+asked AS (SELECT original, pos, {S.strip(S.render(FV.VARIATION_REQUEST_TEMPLATE, original_prompt='original', variation='instruction'))} AS request
+          FROM todo, instr)
+SELECT original, pos, {_reversed_sql("string_split(request, 'Input:')[-1]")} AS variation FROM asked"""
+
+
+@query("generate_variations", _VARIED_SQL)
 def q_generate_variations(spark, sf):
     def fn(texts):
         import json

@@ -139,3 +139,41 @@ def ascii_json(x: str) -> str:
 
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
+
+
+def near_identical(source: str, a: str, b: str, least: float) -> str:
+    """CTEs for a recursive query that end with ``near_identical(id)``: the rows of ``source`` whose indel ratio of the
+    texts ``a`` and ``b`` is at least ``least``.
+
+    A common subsequence that long leaves at most ``edits`` characters over, and each spoils one of the pieces of five
+    characters that ``a`` falls into; pairs with more pieces that ``b`` lacks are out. For the others the table of
+    longest common subsequences is filled row by row, after the common beginning is cut off, in the band of
+    columns that so few edits reach: the entry p of row i is column i - drop + p - 1, and -1 is outside of the table."""
+    return f"""
+        texts AS (SELECT id, {a} AS a, {b} AS b, length({a}) AS la, length({b}) AS lb FROM {source}),
+        likely AS (
+          SELECT *, CAST(floor(la - {least} * (la + lb) / 200.0 + 1e-9) AS BIGINT) AS drop, CAST(floor(lb - {least} * (la + lb) / 200.0 + 1e-9) AS BIGINT) AS add
+          FROM texts WHERE 200.0 * least(la, lb) >= {least} * (la + lb)),
+        close AS (
+          SELECT * FROM likely
+          WHERE len(list_filter(range(0, la // 5), lambda k: NOT contains(b, substr(a, k * 5 + 1, 5)))) <= drop + add),
+        chars AS (SELECT id, la, lb, drop, add, string_split(a, '') AS xs, string_split(b, '') AS ys FROM close),
+        begun AS (
+          SELECT *, coalesce(list_position(list_transform(range(1, least(la, lb) + 1), lambda k: xs[k] = ys[k]), false) - 1, least(la, lb)) AS same
+          FROM chars),
+        cut AS (SELECT id, la, lb, drop, add, same, xs[same + 1:] AS xs, ys[same + 1:] AS ys FROM begun),
+        table_row AS (
+          SELECT id, 0 AS i, list_transform(range(1, drop + add + 2), lambda p: CASE WHEN p - 1 BETWEEN drop AND drop + len(ys) THEN 0 ELSE -1 END::BIGINT) AS lcs
+          FROM cut
+          UNION ALL
+          SELECT id, i, list(best ORDER BY p) AS lcs FROM (
+            SELECT id, i, p, CASE WHEN inside THEN max(reached) OVER (PARTITION BY id ORDER BY p) ELSE -1 END AS best FROM (
+              SELECT t.id, t.i + 1 AS i, u.p, t.i + u.p - c.drop BETWEEN 0 AND len(c.ys) AS inside,
+                     CASE WHEN t.i + u.p - c.drop = 0 THEN 0
+                          WHEN t.lcs[u.p] >= 0 AND c.ys[t.i + u.p - c.drop] = c.xs[t.i + 1] THEN t.lcs[u.p] + 1
+                          ELSE coalesce(t.lcs[u.p + 1], -1) END AS reached
+              FROM table_row t JOIN cut c ON c.id = t.id AND t.i < len(c.xs), unnest(range(1, c.drop + c.add + 2)) u(p)))
+          GROUP BY id, i),
+        near_identical AS (
+          SELECT c.id FROM cut c JOIN table_row t ON t.id = c.id AND t.i = len(c.xs)
+          WHERE c.la + c.lb = 0 OR 200.0 * (c.same + t.lcs[len(c.ys) - len(c.xs) + c.drop + 1]) / (c.la + c.lb) >= {least})"""
