@@ -418,7 +418,36 @@ def _selectable(spark, sf):
     return s, target, tolerance
 
 
-@query("greedy_profile_match")
+def _greedy_sql(seeds: int = 128) -> str:
+    """Every one of the first seeds grown by a recursive query of its own; the first that ends well is the cluster."""
+    n_seeds = "(SELECT min(place) FROM ended WHERE status <> 'fail')"
+    mean = "(SELECT list(m ORDER BY ref_id) FROM (SELECT ref_id, avg(score) AS m FROM scores_long {where} GROUP BY ref_id) x)"
+    share = f"{int(TARGET_SHARE * 16 ** 8):08x}"
+    near = f"WHERE substr({S.md5_key(f'target{SEED}', ['vec_id'])}, 1, 8) < '{share}'"
+    gap = "list_max(list_transform(range(1, len(target) + 1), lambda k: abs(target[k] - {avg})))"
+    return VEC_V.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+profiles AS (SELECT vec_id AS id, list(score ORDER BY ref_id) AS v FROM scores_long GROUP BY vec_id),
+aims AS (SELECT {mean.format(where=near)} AS target, {mean.format(where='')} AS overall),
+aim AS (SELECT target, {CLOSENESS} * {gap.format(avg='overall[k]')} AS tolerance FROM aims),
+seeds AS (SELECT *, row_number() OVER (ORDER BY {S.md5_key(SEED, ['id'])}, id) AS place FROM profiles),
+walk AS (
+  SELECT place, 1 AS n, v AS total, [id] AS chosen, 'running' AS status FROM seeds WHERE place <= {seeds}
+  UNION ALL
+  SELECT place, CASE WHEN goes THEN n + 1 ELSE n END,
+         CASE WHEN goes THEN list_transform(range(1, len(total) + 1), lambda k: total[k] + best.v[k]) ELSE total END,
+         CASE WHEN goes THEN list_append(chosen, best.id) ELSE chosen END,
+         CASE WHEN goes THEN 'running' WHEN best IS NULL THEN 'none' WHEN now <= tolerance OR n >= {FV.SELECTION_SIZE} THEN 'ok' ELSE 'fail' END
+  FROM (SELECT *, coalesce(best.e < now OR best.e < tolerance, false) AS goes FROM (
+    SELECT w.place, any_value(w.n) AS n, any_value(w.total) AS total, any_value(w.chosen) AS chosen, any_value(tolerance) AS tolerance,
+           any_value({gap.format(avg='w.total[k] / w.n')}) AS now,
+           min(CASE WHEN c.id IS NOT NULL THEN {{e: {gap.format(avg='(w.total[k] + c.v[k]) / (w.n + 1)')}, id: c.id, v: c.v}} END) AS best
+    FROM walk w CROSS JOIN aim LEFT JOIN profiles c ON NOT list_contains(w.chosen, c.id) WHERE w.status = 'running' GROUP BY w.place))),
+ended AS (SELECT * FROM walk WHERE status <> 'running'),
+cluster AS (SELECT chosen FROM ended WHERE status = 'ok' AND place = {n_seeds})
+SELECT CAST(generate_subscripts(chosen, 1) - 1 AS INTEGER) AS step, unnest(chosen) AS id FROM cluster"""
+
+
+@query("greedy_profile_match", _greedy_sql())
 def q_greedy_profile_match(spark, sf):
     ids = SEL.greedy_profile_match(*_selectable(spark, sf), FV.SELECTION_SIZE, SEED) or []
     return spark.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "step int, id long")
