@@ -6,13 +6,15 @@
    ``capacity`` keys: only the overfull buckets are split by one more bit of the hash.
 3. The index is written by key range: an owner task holds consecutive buckets, sorted by hash; equal
    hashes of different bytes form a chain.
-4. Each row looks its group up by (hash, digest of its bytes). Groups of more than ``hot`` rows are
+4. Each row looks its group up: the directory slot of its hash gives the bucket, the bucket's entries are
+   searched by hash and along the chain by the digest of the bytes. Groups of more than ``hot`` rows are
    dealt over several copies of their index entry.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +33,30 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
+@dataclass(frozen=True)
+class Index:
+    """``entries``: bucket, depth, hash, chain, digest, keep_id, keep_chars, group_size, one row per distinct text, written by
+    key range; ``slots``: _slot, bucket, depth, the directory of ``bits`` bits."""
+
+    entries: DataFrame
+    slots: DataFrame
+    bits: int
+
+    def buckets_of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (hash, ...) with the bucket that the directory names for their hash."""
+        slotted = rows.withColumn("_slot", _slot(F.col("hash"), self.bits))
+        return slotted.join(self.slots.select("_slot", "bucket"), "_slot").drop("_slot")
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> DataFrame:
-    """One row per distinct text: bucket, depth, hash, chain, digest, keep_id, keep_chars, group_size.
+    """The entries of the index of ``docs``."""
+    return index_of(docs, id_col, text_col, capacity).entries
 
-    The row that stays has the most code points in its original text, then the smallest id; a null
+
+def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096) -> Index:
+    """The index of all distinct texts with its directory.
+
+    The row that stays has the most code points in its original text, then the smallest id (a whole number); a null
     id comes after all others. An empty table gives an empty index.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -59,13 +81,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "entries",
     )
     n = entries.count()
-    buckets = directory(entries.select("hash"), n, capacity)
-    depth = buckets["bits"]
-    slots = buckets["slots"]
-    placed = entries.withColumn("_slot", _slot(F.col("hash"), depth)).join(slots, "_slot").drop("_slot")
+    found = directory(entries.select("hash"), n, capacity)
+    slots = stash(found["slots"], "directory")
+    placed = entries.withColumn("_slot", _slot(F.col("hash"), found["bits"])).join(slots, "_slot").drop("_slot")
     owners = max(1, min(math.ceil(n / (16 * capacity)), 10_000))
     chain = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("digest")) - 1
-    return stash(placed.withColumn("chain", chain).repartitionByRange(owners, "bucket").sortWithinPartitions("bucket", "hash"), "index")
+    placed = placed.withColumn("chain", chain).repartitionByRange(owners, "bucket").sortWithinPartitions("bucket", "hash")
+    return Index(stash(placed, "index"), slots, found["bits"])
 
 
 def directory(hashes: DataFrame, n: int, capacity: int) -> dict:
@@ -100,17 +122,22 @@ def _slot(hash_: Column, bits: int) -> Column:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, hot: int = 2000) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
-    Null texts count as empty; texts of white space alone equal the empty text. Rows that repeat
+    Null texts count as empty; texts of white space alone equal the empty text. Ids are whole numbers; rows that repeat
     an id share its decision. Other columns of ``docs`` are not read. Empty in, empty out.
     """
-    index = build_index(docs, id_col, text_col, capacity)
-    total = index.agg(F.sum("group_size")).first()[0] or 0
+    return look_up(docs, index_of(docs, id_col, text_col, capacity), id_col, text_col, hot)
+
+
+def look_up(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", hot: int = 2000) -> DataFrame:
+    """The rows of ``docs`` that the index finds, as ``dedup`` returns them."""
+    total = index.entries.agg(F.sum("group_size")).first()[0] or 0
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), F.length(text).cast("long").alias("_chars"), norm.alias("_norm")).select(
         "_id", "_chars", F.xxhash64("_norm").alias("hash"), F.sha2("_norm", 256).alias("digest")
     )
-    return spread_join(rows, index, ["hash", "digest"], "_id", "group_size", total, hot).select(
+    entries = index.entries.select("bucket", "hash", "digest", "keep_id", "keep_chars", "group_size")
+    return spread_join(index.buckets_of(rows), entries, ["bucket", "hash", "digest"], "_id", "group_size", total, hot).select(
         F.col("_id").alias(id_col),
         "keep_id",
         "group_size",

@@ -41,6 +41,18 @@ def test_small_buckets_double_the_directory(spark):
     assert index.count() == 150 and sizes.where("n > 4 or d > 1").count() == 0
 
 
+def test_rows_are_found_through_the_directory(spark):
+    rows = [(i, f"text {i % 150}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.index_of(df, capacity=4)
+    assert index.slots.count() > 30 and exact_dedup.look_up(df, index).count() == 400
+    wrong = exact_dedup.Index(index.entries, index.slots.withColumn("bucket", F.col("bucket") + 1), index.bits)
+    assert exact_dedup.look_up(df, wrong).count() < 40
+    one = index.slots.orderBy("_slot").first()["_slot"]
+    without = exact_dedup.look_up(df, exact_dedup.Index(index.entries, index.slots.where(F.col("_slot") != one), index.bits)).count()
+    assert 0 < without < 400
+
+
 def test_hot_group_and_repeated_rows(spark):
     rows = [(i, "same text" + " " * (i % 7)) for i in range(300)] + [(1000, "x"), (1000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
