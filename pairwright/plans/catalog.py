@@ -338,12 +338,11 @@ def q_sharpened_score(spark, sf):
                                          r6(V.sharpened_signed(c)).alias("signed_score"))
 
 
-@query("l2_normalize", S.with_views(S.VECTORS) + "SELECT vec_id, "
-       "list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / n, 6) + 0.0) AS unit "
-       f"FROM (SELECT vec_id, embedding, {S.norm('embedding', DIM)} AS n FROM vectors) t WHERE n > 0")
+@query("l2_normalize", S.with_views(S.VECTORS) + "SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE) / n, 6) AS value "
+       f"FROM (SELECT vec_id, embedding, {S.norm('embedding', DIM)} AS n FROM vectors) t, range(1, {DIM + 1}) r(i) WHERE n > 0")
 def q_l2_normalize(spark, sf):
-    v = VW.vectors(spark, sf).where(V.norm("embedding") > 0)
-    return v.select("vec_id", F.transform(V.l2_normalize("embedding"), r6).alias("unit"))
+    v = VW.vectors(spark, sf).where(V.norm("embedding") > 0).select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("place", "value"))
+    return v.select("vec_id", "place", r6("value").alias("value"))
 
 
 def _scores(spark, sf):
