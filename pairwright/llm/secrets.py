@@ -1,13 +1,16 @@
 """Secret scans (8) with inferred grammars.
 
-Base spans come from fixed patterns. Their values, labelled by kind, teach one probabilistic
-automaton per kind: the values of a bounded sample form a prefix tree over symbol classes, and states
+Base spans come from fixed patterns. Their values, labelled by kind, are split by their shape (the symbol classes
+and marks they use), and each format teaches one probabilistic
+automaton: the values of a bounded sample form a prefix tree over symbol classes, and states
 whose outgoing frequencies are statistically compatible (Hoeffding bound) are merged, red states
 first. Every other run of credential characters in a text is then scored by its log-likelihood
-under the automata, per symbol, less that under a bigram model of ordinary words; runs above a
-calibrated threshold are spans of kind ``grammar``. Base spans always stay. The bigrams and the
-threshold come from words that are too short to be judged, so that hidden secrets, however many, don't
-teach the background or set the threshold.
+under the automata, per symbol, less that under the background: a bigram model of ordinary words, or an automaton
+of a public format (identifiers of the UUID form, times, dotted numbers) where that is higher; runs above the
+threshold of an automaton are spans of kind ``grammar``. Base spans always stay. The bigrams and the
+thresholds come from words that are too short to be judged and from the labelled values, so that hidden secrets,
+however many, don't teach the background or set a threshold. Runs of less than 16 characters are not judged: base hex values
+begin there, and likelihoods per symbol of shorter ones overlap with those of words.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{3,15}(?![A-Za-z0-9+/_.=-])")
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 UNSEEN = math.log(1e-4)
+FEWEST = 5  # values that make a format
+FORMS = ("xxxxxxxx-xxxx-xxxx-xxxx-xxxxxxxxxxxx", "XXXXXXXX-XXXX-XXXX-XXXX-XXXXXXXXXXXX", "dddd-dd-ddTddddddZ", "dddd-dd-dd-dd-dd-dd", "ddd.ddd.ddd.ddd-ddddd", "dddddddddddddddddddd")
 
 
 def symbols(value: str) -> str:
@@ -173,26 +178,72 @@ def infer(words: list[str], alpha: float = 0.05) -> Automaton:
 
 @dataclass
 class Model:
-    """The automata, the bigrams of ordinary words and the threshold of their difference."""
+    """One automaton per format with its own threshold, the background, and the threshold of ``score``."""
 
     automata: list[Automaton]
+    limits: list[float]
     bigrams: dict[str, float]
+    public: list[Automaton]
     threshold: float
 
-    def score(self, value: str) -> float:
+    def background(self, word: str) -> float:
+        ordinary = sum(self.bigrams.get(word[max(0, i - 1) : i + 1], STRANGE) for i in range(len(word))) / (len(word) + 1)
+        return max([ordinary, *(a.likelihood(word) for a in self.public)])
+
+    def scores(self, value: str) -> list[float]:
+        """What each automaton says beyond the background."""
         word = symbols(value)
-        ordinary = sum(self.bigrams.get(word[max(0, i - 1) : i + 1], UNSEEN) for i in range(len(word))) / (len(word) + 1)
-        return max((a.likelihood(word) for a in self.automata), default=-math.inf) - ordinary
+        background = self.background(word)
+        return [a.likelihood(word) - background for a in self.automata]
+
+    def score(self, value: str) -> float:
+        """How far the value is above the threshold of a format, for the format it suits best."""
+        return max((x - limit for x, limit in zip(self.scores(value), self.limits)), default=-math.inf)
+
+
+#: A pair of symbols that no ordinary word has: a tenth of the background is spread over all symbols.
+STRANGE = math.log(0.1 / 10)
+
+
+def shape(value: str) -> str:
+    """The symbol classes and marks of a value; hexadecimal digits and letters of one case are one class."""
+    found = set(symbols(value))
+    if "l" in found:
+        found.add("x")
+    if "U" in found:
+        found.add("X")
+    return "".join(sorted(found))
+
+
+def formats(values: dict[str, list[str]]) -> list[list[str]]:
+    """The labelled values by kind and shape; rare shapes of a kind go together."""
+    out = []
+    for _, words in sorted(values.items()):
+        by_shape: dict[str, list[str]] = defaultdict(list)
+        for v in words:
+            by_shape[shape(v)].append(v)
+        rare = [v for vs in by_shape.values() if len(vs) < FEWEST for v in vs]
+        out += [vs for _, vs in sorted(by_shape.items()) if len(vs) >= FEWEST]
+        out += [rare] if len(rare) >= FEWEST else []
+    return out
+
+
+def public_formats(n: int = 200, seed: int = 11) -> list[Automaton]:
+    """Automata of formats that are no secrets, from strings drawn by their form."""
+    rng = random.Random(seed)
+    letters = {"x": "ddddddddddxxxxxx", "X": "ddddddddddXXXXXX", "d": "d"}
+    return [infer(["".join(rng.choice(letters.get(c, c)) for c in form) for _ in range(n)]) for form in FORMS]
 
 
 def learn(values: dict[str, list[str]], ordinary: list[str], quantile: float = 0.05) -> Model:
     """A model from labelled values and ordinary words, which must not hold what is to be judged.
 
-    The threshold is the ``quantile`` of the labelled values' own scores, or the score that one in a
+    The threshold of a format is the ``quantile`` of its own values' scores, or the score that one in a
     thousand strings drawn from the bigrams exceeds if that is higher. Without labelled values nothing
     is above it.
     """
-    automata = [infer([symbols(v) for v in words]) for _, words in sorted(values.items()) if len(words) >= 5]
+    groups = formats(values)
+    automata = [infer([symbols(v) for v in words]) for words in groups]
     pairs: Counter[str] = Counter()
     for v in ordinary:
         word = symbols(v)
@@ -200,12 +251,16 @@ def learn(values: dict[str, list[str]], ordinary: list[str], quantile: float = 0
     firsts: dict[str, int] = defaultdict(int)
     for pair, n in pairs.items():
         firsts[pair[:-1]] += n
-    model = Model(automata, {p: math.log(n / firsts[p[:-1]]) for p, n in pairs.items()}, math.inf)
-    labelled = [v for words in values.values() for v in words]
-    if labelled and automata:
-        scores = sorted(map(model.score, labelled))
-        others = sorted(map(model.score, drawn(pairs, sorted(map(len, labelled))))) or [-math.inf]
-        model.threshold = max(scores[int(quantile * len(scores))], others[int(0.999 * len(others))], 0.0)
+    bigrams = {p: math.log(0.9 * n / firsts[p[:-1]] + 0.01) for p, n in pairs.items()}
+    model = Model(automata, [0.0] * len(automata), bigrams, public_formats() if automata else [], 0.0)
+    if not automata:
+        model.threshold = math.inf
+        return model
+    strangers = [model.scores(v) for v in drawn(pairs, sorted(len(v) for words in groups for v in words))]
+    for i, words in enumerate(groups):
+        own = sorted(model.scores(v)[i] for v in words)
+        others = sorted(x[i] for x in strangers) or [-math.inf]
+        model.limits[i] = max(own[int(quantile * len(own))], others[int(0.999 * len(others))], 0.0)
     return model
 
 

@@ -79,3 +79,41 @@ def test_many_hidden_secrets_among_few_other_runs(spark):
     right = [i for i in range(100, 500) if any(texts[i][s["start"] : s["end"]].startswith("ghx_") for s in found[i])]
     assert len(right) >= 360
     assert not any(found[i] for i in range(600, 640))
+
+
+ALPHABETS = {
+    "hex40": (HEX, 40, ""), "upper": ("0123456789ABCDEF", 32, ""), "ghx": (HEX + "ABCDEFXYZwxyz", 36, "ghx_"),
+    "mixed": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24, ""), "dotted": ("abcdefghijklmnopqrstuvwxyz0123456789", 30, "sk.live."),
+}
+
+
+def drawn_value(rng, name):
+    letters, n, prefix = ALPHABETS[name]
+    return prefix + "".join(rng.choices(letters, k=n))
+
+
+def test_every_labelled_format_is_found_without_its_label_and_identifiers_are_not(spark):
+    import uuid
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices(["on", "the", "er", "in", "st"], k=rng.randint(2, 6))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    names = [n for n in ALPHABETS if n != "hex40"]  # unlabelled lower-case hex is a base span anyway
+    rows = [(i, f'{prose(20)} token = "{drawn_value(rng, names[i % len(names)])}" {prose(9)}') for i in range(400)]
+    planted = {1000 + i: drawn_value(rng, names[i % len(names)]) for i in range(200)}
+    rows += [(i, f"{prose(15)} {v} {prose(15)}") for i, v in planted.items()]
+    clean = {2000 + i: v for i, v in enumerate(
+        [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(60)] + [str(uuid.UUID(int=rng.getrandbits(128))).upper() for _ in range(60)]
+        + [f"20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(100000, 235959)}Z" for _ in range(40)]
+        + ["".join(rng.choices(words, k=4)) for _ in range(60)])}
+    rows += [(i, f"{prose(15)} {v} {prose(15)}") for i, v in clean.items()]
+    found = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+
+    def whole(i, v):
+        return any(s["kind"] == "grammar" and texts[i][s["start"] : s["end"]] == v for s in found[i])
+
+    for name in names:
+        mine = [i for i in planted if names[(i - 1000) % len(names)] == name]
+        assert sum(whole(i, planted[i]) for i in mine) >= 0.9 * len(mine), name
+    assert [clean[i] for i in clean if any(s["kind"] == "grammar" for s in found[i])] == []
