@@ -3,8 +3,8 @@
 The score of a vector is the sum of one contribution per dimension, and every dimension has a list of
 the vectors sorted by it. For a query the lists are read from their best ends, all down to one frontier
 of contribution; then the frontier sinks. A vector's upper bound is what was read of it plus, for each list in which it
-wasn't met, the frontier; its lower bound takes these lists' least contributions instead. Reading stops
-when few vectors can still reach the k-th best lower bound; those are resolved to their final scores.
+wasn't met, the frontier; its lower bound takes the least that lists give instead. Reading stops
+when outsiders can't reach the k-th best score that is sure; the vectors that are left are resolved to their final scores.
 
 The lists are written in blocks of bounded size. Every block first answers the queries among its own vectors; the k-th score
 there is a bound that the other blocks start from. Then portions of queries meet blocks, one
@@ -41,8 +41,10 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T  # per dimension, ascending
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(float)
+        self.exact = vectors.astype(float)  # sums below 2**53 are exact
+        columns = np.ascontiguousarray(vectors.T)
+        self.order = np.argsort(columns, axis=1, kind="stable")  # per dimension, ascending
+        self.values = np.take_along_axis(columns, self.order, axis=1).astype(float)
         self.largest = np.abs(vectors).max(axis=0, initial=0).astype(float)
 
     def best(self, query: np.ndarray, k: int, bound: float, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -60,36 +62,39 @@ class Lists:
         others = np.arange(n) != own
         if n - (own >= 0) > k:
             bound = max(bound, self.first_bound(query, used, up, head, k, own))
-        total, rest, met = np.zeros(n), np.full(n, tail.sum()), np.zeros(n)
+        total, met = np.zeros(n), np.zeros(n)
+        least = np.minimum(tail, 0).sum()  # what the lists in which a vector wasn't met give at the least
         read = np.zeros(len(used), np.int64)
         for frontier in frontiers(head, tail, bound):
-            edge = frontier / weight
-            ids, gains, ends = [], [], []
-            for j, d in enumerate(used):
-                if up[j]:
-                    to = n - int(np.searchsorted(self.values[d], edge[j], "right"))
+            ids, gains = [], []
+            for j, (d, w, edge) in enumerate(zip(used.tolist(), weight.tolist(), (frontier / weight).tolist())):
+                values = self.values[d]
+                if w > 0:
+                    to = n - int(values.searchsorted(edge, "right"))
                     part = slice(n - to, n - read[j])
                 else:
-                    to = int(np.searchsorted(self.values[d], edge[j], "left"))
+                    to = int(values.searchsorted(edge, "left"))
                     part = slice(read[j], to)
                 if to > read[j]:
                     ids.append(self.order[d, part])
-                    gains.append(weight[j] * self.values[d, part])
-                    ends.append(np.full(to - read[j], tail[j]))
+                    gains.append(w * values[part])
                     read[j] = to
             if ids:
-                at, gain = np.concatenate(ids), np.concatenate(gains)
-                total += np.bincount(at, gain, n)
-                rest -= np.bincount(at, np.concatenate(ends), n)
+                at = np.concatenate(ids)
+                total += np.bincount(at, np.concatenate(gains), n)
                 met += np.bincount(at, minlength=n)
             upper = total - met * frontier + np.minimum(frontier, head).sum()
             if n - (own >= 0) > k:
-                lower = np.where(others, total + rest, -np.inf)
-                bound = max(bound, np.partition(lower, n - k)[n - k])
+                lower = np.where(others, total + least, -np.inf)
+                first = np.argpartition(lower, n - min(2 * k, n - 1))[n - min(2 * k, n - 1):]
+                first = first[others[first]]
+                sure = np.sort(np.maximum(lower[first], self.exact[first] @ query.astype(float)))  # the leaders are resolved
+                if len(sure) >= k:
+                    bound = max(bound, float(sure[-k]))
             alive = np.flatnonzero((upper >= bound) & others)
-            if len(alive) <= max(4 * k, n // 8):
+            if len(alive) <= max(4 * k, n // 4):
                 break
-        scores = self.vectors[alive] @ query
+        scores = (self.exact[alive] @ query.astype(float)).astype(np.int64)
         kept = scores >= bound
         alive, scores = alive[kept], scores[kept]
         first = np.lexsort((self.ids[alive], -scores))[:k]
@@ -102,7 +107,7 @@ class Lists:
         heads = [self.order[used[j], max(n - 2 * k, 0) :] if up[j] else self.order[used[j], : 2 * k] for j in lists]
         some = np.unique(np.concatenate(heads)) if heads else np.arange(0)
         some = some[some != own]
-        return float(np.partition(self.vectors[some] @ query, len(some) - k)[len(some) - k]) if len(some) >= k else -math.inf
+        return float(np.partition(self.exact[some] @ query.astype(float), len(some) - k)[len(some) - k]) if len(some) >= k else -math.inf
 
 
 def frontiers(head: np.ndarray, tail: np.ndarray, bound: float) -> Iterator[float]:
@@ -116,7 +121,7 @@ def frontiers(head: np.ndarray, tail: np.ndarray, bound: float) -> Iterator[floa
     below = np.append(np.cumsum(top[::-1])[::-1][1:], 0.0)
     f = next((v for i in range(len(top)) if (v := (bound - below[i]) / (i + 1)) >= (top[i + 1] if i + 1 < len(top) else -math.inf)), float(top[0]))
     step = max(abs(f), float(top[0]) / 64, 1.0)
-    for share in (0.25, 0.5, 0.75, 0.9, 1.0, 1.25, 1.5, 2.0, 3.0):
+    for share in (0.8, 1.0, 1.25, 1.75, 3.0):
         if f - share * step <= end:
             break
         yield f - share * step
