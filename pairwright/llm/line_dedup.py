@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairwright.llm.common import stash
+from pairwright.llm.common import stash, unused
 
 LINE_WORDS = 12
 WINDOW = 3
@@ -78,12 +78,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document: the same place in the same id is no later occurrence. A text may become empty; its row
     stays. Other columns are kept; without ``counts`` the columns are those of ``docs``. Empty in, empty out.
     """
-    runs = later_runs(docs, id_col, text_col).withColumnRenamed("doc", "_run_doc").withColumnRenamed("runs", "_runs")
-    rows = docs.join(runs, F.col(id_col) == F.col("_run_doc"), "left").withColumn("_text_lines", lines(F.col(text_col)))
-    ends = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["end"]))
-    starts = F.concat(F.transform("_runs", lambda r: r["start"]), F.array(F.size("_text_lines")))
-    between = F.zip_with(ends, starts, lambda end, start: F.array_join(F.slice("_text_lines", end + 1, start - end), ""))
-    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(between, ""))
-    removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    extra = [F.size("_text_lines").cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed")]
+    run_doc, runs, cut = unused(docs, "_run_doc", "_runs", "_text_lines")
+    found = later_runs(docs, id_col, text_col).withColumnRenamed("doc", run_doc).withColumnRenamed("runs", runs)
+    rows = docs.join(found, F.col(id_col) == F.col(run_doc), "left").withColumn(cut, lines(F.col(text_col)))
+    ends = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+    starts = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.size(cut)))
+    between = F.zip_with(ends, starts, lambda end, start: F.array_join(F.slice(cut, end + 1, start - end), ""))
+    text = F.when(F.col(runs).isNull(), F.col(text_col)).otherwise(F.array_join(between, ""))
+    removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    extra = [F.size(cut).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed")]
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *(extra if counts else []))
