@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import decontamination, line_dedup, mixing, near_dedup, quality
-from pairwright.llm.common import SPACE, stash, table
+from pairwright.llm.common import SPACE, stash, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = docs.withColumn("_was_blank", F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "") == "")
+    (was_blank,) = unused(docs, "_was_blank")
+    marked = docs.withColumn(was_blank, F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, "") == "")
     out = line_dedup.dedup_lines(marked, counts=False)
-    out = out.where(F.col("_was_blank") | (F.regexp_replace("text", SPACE, "") != "")).drop("_was_blank")
+    out = out.where(F.col(was_blank) | (F.regexp_replace("text", SPACE, "") != "")).drop(was_blank)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
