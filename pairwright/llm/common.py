@@ -3,38 +3,26 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairwright.session import shared_folder
+
 #: White space and words as every contract of this subpackage reads them (fixed values).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_scratch: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local session (tests) gets a temporary folder of its own and a
-    cluster uses its warehouse, which is shared as well.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _own_scratch[app] = tempfile.mkdtemp(prefix="pairwright-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    return _own_scratch[app].rstrip("/")
+    """The folder that all executors share."""
+    return shared_folder(spark)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
