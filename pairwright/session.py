@@ -45,17 +45,17 @@ _own_folder: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local session gets a temporary folder and a cluster
-    uses its warehouse, which is shared as well."""
+    Where it is unset, a local session gets a temporary folder; a cluster is refused, since
+    no other folder is sure to be shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _own_folder[app] = (tempfile.mkdtemp(prefix="pairwright-") if local
-                            else spark.conf.get("spark.sql.warehouse.dir"))
-    return _own_folder[app].rstrip("/")
+        _own_folder[app] = tempfile.mkdtemp(prefix="pairwright-")
+    return _own_folder[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

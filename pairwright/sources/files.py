@@ -1,7 +1,7 @@
 """File sources and sinks (S1-S7) with explicit schemas.
 
-Quoted multi-line CSV is read in many tasks (``csv_records``).  Whole-file JSON documents
-cannot be split, so they are read once and should be landed as Parquet for every later job.
+Quoted multi-line CSV and JSON documents that are one array or object are read in many
+tasks (``csv_records``, ``json_items``): running sums over the splits of a file tell each split what came before.
 """
 
 from __future__ import annotations
@@ -90,16 +90,66 @@ def _parsed(text: Column, field: StructField) -> Column:
     return whole.alias(field.name)
 
 
+# S2-S5
+def _running(value: Column) -> Column:
+    """Sum of ``value`` over the earlier rows of a split."""
+    earlier = Window.partitionBy("file", "split").orderBy("place", "token").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
+
+def _with_earlier_splits(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows of the file before it: one number per split is summed up and joined."""
+    rows = rows.withColumn("_value", value)
+    totals = rows.groupBy("file", "split").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("file").alias("_file"), F.col("split").alias("_split"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    joined = rows.join(starts, (F.col("file") == F.col("_file")) & (F.col("split") == F.col("_split")))
+    return joined.withColumn(name, F.col("_start") + _running(F.col("_value"))).drop("_value", "_start", "_file", "_split")
+
+
+def json_items(spark: SparkSession, path: str) -> DataFrame:
+    """The elements of the array, or the members of the object, that a JSON file is: ``(file, item, text)``, read in many tasks.
+
+    The file is cut at its quotes. Running sums tell, one after another, which parts lie in a string (quotes after an odd number of
+    backslashes don't count), how deep a bracket lies, and how many commas of the outermost level came before. As with
+    ``csv_records`` a task holds one split of the file, and only items at its borders meet those of its neighbours."""
+    parts = spark.read.option("lineSep", '"').text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"), F.lit(0).alias("token"))
+    ends = F.length(F.regexp_extract("value", r"(\\*)\z", 1)) % 2 == 0  # the quote after this part begins or ends a string
+    parts = _with_earlier_splits(parts, ends.cast("long"), "quotes").withColumn("inside", F.col("quotes") % 2 == 1)
+    # a part goes with the quote after it; outside of strings it falls into brackets, commas and the rest
+    quote = F.lit('"')
+    outside = F.concat(F.regexp_extract_all("value", F.lit(r"[\[\]{},]|[^\[\]{},]+"), 0), F.array(quote))
+    tokens = parts.select("file", "split", "place", "inside", F.posexplode(
+        F.when(F.col("inside"), F.array(F.concat("value", quote))).otherwise(outside)).alias("token", "text"))
+    step = F.when(F.col("inside"), 0).when(F.col("text").isin("[", "{"), 1).when(F.col("text").isin("]", "}"), -1).otherwise(0)
+    tokens = _with_earlier_splits(tokens, step, "depth")
+    outer = ~F.col("inside") & (((F.col("depth") == 0) & (step == 1)) | ((F.col("depth") == 1) & (step == -1)))
+    comma = ~F.col("inside") & (F.col("text") == ",") & (F.col("depth") == 1)
+    tokens = _with_earlier_splits(tokens.withColumn("comma", comma).withColumn("outer", outer | (F.col("depth") < 1)), comma.cast("long"), "item")
+    kept = tokens.where(~F.col("outer") & ~F.col("comma"))
+    pieces = kept.groupBy("file", "split", "item").agg(F.sort_array(F.collect_list(F.struct("place", "token", "text"))).alias("xs"))
+    pieces = pieces.withColumn("text", F.array_join(F.transform("xs", lambda x: x["text"]), ""))
+    of_split = Window.partitionBy("file", "split")
+    border = (F.col("item") == F.min("item").over(of_split)) | (F.col("item") == F.max("item").over(of_split))
+    pieces = pieces.withColumn("border", border).select("file", "split", "item", "text", "border")
+    whole = pieces.where("border").groupBy("file", "item").agg(F.sort_array(F.collect_list(F.struct("split", "text"))).alias("xs"))
+    whole = whole.select("file", "item", F.array_join(F.transform("xs", lambda x: x["text"]), "").alias("text"))
+    return pieces.where("not border").select("file", "item", "text").unionByName(whole).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+
+
 # S2
 def read_records_json(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON array of objects -> rows; a missing file gives an empty frame."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return json_items(spark, path).select(F.from_json("text", schema).alias("r")).select("r.*")
 
 
-def _whole_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path)
+def _members(spark: SparkSession, path: str, value: str) -> DataFrame:
+    member = F.concat(F.lit("{"), "text", F.lit("}"))
+    return json_items(spark, path).select(F.explode(F.from_json(member, f"map<string,{value}>")))
 
 
 # S3
@@ -109,23 +159,20 @@ def read_variations_json(spark: SparkSession, path: str) -> DataFrame:
     An original with an empty list keeps one row with null pos/variation."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "original string, pos int, variation string")
-    m = _whole_text(spark, path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    kv = m.select(F.explode("m").alias("original", "vs"))
+    kv = _members(spark, path, "array<string>").toDF("original", "vs")
     return kv.select("original", F.posexplode_outer("vs").alias("pos", "variation"))
 
 
 # S4
 def read_string_list_json(spark: SparkSession, path: str, out: str = "prompt") -> DataFrame:
-    arr = _whole_text(spark, path).select(F.from_json("value", "array<string>").alias("a"))
-    return arr.select(F.explode("a").alias(out))
+    element = F.concat(F.lit("["), "text", F.lit("]"))
+    return json_items(spark, path).select(F.from_json(element, "array<string>")[0].alias(out))
 
 
 # S5
 def read_split_map_json(spark: SparkSession, path: str) -> DataFrame:
     """``{"<cluster>": "<split>"}`` -> ``(cluster int, split string)``."""
-    m = _whole_text(spark, path).select(F.from_json("value", "map<string,string>").alias("m"))
-    return m.select(F.explode("m").alias("k", "split")).select(
-        F.col("k").cast("int").alias("cluster"), "split")
+    return _members(spark, path, "string").toDF("k", "split").select(F.col("k").cast("int").alias("cluster"), "split")
 
 
 # S6

@@ -168,3 +168,46 @@ def test_csv_is_read_by_many_tasks(spark, scratch):
             spark.conf.set(k, v)
     assert len(want) == 1002 and got == want
     assert sorted((r["n"], r["m"]) for r in records) == [(1, 0), (2, 1), (302, 301), (701, 700)]
+
+
+def in_small_splits(spark, work):
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        return work()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_json_documents_are_read_by_many_tasks(spark, scratch):
+    import random
+
+    rng = random.Random(2)
+    words = ["plain", "", 'a "quoted" one', "back\\slash", "\\\\", "]}, {[", "comma, here", "é漢😀", "line\nbreak", "\\\"", "x" * 900, "{", "tab\t"]
+    records = [{"id": str(i), "prompt": rng.choice(words), "tags": [rng.choice(words) for _ in range(rng.randint(0, 3))],
+                "inner": {"a": rng.choice(words), "b": None}} for i in range(200)]
+    schema = "id string, prompt string, tags array<string>, inner struct<a:string,b:string>"
+    for indent in (None, 2):
+        path = f"{scratch}/records-{indent}.json"
+        with open(path, "w") as f:
+            json.dump(records, f, indent=indent, ensure_ascii=bool(indent))
+        tasks, got = in_small_splits(spark, lambda: (spark.read.text(path).rdd.getNumPartitions(), S.read_records_json(spark, path, schema).collect()))
+        assert tasks > 20
+        assert sorted((r["id"], r["prompt"], r["tags"], r["inner"]["a"], r["inner"]["b"]) for r in got) == sorted(
+            (r["id"], r["prompt"], r["tags"], r["inner"]["a"], None) for r in records)
+    variations = {f"{i} {rng.choice(words)}": [rng.choice([*words, None]) for _ in range(rng.randint(0, 4))] for i in range(80)}
+    listed = [rng.choice(words) for _ in range(150)]
+    for name, value in (("v", variations), ("l", listed), ("s", {str(i): f"split {i % 3}" for i in range(90)}), ("none", []), ("empty", {})):
+        with open(f"{scratch}/{name}.json", "w") as f:
+            json.dump(value, f)
+    got = in_small_splits(spark, lambda: S.read_variations_json(spark, f"{scratch}/v.json").collect())
+    want = [(k, p, x) for k, xs in variations.items() for p, x in (enumerate(xs) if xs else [(None, None)])]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sorted(r[0] for r in in_small_splits(spark, lambda: S.read_string_list_json(spark, f"{scratch}/l.json").collect())) == sorted(listed)
+    splits = in_small_splits(spark, lambda: S.read_split_map_json(spark, f"{scratch}/s.json").collect())
+    assert sorted(map(tuple, splits)) == [(i, f"split {i % 3}") for i in range(90)]
+    assert S.read_string_list_json(spark, f"{scratch}/none.json").count() == 0
+    assert S.read_variations_json(spark, f"{scratch}/empty.json").count() == 0
