@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 from pyspark.sql import functions as F
@@ -126,3 +127,38 @@ def test_quality_columns_with_internal_names(spark):
     scored = quality.score_quality(df, lf)
     assert {tuple(r[n] for n in names) for r in scored.collect()} == {tuple("abcde")}
     assert quality.keep_good(df, lf).columns == df.columns
+
+
+def plain_statistics(text):
+    """The statistics of one text, restated without Spark."""
+    import re
+
+    words = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text) if w]
+    lines = re.split(r"\n+", text)
+    chars = max(len(text), 1)
+
+    def share(chosen):
+        return sum(c in chosen for c in text) / chars
+
+    return {
+        "chars": len(text), "words": len(words), "word_chars": sum(map(len, words)) / max(len(words), 1), "symbol_share": share("#$%&*+/<=>@\\^_`~"),
+        "mark_share": share(".,;:!?"), "upper_share": sum(unicodedata.category(c) == "Lu" for c in text) / chars, "digit_share": share("0123456789"),
+        "bar_share": share("|"), "distinct_words": len(set(words)) / max(len(words), 1), "repeated_lines": 1 - len(set(lines)) / max(len(lines), 1),
+        "line_words": len(words) / max(len(lines), 1), "emphasis_share": share("!"),
+    }
+
+
+def test_scores_equal_a_plain_restatement(spark):
+    import math
+
+    from pairwright.llm.common import table
+    from tests.conftest import SF001
+
+    docs, labels = table(spark, SF001, "documents"), table(spark, SF001, "labels")
+    model = quality.learned(docs, labels, "doc_id", "text", "quality")
+    assert len(model.rules) >= 3
+    for row in quality.statistics(docs.select("doc_id", "text")).withColumn("score", model.score()).collect():
+        stats = plain_statistics(row["text"] or "")
+        assert all(abs(stats[k] - row["stats"][k]) < 1e-9 for k in stats), row["doc_id"]
+        total = model.intercept + sum(r.weight for r in model.rules if all((stats[n] <= b) == at_most for n, at_most, b in r.tests))
+        assert abs(row["score"] - 1 / (1 + math.exp(-total))) < 1e-9
