@@ -147,7 +147,7 @@ def near_identical(source: str, a: str, b: str, least: float) -> str:
 
     A common subsequence that long leaves at most ``edits`` characters over, and each spoils one of the pieces of five
     characters that ``a`` falls into; pairs with more pieces that ``b`` lacks are out. For the others the table of
-    longest common subsequences is filled row by row, after the common beginning is cut off, in the band of
+    longest common subsequences is filled row by row, after the common beginning and end are cut off, in the band of
     columns that so few edits reach: the entry p of row i is column i - drop + p - 1, and -1 is outside of the table."""
     return f"""
         texts AS (SELECT id, {a} AS a, {b} AS b, length({a}) AS la, length({b}) AS lb FROM {source}),
@@ -161,7 +161,12 @@ def near_identical(source: str, a: str, b: str, least: float) -> str:
         begun AS (
           SELECT *, coalesce(list_position(list_transform(range(1, least(la, lb) + 1), lambda k: xs[k] = ys[k]), false) - 1, least(la, lb)) AS same
           FROM chars),
-        cut AS (SELECT id, la, lb, drop, add, same, xs[same + 1:] AS xs, ys[same + 1:] AS ys FROM begun),
+        rest AS (SELECT id, la, lb, drop, add, same, xs[same + 1:] AS xs, ys[same + 1:] AS ys FROM begun),
+        ended AS (
+          SELECT *, coalesce(list_position(list_transform(range(0, least(len(xs), len(ys))), lambda k: xs[len(xs) - k] = ys[len(ys) - k]), false) - 1,
+                             least(len(xs), len(ys))) AS tail
+          FROM rest),
+        cut AS (SELECT id, la, lb, drop, add, same + tail AS same, xs[:len(xs) - tail] AS xs, ys[:len(ys) - tail] AS ys FROM ended),
         table_row AS (
           SELECT id, 0 AS i, list_transform(range(1, drop + add + 2), lambda p: CASE WHEN p - 1 BETWEEN drop AND drop + len(ys) THEN 0 ELSE -1 END::BIGINT) AS lcs
           FROM cut
