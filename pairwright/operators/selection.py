@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,11 @@ def best_candidate(candidates: DataFrame, total: Sequence[float], n: int, target
 
 
 def _energies(total: np.ndarray, n: int, target: np.ndarray, vecs: np.ndarray) -> np.ndarray:
-    return np.abs(target - (total + vecs) / (n + 1)).max(axis=1)
+    """Energies after each of ``vecs`` (dimensions x candidates) joined."""
+    out = vecs + total[:, None]
+    out /= n + 1
+    np.subtract(target[:, None], out, out=out)
+    return np.abs(out, out=out).max(axis=0)
 
 
 class Blocks:
@@ -84,39 +89,70 @@ class Blocks:
         self.number = np.array([r[0] for r in bounds], dtype=np.int64)
         self.size = np.array([r[1] for r in bounds], dtype=np.int64)
         edges = np.array([r[2:] for r in bounds], dtype=float).reshape(len(bounds), 2 * dims)
-        self.low, self.high = edges[:, :dims], edges[:, dims:]
-        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.low, self.high = np.ascontiguousarray(edges[:, :dims].T), np.ascontiguousarray(edges[:, dims:].T)
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # ids in order, vectors as columns
+        self.home: dict[int, list[int]] = {}  # the kept blocks of an id
         self.scans = 0
+        self.batches: dict[tuple, tuple[list, tuple | None]] = {}
+        self.failed: dict[tuple, tuple[list[int], set[int]]] = {}
 
     def least_energy(self, total: np.ndarray, n: int, target: np.ndarray) -> np.ndarray:
         """A lower bound per block for the energy after one of its candidates joined."""
+        total, target = total[:, None], target[:, None]
         low, high = (total + self.low) / (n + 1), (total + self.high) / (n + 1)
-        return np.maximum(np.maximum(low - target, target - high), 0.0).max(axis=1, initial=0.0)
+        return np.maximum(np.maximum(low - target, target - high), 0.0).max(axis=0, initial=0.0)
 
     def read(self, blocks: set[int]) -> None:
         """Keep the rows of these blocks; the ones read first go when there are too many."""
         numbers = [int(self.number[b]) for b in sorted(blocks)]
         place = {int(x): b for b, x in enumerate(self.number)}
-        by_block: dict[int, list] = {}
-        for r in self.rows.where(F.col("block").isin(numbers)).collect():
-            by_block.setdefault(place[r["block"]], []).append((r["id"], r["scores"][:self.dims]))
+        got = self.rows.where(F.col("block").isin(numbers)).select(
+            "block", "id", *[F.col("scores")[i].alias(f"s{i}") for i in range(self.dims)]).toArrow()
         self.scans += 1
-        for b, rows in by_block.items():
-            rows.sort()
-            self.kept[b] = (np.array([i for i, _ in rows], dtype=np.int64), np.array([v for _, v in rows], dtype=float))
+        number, ids, *scores = (got.column(i).to_numpy() for i in range(got.num_columns))
+        vecs = np.array(scores, dtype=float).reshape(self.dims, len(ids))
+        order = np.lexsort((*vecs[::-1], ids, number))
+        number, ids, vecs = number[order], ids[order].astype(np.int64), vecs[:, order]
+        starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(ids) else []
+        for i, j in zip(starts, [*starts[1:], len(ids)]):
+            b = place[int(number[i])]
+            if b in self.kept:
+                self._drop(b)
+            self.kept[b] = ids[i:j].copy(), np.ascontiguousarray(vecs[:, i:j])
+            for x in dict.fromkeys(ids[i:j].tolist()):
+                self.home.setdefault(x, []).append(b)
         held = sum(len(ids) for ids, _ in self.kept.values())
         for b in [b for b in self.kept if b not in blocks]:
             if held <= self.kept_rows:
                 break
-            held -= len(self.kept.pop(b)[0])
+            held -= self._drop(b)
+
+    def _drop(self, b: int) -> int:
+        ids, _ = self.kept.pop(b)
+        for x in dict.fromkeys(ids.tolist()):
+            self.home[x].remove(b)
+            if not self.home[x]:
+                del self.home[x]
+        return len(ids)
+
+    def next_seeds(self, seed, after, count: int):
+        """``_seed_batch``; the first 64 batches are read once for all rounds of ``select_until``."""
+        key = (seed, after, count)
+        if key not in self.batches:
+            batch = _seed_batch(self.rows, after, seed, count)
+            if len(self.batches) >= 64:
+                return batch
+            self.batches[key] = batch
+        return self.batches[key]
 
     def best_of(self, wanted: list[tuple[int, np.ndarray, int, set[int], set[int]]], target: np.ndarray) -> dict:
         """One aggregate for several states (key, total, n, chosen ids, blocks): the best candidate of each."""
         spark = self.rows.sparkSession
-        taken = [(key, int(i)) for key, _, _, chosen, _ in wanted for i in chosen]
+        taken = pa.table({"state": pa.array([key for key, _, _, chosen, _ in wanted for _ in chosen], pa.int32()),
+                          "id": pa.array([int(i) for *_, chosen, _ in wanted for i in chosen], pa.int64())})
         rows = self.rows.where(F.col("block").isin(sorted({int(self.number[b]) for *_, bs in wanted for b in bs})))
-        # at most as many rows as the states have chosen: the sizes asked for
-        gone = spark.createDataFrame(taken, "state int, id long").groupBy("id").agg(F.collect_list("state").alias("states"))
+        # at most as many rows as the states have chosen
+        gone = spark.createDataFrame(taken).groupBy("id").agg(F.collect_list("state").alias("states"))
         rows = rows.join(F.broadcast(gone), "id", "left")
         best = []
         for key, total, n, _, blocks in wanted:
@@ -135,16 +171,33 @@ class _Trajectory:
     def __init__(self, key: int, seed_id: int, seed_vec: np.ndarray, base: set[int]):
         self.key, self.base = key, base
         self.chosen, self.own = [seed_id], {seed_id}
+        self.seed = seed_vec
         self.total = seed_vec.copy()
         self.status = None          # None (running), "ok", "fail", "none"
         self.missing: set[int] = set()  # blocks that this step still has to look at
         self.found = None           # the best of the blocks that an aggregate looked at in this step
         self.looked: set[int] = set()
-        self.free: dict[int, np.ndarray] = {}
+        self.gone: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # ids of a kept block, which of them are excluded
 
     def excluded(self) -> set[int]:
         return self.base | self.own
 
+    def gone_of(self, b: int, ids: np.ndarray) -> np.ndarray:
+        held = self.gone.get(b)
+        if held is None or held[0] is not ids:  # a block that was dropped and read again has new arrays
+            gone = np.fromiter((i in self.own or i in self.base for i in ids.tolist()), bool, len(ids))
+            held = self.gone[b] = ids, gone
+        return held[1]
+
+    def take(self, cid: int, vec: np.ndarray, blocks: Blocks) -> None:
+        self.chosen.append(cid)
+        self.own.add(cid)
+        self.total = self.total + vec
+        for b in blocks.home.get(cid, ()):
+            ids = blocks.kept[b][0]
+            self.gone_of(b, ids)[np.searchsorted(ids, cid):np.searchsorted(ids, cid, "right")] = True
+        self.found, self.looked = None, set()
+
     def best(self, blocks: Blocks, target: np.ndarray):
         """(energy, id, vector) of the step, "none", or None when ``missing`` has to be looked at first."""
         n = len(self.chosen)
@@ -161,23 +214,24 @@ class _Trajectory:
                 self.missing.add(b)
                 continue
             ids, vecs = blocks.kept[b]
-            if b not in self.free:
-                self.free[b] = ~np.isin(ids, np.fromiter(self.excluded(), np.int64))
-            free = self.free[b]
-            if free.any():
+            gone = self.gone_of(b, ids)
+            if not gone.all():
                 e = _energies(self.total, n, target, vecs)
-                e[~free] = np.inf
+                e[gone] = np.inf
                 i = int(e.argmin())  # ids ascend within a block
                 if best is None or (e[i], ids[i]) < best[:2]:
-                    best = (float(e[i]), int(ids[i]), vecs[i])
+                    best = (float(e[i]), int(ids[i]), vecs[:, i])
         if self.missing:
             return None
         return best or "none"
 
-    def advance(self, blocks: Blocks, target: np.ndarray, tolerance: float, desired_len: int) -> None:
-        """Take steps until finished or until blocks have to be read."""
+    def advance(self, blocks: Blocks, target: np.ndarray, tolerance: float, desired_len: int, most: int | None = None) -> None:
+        """Take steps until finished, until ``most`` are chosen or until blocks have to be read."""
+        self.missing = set()
         while self.status is None:
             n = len(self.chosen)
+            if most is not None and n >= most:
+                return
             current = float(np.max(np.abs(target - self.total / n)))
             best = self.best(blocks, target)
             if best is None:
@@ -187,28 +241,22 @@ class _Trajectory:
                 return
             energy, cid, vec = best
             if energy < current or energy < tolerance:
-                self.chosen.append(cid)
-                self.own.add(cid)
-                self.total = self.total + vec
-                for b in list(self.free):
-                    if b not in blocks.kept:
-                        del self.free[b]
-                        continue
-                    ids = blocks.kept[b][0]
-                    self.free[b][np.searchsorted(ids, cid):np.searchsorted(ids, cid, "right")] = False
-                self.found, self.looked = None, set()
+                self.take(cid, vec, blocks)
                 continue
             self.status = "ok" if (current <= tolerance or n >= desired_len) else "fail"
 
 
 def _look(blocks: Blocks, states: list[_Trajectory], target: np.ndarray) -> None:
-    """Read the blocks that the states miss, or look at them by an aggregate where they have too many rows."""
+    """Read the blocks that the states miss, or look at them by an aggregate where they have too many rows.
+
+    The first state leads: what it misses is read up to half of the rows that can be kept, since its next steps look
+    there again."""
     rows = 0
     few: set[int] = set()
     many = []
     for t in states:
         size = int(blocks.size[list(t.missing - few)].sum())
-        if rows + size <= blocks.read_rows:
+        if rows + size <= blocks.read_rows or t is states[0] and size <= blocks.kept_rows // 2:
             few |= t.missing
             rows += size
         else:
@@ -241,6 +289,9 @@ class GreedyTrace:
     energies: list = field(default_factory=list)
 
 
+AHEAD = 64  # what seeds behind the leading one may choose; most that fail do so earlier
+
+
 # K7
 def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float] = FV.TARGET_SCORES,
                          tolerance: float = FV.SELECTION_TOLERANCE,
@@ -256,8 +307,10 @@ def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float]
     when candidates or seeds run out.
 
     Restarts depend only on the seed order, so up to ``parallel_seeds``
-    seeds are grown side by side and share each job; the result is the first
-    seed's outcome in order, as in a sequential run.  Ids are distinct; rows
+    seeds are grown side by side and share each job: the first to its end, the
+    others a little ahead while it waits for rows. The result is the first
+    seed's outcome in order, as in a sequential run. A seed that failed is not
+    grown again while nothing it chose has been excluded since. Ids are distinct; rows
     without an id or scores take no part."""
     trace = trace or GreedyTrace()
     tgt = np.asarray(target, dtype=float)
@@ -273,18 +326,23 @@ def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float]
         while True:
             while len(active) < parallel_seeds and (waiting or more):
                 if not waiting:
-                    fresh, place = _seed_batch(blocks.rows, place, seed, seeds_at_once)
+                    fresh, place = blocks.next_seeds(seed, place, seeds_at_once)
                     more = len(fresh) == seeds_at_once
                     waiting = [s for s in fresh if s[0] not in base]
                     continue
                 sid, vec = waiting.pop(0)
-                active.append(_Trajectory(key, sid, vec[:len(tgt)], base))
+                t = _Trajectory(key, sid, vec[:len(tgt)], base)
+                chosen, excluded = blocks.failed.get((tgt.tobytes(), tolerance, sid, t.total.tobytes()), (None, base))
+                if chosen and len(chosen) < desired_len and excluded <= base and base.isdisjoint(chosen):
+                    t.chosen, t.status = chosen, "fail"
+                active.append(t)
                 key += 1
             if not active:
                 return None
             for i, t in enumerate(active):
-                t.advance(blocks, tgt, tolerance, desired_len)
-                if t.status in ("ok", "none") and all(u.status == "fail" for u in active[:i]):
+                leads = all(u.status == "fail" for u in active[:i])
+                t.advance(blocks, tgt, tolerance, desired_len, None if leads else AHEAD)
+                if leads and t.status in ("ok", "none"):
                     break
             while active and active[0].status is not None:
                 head = active.pop(0)
@@ -294,6 +352,8 @@ def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float]
                 if head.status == "none":
                     return None
                 trace.restarts += 1
+                if len(head.chosen) <= AHEAD and len(blocks.failed) < blocks.kept_rows // AHEAD:
+                    blocks.failed[tgt.tobytes(), tolerance, head.chosen[0], head.seed.tobytes()] = head.chosen, base
             need = [t for t in active if t.status is None and t.missing]
             if need:
                 _look(blocks, need, tgt)

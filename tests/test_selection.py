@@ -123,3 +123,40 @@ def test_no_candidates_and_null_scores(spark):
     df = spark.createDataFrame([(1, [0.5, 0.5]), (2, None), (None, [0.1, 0.2])], "id long, scores array<double>")
     assert SEL.greedy_profile_match(df.where("id = 9"), [0.5, 0.5], 0.01, 5) is None
     assert SEL.select_until(df, [0.5, 0.5], 0.01, 5) == []  # one candidate can't be joined by another
+
+
+def _normal_rows(spark):
+    vecs = np.random.default_rng(5).normal(size=(600, 3)).round(3)
+    return vecs.mean(axis=0), spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "id long, scores array<double>")
+
+
+def test_seeds_behind_the_leading_one_stay_close(spark, monkeypatch):
+    mean, df = _normal_rows(spark)
+    grown = {}
+    advance = SEL._Trajectory.advance
+
+    def seen(self, *args, **kw):
+        advance(self, *args, **kw)
+        grown[self.key] = len(self.chosen)
+
+    monkeypatch.setattr(SEL._Trajectory, "advance", seen)
+    monkeypatch.setattr(SEL.Blocks, "ROWS", 8)
+    got = SEL.greedy_profile_match(SEL.Blocks(df, 3, read_rows=40), list(mean + 0.25), 0.2, 8, seed=1)
+    assert len(got) > 500
+    assert sum(grown.values()) < len(got) + 16 * 64
+
+
+def test_a_failed_seed_is_not_grown_in_the_next_round(spark, monkeypatch):
+    mean, df = _normal_rows(spark)
+    args = list(mean + 0.05), 0.01, 8
+    blocks, trace = SEL.Blocks(df, 3), SEL.GreedyTrace()
+    first = SEL.greedy_profile_match(blocks, *args, seed=1, trace=trace)
+    assert trace.restarts > 10
+    grown = []
+    best = SEL._Trajectory.best
+    monkeypatch.setattr(SEL._Trajectory, "best", lambda self, *a: grown.append(self) or best(self, *a))
+    second = SEL.greedy_profile_match(blocks, *args, seed=1, exclude=first)
+    again = {t.chosen[0] for t in grown}
+    failed = {chosen[0] for chosen, _ in blocks.failed.values() if not set(chosen) & set(first)}
+    assert failed and not again & failed
+    assert second == SEL.greedy_profile_match(SEL.Blocks(df, 3), *args, seed=1, exclude=first)
