@@ -37,8 +37,11 @@ def cosine(a, b) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    n = norm(v)
-    return F.when(n == 0, _as_double(v)).otherwise(F.transform(_as_double(v), lambda x: x / n))
+    # bound as lambda variables, the vector and its norm are evaluated once a row, not once an element
+    def unit(d: Column, n: Column) -> Column:
+        return F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n))
+
+    return F.transform(F.array(_as_double(v)), lambda d: F.transform(F.array(norm(d)), lambda n: unit(d, n))[0])[0]
 
 
 def sharpened_abs(cos: Column) -> Column:
