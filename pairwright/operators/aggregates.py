@@ -86,9 +86,15 @@ def _order_statistics(values: DataFrame, n: int, ranks: Sequence[int]) -> dict[i
     return result
 
 
+def _numbers(df: DataFrame, col: str) -> DataFrame:
+    """Column ``v``: the values that are numbers. It comes out of a generator, through which Catalyst doesn't push
+    the filter, so that what computes ``col`` is evaluated once a row."""
+    values = df.select(F.explode(F.array(F.col(col).cast("double"))).alias("v"))
+    return values.where(F.col("v").isNotNull() & ~F.isnan(F.col("v")))
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> tuple[int, list[float | None]]:
-    values = df.select(F.col(col).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan(F.col("v")))
+    values = _numbers(df, col)
     return _quantiles(values, values.count(), probs)
 
 
@@ -105,8 +111,7 @@ def describe(df: DataFrame, col: str, spark: SparkSession | None = None) -> Data
     """One row: count, mean, sample std, min, 25/50/75 % (linear), max."""
     spark = spark or df.sparkSession
     # several passes follow: keep the one projected column, not the upstream plan
-    values = df.select(F.col(col).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan(F.col("v"))).persist()
+    values = _numbers(df, col).persist()
     try:
         n, mean, std, low, high = values.agg(
             F.count("v"), F.avg("v"), F.stddev_samp("v"), F.min("v"), F.max("v")).first()
