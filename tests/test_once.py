@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pairwright.functions import text as T
 from pairwright.functions import vectors as V
 from pairwright.operators import aggregates as A
+from pairwright.operators import sampling as K
 
 
 def _plan(df) -> str:
@@ -31,3 +32,12 @@ def test_describe_does_not_compute_its_column_for_the_filter(spark):
     df = spark.createDataFrame([("1",), ("2",), ("nan",), (None,)], "t string").select(F.lower("t").alias("x"))
     assert _plan(A._numbers(df, "x")).count("lower(") == 1
     assert A.describe(df, "x").first()["mean"] == 1.5
+
+
+def test_seeded_shuffle_sorts_by_its_key_alone(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "id long, t string")
+    out = K.seeded_shuffle(df, 1, ["id", "t"])
+    sort = next(line for line in _plan(out).splitlines() if line.lstrip().startswith("Sort ["))
+    assert sort.count("ASC") == 1
+    keys = [r["shuffle_key"] for r in out.collect()]
+    assert keys == sorted(keys) and len(keys) == 50
