@@ -4,9 +4,9 @@
    are counted over all documents; terms of more than ``COMMON`` of them are left out, but every item
    keeps at least its ``LEAST_TERMS`` rarest.
 2. Passages are overlapping windows of ``WIDTH`` words. A randomised SVD of their TF-IDF matrix (over
-   the passages of about ``sample`` documents chosen by a hash, and of the items) gives a latent
+   the passages of all documents and of the items) gives a latent
    space: each pass multiplies the matrix and its transpose with a thin block inside Spark tasks and sums
-   the blocks; orthogonalisation of the thin block is done on the driver.
+   the blocks by slices of ``SLICE_TERMS`` terms; orthogonalisation of the thin block is done on the driver.
    What the truncated SVD leaves out is kept as a random projection of ``RESIDUAL`` numbers, so that
    an item of rare words does not vanish.
 3. Every passage of every document is folded into the space and compared by cosine with the items, whole
@@ -32,12 +32,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.llm import shingles
-from pairwright.llm.common import fraction, stash
+from pairwright.llm.common import stash
 
 WIDTH, STRIDE = 48, 24
 COMMON, LEAST_TERMS = 0.05, 8
@@ -45,6 +46,7 @@ DIMENSIONS, OVERSAMPLE, POWERS, RESIDUAL = 64, 16, 2, 96
 COSINE = 0.35
 ITEMS = 2000
 SLICE = 10_000 * STRIDE  # words that are compared at a time
+SLICE_TERMS = 256  # rows of a sum that are added up in one group
 
 _SPLIT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -171,28 +173,20 @@ def parts_of(places: np.ndarray) -> list[np.ndarray]:
     return [places[i : i + WIDTH] for i in starts]
 
 
-def windows(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, term) of every weighted word; word i stands in windows i // STRIDE - 1 and i // STRIDE."""
-    at = np.flatnonzero(places >= 0)
-    block = at // STRIDE
-    return np.concatenate((block, block + 1)), np.concatenate((places[at], places[at]))
-
-
-def fit_space(places: DataFrame, items: Items, sample: int, n: int, seed: int = 11) -> np.ndarray:
-    """Randomised SVD of the TF-IDF passages of a sample: terms x dimensions, then the projection of the rest."""
+def fit_space(places: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
+    """Randomised SVD of the TF-IDF passages of all documents: terms x dimensions, then the projection of the rest."""
     n_terms = len(items.terms)
     rng = np.random.default_rng(seed)
     width = min(DIMENSIONS + OVERSAMPLE, n_terms)
     block = np.linalg.qr(rng.standard_normal((n_terms, width)))[0]
-    chosen = places.where(fraction(F.col("id"), F.lit("passages")) < min(1.0, sample / max(n, 1)))
-    matrix = stash(chosen.select("places"), "passages").coalesce(64)
+    matrix = places.select("places")
     weights = items.weights
 
     def times(places: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
         """Add the transpose of a document's unit passages times those passages times x to ``out``."""
-        row, term = windows(np.where((places >= 0) & (weights[places] > 0), places, -1))
-        for at in range(0, len(row), 1 << 16):
-            _add_product(row[at : at + (1 << 16)], term[at : at + (1 << 16)], weights, x, out)
+        at = np.flatnonzero((places >= 0) & (weights[places] > 0))
+        if len(at):
+            _add_product(at // STRIDE, places[at], weights, x, out)
 
     for _ in range(POWERS + 1):
         x = block
@@ -200,22 +194,32 @@ def fit_space(places: DataFrame, items: Items, sample: int, n: int, seed: int =
         def product(batches: Iterator[pa.RecordBatch], x=x) -> Iterator[pa.RecordBatch]:
             out = np.zeros_like(x)
             for batch in batches:
+                group, size = [], 0
                 for places in decoded(batch.column(0)):
-                    times(places, x, out)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "value"])
-
-        shape = x.shape
+                    group += [places, np.full(2 * STRIDE - len(places) % STRIDE, -1, np.int32)]  # no passage spans two texts
+                    size += len(places)
+                    if size >= 1 << 15:
+                        times(np.concatenate(group), x, out)
+                        group, size = [], 0
+                if group:
+                    times(np.concatenate(group), x, out)
+            task = TaskContext.get().partitionId()
+            slices = [(k, out[k * SLICE_TERMS : (k + 1) * SLICE_TERMS]) for k in range(-(-len(out) // SLICE_TERMS))]
+            slices = [(k, v) for k, v in slices if v.any()]
+            columns = [pa.array([k for k, _ in slices], pa.int32()), pa.array([task] * len(slices), pa.int32())]
+            columns.append(pa.array([v.tobytes() for _, v in slices], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "task", "value"])
 
         def total(parts: pd.DataFrame) -> pd.DataFrame:
-            out = np.zeros(shape)
-            for value in parts["value"]:
-                out += np.frombuffer(value).reshape(shape)
-            return pd.DataFrame({"value": [out.tobytes()]})
+            out = 0.0
+            for value in parts.sort_values("task")["value"]:  # the same order in every run
+                out = out + np.frombuffer(value)
+            return pd.DataFrame({"part": parts["part"].iloc[:1].to_numpy(), "value": [out.tobytes()]})
 
-        sums = matrix.mapInArrow(product, "part int, value binary").groupBy("part").applyInPandas(total, "value binary")
+        sums = matrix.mapInArrow(product, "part int, task int, value binary").groupBy("part").applyInPandas(total, "part int, value binary")
         y = np.zeros_like(x)
         for r in sums.collect():
-            y += np.frombuffer(r["value"]).reshape(y.shape)
+            y[r["part"] * SLICE_TERMS : (r["part"] + 1) * SLICE_TERMS] += np.frombuffer(r["value"]).reshape(-1, y.shape[1])
         for words in items.words:
             times(items.places(words), x, y)
         block, gram = np.linalg.qr(y)[0], x.T @ y
@@ -225,18 +229,22 @@ def fit_space(places: DataFrame, items: Items, sample: int, n: int, seed: int =
     return np.hstack((latent, rest - latent @ (latent.T @ rest)))
 
 
-def _add_product(row: np.ndarray, term: np.ndarray, weights: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
-    order = np.argsort(row, kind="stable")
-    row, term = row[order], term[order]
-    first = np.concatenate(([True], row[1:] != row[:-1]))
-    starts = np.flatnonzero(first)
-    values = weights[term][:, None]
-    sums = np.add.reduceat(values * x[term], starts, axis=0)
-    square = np.add.reduceat(weights[term] ** 2, starts)[:, None]
-    back = values * (sums / square)[np.cumsum(first) - 1]
-    order = np.argsort(term, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
-    out[term[order][starts]] += np.add.reduceat(back[order], starts, axis=0)
+def _add_product(block: np.ndarray, term: np.ndarray, weights: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+    """Of the words of blocks of ``STRIDE``, in order; block b stands in passage b (after block b - 1) and b + 1."""
+    n, parts = int(block[-1]) + 1, [slice(i, i + (1 << 15)) for i in range(0, len(term), 1 << 15)]
+    sums, square = np.zeros((n + 2, x.shape[1])), np.bincount(block + 1, weights[term] ** 2, n + 2)
+    for part in parts:
+        b, t = block[part], term[part]
+        starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        sums[b[starts] + 1] += np.add.reduceat(weights[t][:, None] * x[t], starts, axis=0)
+    sums, square = sums[:-1] + sums[1:], square[:-1] + square[1:]
+    sums /= np.where(square > 0, square, 1.0)[:, None]
+    sums = sums[:-1] + sums[1:]
+    for part in parts:
+        order = np.argsort(term[part], kind="stable")
+        b, t = block[part][order], term[part][order]
+        starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        out[t[starts]] += weights[t[starts]][:, None] * np.add.reduceat(sums[b], starts, axis=0)
 
 
 def lcs(item: np.ndarray, text: np.ndarray) -> int:
@@ -256,7 +264,7 @@ def lcs(item: np.ndarray, text: np.ndarray) -> int:
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", overlap: float = 0.8, paraphrase: float = 0.6, answer: float = 0.8, sample: int = 2000,
+    item_text_col: str = "text", overlap: float = 0.8, paraphrase: float = 0.6, answer: float = 0.8,
 ) -> DataFrame:
     """One row per document and item it contains: id, item id, cosine, lcs_share, answer_share, start, end.
 
@@ -284,7 +292,7 @@ def leaks(
             places = encoded(texts, block)
             frequencies, n = document_frequencies(places, block)
             block.weights, block.frequencies = idf_weights(frequencies, n, block), frequencies
-            space = fit_space(places, block, sample, n)
+            space = fit_space(places, block)
             part = places.select("id", "places").mapInArrow(_searcher(block, space, out, overlap, paraphrase, answer), out)
         found = part if found is None else found.unionByName(part)
     return found

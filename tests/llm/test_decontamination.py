@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -123,3 +124,29 @@ def test_paraphrases_of_one_sentence_items(spark):
     docs += [(k, " ".join(sentence(rng, 20) for _ in range(5))) for k in range(1000, 1100)]
     got = {(r["doc_id"], r["item_id"]) for r in result(spark, docs, items)}
     assert got == {(k, k) for k, _ in items}
+
+
+def test_space_is_fitted_on_all_passages(spark):
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(30)]
+    items = decontamination.Items.of([(k, " ".join(rng.choice(names, 12))) for k in range(5)])
+    texts = [" ".join(rng.choice(names, rng.integers(0, 130))) for _ in range(40)] + [None, "w1"]
+    places = [items.places(decontamination.word_ids(t)).astype(np.int32) for t in texts]
+    n_terms = len(items.terms)
+    items.weights = np.where(np.arange(n_terms) % 7 > 0, 1.0 + np.arange(n_terms) / 10, 0.0)
+    rows = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(places)], "id long, places binary").repartition(3)
+    space = decontamination.fit_space(rows, items)
+    matrix = []
+    for p in places + [items.places(w) for w in items.words]:
+        for b in range(-1, len(p) // 24 + 1):
+            passage = np.zeros(n_terms)
+            np.add.at(passage, [t for t in p[max(b, 0) * 24 : (b + 2) * 24] if t >= 0], 1.0)
+            square = (passage * items.weights**2).sum()  # of the words
+            if square > 0:
+                matrix.append(passage * items.weights / math.sqrt(square))
+    gram = np.array(matrix).T @ np.array(matrix)
+    latent = space[:, : -decontamination.RESIDUAL]
+    # as many dimensions as terms: the space diagonalises the whole matrix
+    turned = latent.T @ gram @ latent
+    assert np.allclose(turned, np.diag(np.diag(turned)), atol=1e-6)
+    assert np.allclose(np.sort(np.diag(turned)), np.sort(np.linalg.eigvalsh(gram)), atol=1e-6)
