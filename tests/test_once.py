@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from pairwright.functions import text as T
 from pairwright.functions import vectors as V
 from pairwright.operators import aggregates as A
+from pairwright.operators import joins as JN
 from pairwright.operators import sampling as K
+from pairwright.plans import pipelines as P
+from pairwright.session import written
 
 
 def _plan(df) -> str:
@@ -41,3 +44,22 @@ def test_seeded_shuffle_sorts_by_its_key_alone(spark):
     assert sort.count("ASC") == 1
     keys = [r["shuffle_key"] for r in out.collect()]
     assert keys == sorted(keys) and len(keys) == 50
+
+
+def test_evaluation_set_writes_both_sides_in_one_job(spark, monkeypatch):
+    names = []
+    for module in (P, JN):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append((name, df)) or written(df, name))
+    rows = [(i, f"text {i % 7}" if i % 5 else None, "p", f"r{i}", i % 3) for i in range(60)]
+    old = spark.createDataFrame(rows, "id long, original_text string, rewrite_prompt string, rewritten_text string, cluster int")
+    new = old.withColumn("rewritten_text", F.upper("rewritten_text")).where("id % 7 <> 3")
+    splits = spark.createDataFrame([(0, "test"), (1, "val")], "cluster int, split string")
+    held = old.where("cluster < 2")
+    train = old.where("cluster = 2 and id % 7 = 1").select("original_text")
+    left = JN.remove_leaks(held, train)
+    assert sorted(r["id"] for r in left.collect()) == sorted(r[0] for r in rows if r[4] < 2 and r[1] != "text 1")
+    assert [n for n, _ in names] == ["leaked"]
+    assert [r for _, df in names for r in df.columns] == ["_leak_key"]  # digests move, no texts
+    names.clear()
+    P.evaluation_set(old, new, splits)
+    assert [n for n, _ in names] == ["leaked", "sides"]
