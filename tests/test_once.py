@@ -9,6 +9,7 @@ from pairwright.operators import joins as JN
 from pairwright.operators import sampling as K
 from pairwright.plans import pipelines as P
 from pairwright.session import written
+from pairwright.sources import views as VW
 
 
 def _plan(df) -> str:
@@ -63,3 +64,63 @@ def test_evaluation_set_writes_both_sides_in_one_job(spark, monkeypatch):
     names.clear()
     P.evaluation_set(old, new, splits)
     assert [n for n, _ in names] == ["leaked", "sides"]
+
+
+def test_looking_up_the_split_moves_no_rows(spark):
+    df = spark.createDataFrame([(i, i % 9) for i in range(30)], "id long, cluster int")
+    got = JN.assign_split(df, VW.split_map(spark), "train")
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["cluster"]: r["split"] for r in got.collect()} == {c: "test" if c < 4 else "val" if c < 7 else "train" for c in range(9)}
+
+
+def test_evaluate_moves_and_writes_its_texts_once(spark, monkeypatch):
+    frames = []
+    for module in (P, JN):
+        monkeypatch.setattr(module, "written", lambda df, name: frames.append((name, set(df.columns))) or written(df, name))
+    rows = [(i, f"text {i % 9}", f"p{i % 4}", f"r{i}", i % 3) for i in range(60)]
+    old = spark.createDataFrame(rows, "id long, original_text string, rewrite_prompt string, rewritten_text string, cluster int")
+    new = old.withColumn("rewritten_text", F.upper("rewritten_text")).where("id % 7 <> 3")
+    splits = spark.createDataFrame([(0, "test"), (1, "val")], "cluster int, split string")
+    digest = old.withColumn("original_text", F.unhex(F.sha2("original_text", 256)))
+    ev = P.evaluation_set(old, new, splits, digests=(digest, digest), key="row")
+    done = P.evaluate(ev, lambda frame: frame.select(F.concat("original_text", "rewritten_text").alias("rewrite_prompt")), key="row")
+    assert [n for n, _ in frames] == ["leaked", "sides", "numbered", "numbered", "evaluation"]
+    assert all("original_text" not in c for n, c in frames if n in ("leaked", "numbered"))
+    got = done["rows"].collect()
+    assert len(got) == ev.count() > 20 and "row" not in done["rows"].columns
+    assert all(r["rewrite_prompt"] == r["original_text"] + r["rewritten_text"] for r in got)
+    prompts = {r[3].lower(): r[2] for r in rows}
+    assert all(r["rewrite_prompt_og"] == prompts[r["rewritten_text"].lower()] for r in got)
+
+
+def _evaluation_brute(old, new, test, seed):
+    """Rows (id, original, prompt, rewritten, cluster) of both sides in plain Python."""
+    import hashlib
+
+    def key(r):
+        i, o, p, w, c = r
+        values = [o, c, i, p, w, "test"]
+        return hashlib.md5("\u0001".join([str(seed), *(f"{len(str(v))}:{v}" for v in values)]).encode()).hexdigest()
+
+    full = [[r for r in side if None not in r] for side in (old, new)]
+    train = {r[1] for side in full for r in side if r[4] not in test}
+    held = [sorted((r for r in side if r[4] in test and r[1] not in train), key=key) for side in full]
+    n = min(map(len, held))
+    return {r for side in held for r in side[:n] if all(str(x).strip() for x in r[1:4])}
+
+
+def test_evaluation_set_with_copies_equals_its_definition(spark):
+    schema = "id long, original_text string, rewrite_prompt string, rewritten_text string, cluster int"
+    old = [(i % 23, f"text {i % 23}" if i % 11 else None, "p" if i % 6 else " ", f"r{i % 23}", i % 23 % 4) for i in range(160)]
+    old += [(7, "text 100", "p", "r", 3), (8, "text 1", "p", "r", 3)] + [(9, "text 100", "p", "r", 1)] * 5
+    splits = spark.createDataFrame([(c, "test") for c in range(3)], "cluster int, split string")
+    for new in (old[:40], [r[:3] + (f"{r[3]} new" if r[0] % 2 else r[3],) + r[4:] for r in old[20:90]] * 2, []):
+        frames = [spark.createDataFrame(x, schema) for x in (old, new)]
+        digests = tuple(f.withColumn("original_text", F.unhex(F.sha2("original_text", 256))) for f in frames)
+        for given in (None, digests):
+            ev = P.evaluation_set(*frames, splits, 5, digests=given)
+            got = [(r["id"], r["original_text"], r["rewrite_prompt"], r["rewritten_text"], r["cluster"]) for r in ev.collect()]
+            assert len(got) == len(set(got))
+            # hash_key reads the columns as evaluation_set orders them
+            assert ev.columns == ["original_text", "cluster", "id", "rewrite_prompt", "rewritten_text", "split"]
+            assert set(got) == _evaluation_brute(old, new, {0, 1, 2}, 5)
