@@ -124,3 +124,16 @@ def test_evaluation_set_with_copies_equals_its_definition(spark):
             # hash_key reads the columns as evaluation_set orders them
             assert ev.columns == ["original_text", "cluster", "id", "rewrite_prompt", "rewritten_text", "split"]
             assert set(got) == _evaluation_brute(old, new, {0, 1, 2}, 5)
+
+
+def test_evaluation_sets_of_other_schemas_are_written_side_by_side(spark):
+    schema = "id long, original_text string, rewrite_prompt string, rewritten_text string, cluster int"
+    rows = [(i % 23, f"text {i % 23}" if i % 11 else None, "p" if i % 6 else " ", f"r{i % 23}", i % 23 % 4) for i in range(160)]
+    old = spark.createDataFrame([*rows, (8, "text 1", "p", "r", 3)], schema)
+    splits = spark.createDataFrame([(c, "test") for c in range(3)], "cluster int, split string")
+    want = {r[1:] for r in _evaluation_brute(rows + [(8, "text 1", "p", "r", 3)], rows, {0, 1, 2}, 1)}
+    for new in (old.select(*reversed(old.columns)), old.withColumn("cluster", F.col("cluster").cast("double"))):
+        ev = P.evaluation_set(old, new, splits, key="row")
+        got = ev.select("original_text", "rewrite_prompt", "rewritten_text", F.col("cluster").cast("int")).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+        assert ev.select("row").distinct().count() == len(got)
