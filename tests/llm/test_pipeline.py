@@ -105,7 +105,7 @@ def _norm(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     want = con.execute(ORACLES[name])
     cols = [d[0] for d in want.description]
@@ -118,6 +118,12 @@ def test_oracle(spark, name):
 def test_query_returns_its_contract(spark, name):
     key, source = ("page_id", "pages") if name.startswith("op3") else ("doc_id", "documents")
     got = entry.queries()[name](spark, SF001)
-    if not name.startswith("op4"):
+    if name.startswith("op11"):
+        ids = {r[0] for r in got.select("query_id").collect()}
+        assert ids == {r[0] for r in table(spark, SF001, "embeddings").where("vec_id % 100 = 0").select("vec_id").collect()}
+    elif name.startswith("op12"):
+        words = [r[0] for r in got.select("word").collect()]
+        assert words and len(words) == len(set(words)) and all(len(w) >= 5 for w in words)
+    elif not name.startswith("op4"):
         ids = sorted(r[0] for r in got.select(key).collect())
         assert ids == sorted(r[0] for r in table(spark, SF001, source).select(key).collect())
