@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +48,30 @@ COSINE = 0.35
 ITEMS = 2000
 SLICE = 10_000 * STRIDE  # words that are compared at a time
 SLICE_TERMS = 256  # rows of a sum that are added up in one group
+RUN = 32  # longer runs of rows are summed in pieces
 
 _SPLIT = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
+def lowered(text: str | None) -> bytes:
+    """A text in lower case, with blanks for all ASCII characters but letters and digits."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPLIT)
+
+
 def word_ids(text: str | None) -> np.ndarray:
     """Hashes of a text's words in lower case; all ASCII characters but letters and digits are gaps."""
-    return shingles.word_hashes((text or "").lower().encode("utf-8", "surrogatepass").translate(_SPLIT))
+    return shingles.word_hashes(lowered(text))
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, words, words of the answer, sorted terms and the terms' weights."""
+    """A block of benchmark items: ids, words, words of the answer, sorted terms, their spelling and weights."""
 
     ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
     terms: np.ndarray
+    spelled: pa.Array
     weights: np.ndarray | None = None
     frequencies: np.ndarray | None = None
 
@@ -71,8 +79,10 @@ class Items:
     def of(rows: list[tuple]) -> Items:
         words = [word_ids(text) for _, text in rows]
         last = [re.split(r"(?<=[.!?])\s+", (text or "").strip())[-1] for _, text in rows]
-        terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        return Items([i for i, _ in rows], words, [word_ids(t) for t in last], terms)
+        terms, first = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_index=True)
+        spelled = [w for _, text in rows for w in lowered(text).split()]
+        spelled = pa.array([spelled[i] for i in first], pa.large_binary()).view(pa.large_string())
+        return Items([i for i, _ in rows], words, [word_ids(t) for t in last], terms, spelled)
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Index of each word among the terms, -1 for other words."""
@@ -82,6 +92,26 @@ class Items:
         at[at == len(self.terms)] = 0
         return np.where(self.terms[at] == words, at, -1)
 
+    def places_of_texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """``places`` of the words of each text, as 32-bit numbers. Short texts are looked up together."""
+        group, size = [], 0
+        for text in texts:
+            data = lowered(text)
+            if group and size + len(data) > shingles.SEGMENT:
+                yield from self._places_together(group)
+                group, size = [], 0
+            group.append(data)
+            size += len(data)
+        if group:
+            yield from self._places_together(group)
+
+    def _places_together(self, group: list[bytes]) -> list[np.ndarray]:
+        split = pc.ascii_split_whitespace(pa.array(group, pa.large_binary()).view(pa.large_string()))
+        words = split.flatten()
+        solid = pc.binary_length(words).to_numpy() > 0  # blanks at an end leave an empty word
+        at = pc.fill_null(pc.index_in(words, value_set=self.spelled), -1).to_numpy()[solid]
+        return np.split(at, np.concatenate(([0], np.cumsum(solid)))[split.offsets.to_numpy()[1:-1]])
+
 
 def encoded(docs: DataFrame, items: Items) -> DataFrame:
     """id, n_words, places: per document the term index of every word (32-bit numbers, -1 for other words)."""
@@ -90,7 +120,7 @@ def encoded(docs: DataFrame, items: Items) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                places = [items.places(word_ids(t)).astype(np.int32) for t in part.column(1).to_pylist()]
+                places = list(items.places_of_texts(part.column(1).to_pylist()))
                 columns = [part.column(0), pa.array([len(p) for p in places], pa.int64()), pa.array([p.tobytes() for p in places], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "places"])
 
@@ -108,10 +138,12 @@ def document_frequencies(places: DataFrame, items: Items) -> tuple[np.ndarray, i
     n_terms = len(items.terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms + 1, dtype=np.int64)
+        total, mark = np.zeros(n_terms + 1, dtype=np.int64), np.zeros(n_terms + 1, dtype=np.int64)
         for batch in batches:
             for at in decoded(batch.column(0)):
-                total[np.unique(at)] += 1  # -1 is the last place
+                number = np.arange(len(at))
+                mark[at] = number  # -1 is the last place; of a term's words one leaves its number
+                total[at[mark[at] == number]] += 1
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["term", "n"])
 
@@ -181,28 +213,31 @@ def fit_space(places: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
     block = np.linalg.qr(rng.standard_normal((n_terms, width)))[0]
     matrix = places.select("places")
     weights = items.weights
+    used = np.append(weights > 0, False)  # -1 is the last place
+    gap = np.full(2 * STRIDE, -1, np.int32)
 
-    def times(places: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
-        """Add the transpose of a document's unit passages times those passages times x to ``out``."""
-        at = np.flatnonzero((places >= 0) & (weights[places] > 0))
+    def times(places: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
+        """Add the transpose of a document's unit passages times those passages times x to ``out``; ``weighted`` is
+        x with its rows times the weights."""
+        at = np.flatnonzero(used[places])
         if len(at):
-            _add_product(at // STRIDE, places[at], weights, x, out)
+            _add_product(at // STRIDE, places[at], weights, weighted, out)
 
     for _ in range(POWERS + 1):
         x = block
 
         def product(batches: Iterator[pa.RecordBatch], x=x) -> Iterator[pa.RecordBatch]:
-            out = np.zeros_like(x)
+            out, weighted = np.zeros_like(x), weights[:, None] * x
             for batch in batches:
                 group, size = [], 0
                 for places in decoded(batch.column(0)):
-                    group += [places, np.full(2 * STRIDE - len(places) % STRIDE, -1, np.int32)]  # no passage spans two texts
+                    group += [places, gap[len(places) % STRIDE :]]  # no passage spans two texts
                     size += len(places)
                     if size >= 1 << 15:
-                        times(np.concatenate(group), x, out)
+                        times(np.concatenate(group), weighted, out)
                         group, size = [], 0
                 if group:
-                    times(np.concatenate(group), x, out)
+                    times(np.concatenate(group), weighted, out)
             task = TaskContext.get().partitionId()
             slices = [(k, out[k * SLICE_TERMS : (k + 1) * SLICE_TERMS]) for k in range(-(-len(out) // SLICE_TERMS))]
             slices = [(k, v) for k, v in slices if v.any()]
@@ -220,8 +255,9 @@ def fit_space(places: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
         y = np.zeros_like(x)
         for r in sums.collect():
             y[r["part"] * SLICE_TERMS : (r["part"] + 1) * SLICE_TERMS] += np.frombuffer(r["value"]).reshape(-1, y.shape[1])
+        weighted = weights[:, None] * x
         for words in items.words:
-            times(items.places(words), x, y)
+            times(items.places(words), weighted, y)
         block, gram = np.linalg.qr(y)[0], x.T @ y
     _, axes = np.linalg.eigh((gram + gram.T) / 2)
     latent = (x @ axes[:, ::-1])[:, :DIMENSIONS]
@@ -229,14 +265,14 @@ def fit_space(places: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
     return np.hstack((latent, rest - latent @ (latent.T @ rest)))
 
 
-def _add_product(block: np.ndarray, term: np.ndarray, weights: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+def _add_product(block: np.ndarray, term: np.ndarray, weights: np.ndarray, weighted: np.ndarray, out: np.ndarray) -> None:
     """Of the words of blocks of ``STRIDE``, in order; block b stands in passage b (after block b - 1) and b + 1."""
     n, parts = int(block[-1]) + 1, [slice(i, i + (1 << 15)) for i in range(0, len(term), 1 << 15)]
-    sums, square = np.zeros((n + 2, x.shape[1])), np.bincount(block + 1, weights[term] ** 2, n + 2)
+    sums, square = np.zeros((n + 2, out.shape[1])), np.bincount(block + 1, weights[term] ** 2, n + 2)
     for part in parts:
         b, t = block[part], term[part]
         starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        sums[b[starts] + 1] += np.add.reduceat(weights[t][:, None] * x[t], starts, axis=0)
+        sums[b[starts] + 1] += _run_sums(weighted, t, starts)
     sums, square = sums[:-1] + sums[1:], square[:-1] + square[1:]
     sums /= np.where(square > 0, square, 1.0)[:, None]
     sums = sums[:-1] + sums[1:]
@@ -244,7 +280,24 @@ def _add_product(block: np.ndarray, term: np.ndarray, weights: np.ndarray, x: np
         order = np.argsort(term[part], kind="stable")
         b, t = block[part][order], term[part][order]
         starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        out[t[starts]] += weights[t[starts]][:, None] * np.add.reduceat(sums[b], starts, axis=0)
+        out[t[starts]] += weights[t[starts]][:, None] * _run_sums(sums, b, starts)
+
+
+def _run_sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[index]`` over the runs of the index that begin at ``starts``: all runs' first rows, then all
+    second ones and so on, which is faster than ``np.add.reduceat`` for many short runs of wide rows."""
+    lengths = np.diff(starts, append=len(index))
+    longest = int(lengths.max())
+    if longest > RUN:
+        pieces = -(-lengths // RUN)
+        runs = np.cumsum(pieces) - pieces
+        cuts = np.repeat(starts - RUN * runs, pieces) + RUN * np.arange(pieces.sum())
+        return _run_sums(_run_sums(rows, index, cuts), np.arange(len(cuts)), runs)
+    out = rows[index[starts]]
+    for i in range(1, longest):
+        longer = np.flatnonzero(lengths > i)
+        out[longer] += rows[index[starts[longer] + i]]
+    return out
 
 
 def lcs(item: np.ndarray, text: np.ndarray) -> int:

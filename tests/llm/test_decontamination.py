@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 
@@ -150,3 +151,54 @@ def test_space_is_fitted_on_all_passages(spark):
     turned = latent.T @ gram @ latent
     assert np.allclose(turned, np.diag(np.diag(turned)), atol=1e-6)
     assert np.allclose(np.sort(np.diag(turned)), np.sort(np.linalg.eigvalsh(gram)), atol=1e-6)
+
+
+def test_texts_looked_up_together_have_the_places_of_their_hashes(monkeypatch):
+    rng = random.Random(15)
+    words = ["Straße", "ΟΔΟΣ", "İstanbul", "naïve", "42", "x", "\u212a", *VOCABULARY]
+    items = decontamination.Items.of([(1, " ".join(words[:40])), (2, "x. Ab\u00a0c!"), (3, None), (4, "ΟΔΟΣ.Α")])
+    texts = [None, "", " \n", "x", " x\x00X\x1fx ", "ΟΔΟΣ.Α ΟΔΟΣ", "ab\u00a0c AB C", "x " * 5000, "y" * 5000]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", ", ", "\t", "-", "\x85"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    for segment in (1, 1000, 1 << 20):
+        monkeypatch.setattr(decontamination.shingles, "SEGMENT", segment)
+        got = list(items.places_of_texts(texts))
+        assert len(got) == len(texts) and all(p.dtype == np.int32 for p in got)
+        assert [p.tolist() for p in got] == [items.places(decontamination.word_ids(t)).tolist() for t in texts]
+    assert max(p.max(initial=-1) for p in got) >= 0
+    none = decontamination.Items.of([])
+    assert [p.tolist() for p in none.places_of_texts(["", "a b"])] == [[], [-1, -1]]
+
+
+def test_looking_up_texts_costs_less_than_hashing_each():
+    rng = random.Random(16)
+    items = decontamination.Items.of([(k, sentence(rng, 40)) for k in range(100)])
+    texts = [sentence(rng, 300) for _ in range(500)]
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    together = least(lambda: list(items.places_of_texts(texts)))
+    assert together < 0.8 * least(lambda: [items.places(decontamination.word_ids(t)) for t in texts])
+
+
+def test_run_sums_equal_reduceat():
+    rng = np.random.default_rng(17)
+    rows = rng.standard_normal((50, 7))
+    for longest in (1, 3, decontamination.RUN, decontamination.RUN + 1, 5000):
+        lengths = np.concatenate((rng.integers(1, longest + 1, 20), [longest, 1]))
+        index, starts = rng.integers(0, 50, lengths.sum()), np.cumsum(lengths) - lengths
+        assert np.allclose(decontamination._run_sums(rows, index, starts), np.add.reduceat(rows[index], starts, axis=0))
+
+
+def test_document_frequencies_count_documents(spark):
+    items = decontamination.Items.of([(1, "a b c d"), (2, "c e")])
+    texts = ["a a b zz", "zz", None, "c a c a c", "e", "e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    frequencies, n = decontamination.document_frequencies(decontamination.encoded(docs, items), items)
+    words = [set((t or "").split()) for t in texts]
+    assert n == 6 and frequencies.tolist() == [sum(w.as_py() in x for x in words) for w in items.spelled]
