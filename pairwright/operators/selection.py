@@ -3,7 +3,8 @@
 The candidates are laid out in blocks by their scores. The driver keeps the
 selection state (the ids chosen so far, the running sum of their score vectors, the
 place of the last seed in the seed order), the bounds of at most 4,096
-blocks and a bounded number of rows that steps have looked at. A step reads
+blocks and a bounded number of rows. A table of at most ``kept_rows`` rows is read once, and steps
+find their winner by bitmaps (``nearest.py``). In a larger one a step reads
 only the blocks whose bounds may hold its winner; where these are too many,
 one native aggregate finds the winner of every seed grown side by side.
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as FV
 from ..session import written
+from .nearest import Left, Slots, energies
 from .sampling import hash_key
 
 
@@ -47,28 +51,21 @@ def best_candidate(candidates: DataFrame, total: Sequence[float], n: int, target
     return None if best is None else (best["energy"], best["id"], list(best["scores"]))
 
 
-def _energies(total: np.ndarray, n: int, target: np.ndarray, vecs: np.ndarray) -> np.ndarray:
-    """Energies after each of ``vecs`` (dimensions x candidates) joined."""
-    out = vecs + total[:, None]
-    out /= n + 1
-    np.subtract(target[:, None], out, out=out)
-    return np.abs(out, out=out).max(axis=0)
-
-
 class Blocks:
     """Candidates laid out by their scores, with the bounds of every block on the driver.
 
     The dimensions that vary most are cut at their quantiles; candidates in the same cells are a block, and the
     table lies in the shared folder in the order of the blocks. A block's least and largest scores bound the
-    energy of all its candidates from below, so a greedy step reads only blocks that may hold the winner. Rows that
-    were read are kept up to ``kept_rows``; what is left of a step beyond ``read_rows`` is one
+    energy of all its candidates from below, so a greedy step reads only blocks that may hold the winner. A table of at
+    most ``kept_rows`` rows is read as a whole. Of a larger one, or one with a score that is null or not finite, rows that
+    were read are kept up to ``kept_rows`` and ``KEPT``; what is left of a step beyond ``read_rows`` is one
     aggregate in Spark. Rows without an id or scores take no part."""
 
-    CUT, AT_MOST, ROWS = 3, 4096, 512
+    CUT, AT_MOST, ROWS, KEPT = 3, 4096, 512, 200_000
 
     def __init__(self, candidates: DataFrame, dims: int, id_col: str = "id", scores: str = "scores",
-                 read_rows: int = 20_000, kept_rows: int = 200_000):
-        self.dims, self.read_rows, self.kept_rows = dims, read_rows, kept_rows
+                 read_rows: int = 20_000, kept_rows: int = 1_000_000):
+        self.dims, self.read_rows = dims, read_rows
         rows = candidates.where(F.col(id_col).isNotNull() & F.col(scores).isNotNull())
         rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(scores).cast("array<double>").alias("scores"))
         of = [F.col("scores")[i] for i in range(dims)]
@@ -85,12 +82,17 @@ class Blocks:
             block = block * per_dim + cell
         laid = rows.withColumn("block", block.cast("int")).repartitionByRange("block").sortWithinPartitions("block")
         self.rows = written(laid, "blocks")
-        bounds = self.rows.groupBy("block").agg(F.count(F.lit(1)), *[F.min(x) for x in of], *[F.max(x) for x in of]).collect()
+        finite = F.coalesce(reduce(and_, [F.abs(x) < F.lit(math.inf) for x in of]), F.lit(False))
+        bounds = self.rows.groupBy("block").agg(F.count(F.lit(1)), *[F.min(x) for x in of], *[F.max(x) for x in of],
+                                                F.bool_and(finite)).collect()
         self.number = np.array([r[0] for r in bounds], dtype=np.int64)
         self.size = np.array([r[1] for r in bounds], dtype=np.int64)
-        edges = np.array([r[2:] for r in bounds], dtype=float).reshape(len(bounds), 2 * dims)
+        edges = np.array([r[2:-1] for r in bounds], dtype=float).reshape(len(bounds), 2 * dims)
         self.low, self.high = np.ascontiguousarray(edges[:, :dims].T), np.ascontiguousarray(edges[:, dims:].T)
-        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # ids in order, vectors as columns
+        self.whole = bool(self.size.sum() <= kept_rows and all(r[-1] for r in bounds))
+        self.kept_rows = kept_rows if self.whole else min(kept_rows, self.KEPT)
+        self.all: Slots | None = None
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}  # ids in order, vectors as columns; None: in ``all``
         self.home: dict[int, list[int]] = {}  # the kept blocks of an id
         self.scans = 0
         self.batches: dict[tuple, tuple[list, tuple | None]] = {}
@@ -102,15 +104,34 @@ class Blocks:
         low, high = (total + self.low) / (n + 1), (total + self.high) / (n + 1)
         return np.maximum(np.maximum(low - target, target - high), 0.0).max(axis=0, initial=0.0)
 
+    def _fetch(self, of: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Block numbers, ids and vectors (as columns) of these rows."""
+        got = self.rows.where(of).select("block", "id", *[F.col("scores")[i].alias(f"s{i}") for i in range(self.dims)]).toArrow()
+        self.scans += 1
+        number, ids, *scores = (got.column(i).to_numpy() for i in range(got.num_columns))
+        return number, ids, np.array(scores, dtype=float).reshape(self.dims, len(ids))
+
+    def slots(self, target: np.ndarray) -> Slots | None:
+        """All rows, read ``KEPT`` at a time, or None if the table isn't kept as a whole."""
+        if self.whole and self.all is None:
+            ids, vecs = np.empty(self.size.sum(), np.int64), np.empty((self.size.sum(), self.dims))
+            order, n, held = np.argsort(self.number), 0, 0
+            for i, b in enumerate(order):
+                held += self.size[b]
+                if i + 1 < len(order) and held + self.size[order[i + 1]] <= self.KEPT:
+                    continue
+                _, some, columns = self._fetch(F.col("block") <= int(self.number[b]) if n == 0 else
+                                               F.col("block").between(low + 1, int(self.number[b])))
+                ids[n:n + len(some)], vecs[n:n + len(some)] = some, columns.T
+                n, held, low = n + len(some), 0, int(self.number[b])
+            self.all, self.kept = Slots(ids, vecs, target), dict.fromkeys(range(len(self.size)))
+        return self.all
+
     def read(self, blocks: set[int]) -> None:
         """Keep the rows of these blocks; the ones read first go when there are too many."""
         numbers = [int(self.number[b]) for b in sorted(blocks)]
         place = {int(x): b for b, x in enumerate(self.number)}
-        got = self.rows.where(F.col("block").isin(numbers)).select(
-            "block", "id", *[F.col("scores")[i].alias(f"s{i}") for i in range(self.dims)]).toArrow()
-        self.scans += 1
-        number, ids, *scores = (got.column(i).to_numpy() for i in range(got.num_columns))
-        vecs = np.array(scores, dtype=float).reshape(self.dims, len(ids))
+        number, ids, vecs = self._fetch(F.col("block").isin(numbers))
         order = np.lexsort((*vecs[::-1], ids, number))
         number, ids, vecs = number[order], ids[order].astype(np.int64), vecs[:, order]
         starts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(ids) else []
@@ -168,8 +189,10 @@ class Blocks:
 class _Trajectory:
     """One greedy cluster grown from one seed."""
 
-    def __init__(self, key: int, seed_id: int, seed_vec: np.ndarray, base: set[int]):
-        self.key, self.base = key, base
+    def __init__(self, key: int, seed_id: int, seed_vec: np.ndarray, base: set[int], left: Left | None = None):
+        self.key, self.base, self.left = key, base, left
+        if left is not None:
+            left.take(seed_id)
         self.chosen, self.own = [seed_id], {seed_id}
         self.seed = seed_vec
         self.total = seed_vec.copy()
@@ -193,6 +216,9 @@ class _Trajectory:
         self.chosen.append(cid)
         self.own.add(cid)
         self.total = self.total + vec
+        if self.left is not None:
+            self.left.take(cid)
+            return
         for b in blocks.home.get(cid, ()):
             ids = blocks.kept[b][0]
             self.gone_of(b, ids)[np.searchsorted(ids, cid):np.searchsorted(ids, cid, "right")] = True
@@ -201,6 +227,8 @@ class _Trajectory:
     def best(self, blocks: Blocks, target: np.ndarray):
         """(energy, id, vector) of the step, "none", or None when ``missing`` has to be looked at first."""
         n = len(self.chosen)
+        if self.left is not None:
+            return self.left.best(self.total, n, target) or "none"
         least = blocks.least_energy(self.total, n, target) * (1 - 1e-9) - 1e-12
         best, self.missing = self.found, set()
         for b in np.argsort(least, kind="stable").tolist():
@@ -216,7 +244,7 @@ class _Trajectory:
             ids, vecs = blocks.kept[b]
             gone = self.gone_of(b, ids)
             if not gone.all():
-                e = _energies(self.total, n, target, vecs)
+                e = energies(self.total, n, target, vecs)
                 e[gone] = np.inf
                 i = int(e.argmin())  # ids ascend within a block
                 if best is None or (e[i], ids[i]) < best[:2]:
@@ -308,7 +336,7 @@ def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float]
 
     Restarts depend only on the seed order, so up to ``parallel_seeds``
     seeds are grown side by side and share each job: the first to its end, the
-    others a little ahead while it waits for rows. The result is the first
+    others a little ahead while it waits for rows (it never does in a table read as a whole). The result is the first
     seed's outcome in order, as in a sequential run. A seed that failed is not
     grown again while nothing it chose has been excluded since. Ids are distinct; rows
     without an id or scores take no part."""
@@ -316,12 +344,14 @@ def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float]
     tgt = np.asarray(target, dtype=float)
     blocks = candidates if isinstance(candidates, Blocks) else Blocks(candidates, len(tgt), id_col, scores)
     base = set(exclude)
+    before = blocks.scans
+    slots = blocks.slots(tgt)
+    free = None if slots is None else Left(slots, base)
     place = None
     waiting: list[tuple[int, np.ndarray]] = []
     active: list[_Trajectory] = []
     more = True
     key = 0
-    before = blocks.scans
     try:
         while True:
             while len(active) < parallel_seeds and (waiting or more):
@@ -331,7 +361,7 @@ def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float]
                     waiting = [s for s in fresh if s[0] not in base]
                     continue
                 sid, vec = waiting.pop(0)
-                t = _Trajectory(key, sid, vec[:len(tgt)], base)
+                t = _Trajectory(key, sid, vec[:len(tgt)], base, None if free is None else free.copy())
                 chosen, excluded = blocks.failed.get((tgt.tobytes(), tolerance, sid, t.total.tobytes()), (None, base))
                 if chosen and len(chosen) < desired_len and excluded <= base and base.isdisjoint(chosen):
                     t.chosen, t.status = chosen, "fail"

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from pairwright.operators import nearest as NE
 from pairwright.operators import selection as SEL
 from pairwright.operators.sampling import hash_key
 
@@ -160,3 +161,66 @@ def test_a_failed_seed_is_not_grown_in_the_next_round(spark, monkeypatch):
     again = {t.chosen[0] for t in grown}
     assert failed and not again & failed
     assert second == SEL.greedy_profile_match(SEL.Blocks(df, 3), *args, seed=1, exclude=first)
+
+
+def test_a_table_that_fits_is_read_once(spark, monkeypatch):
+    mean, df = _normal_rows(spark)
+    monkeypatch.setattr(SEL.Blocks, "ROWS", 8)
+    trace = SEL.GreedyTrace()
+    got = SEL.greedy_profile_match(SEL.Blocks(df, 3, read_rows=40), list(mean + 0.25), 0.2, 8, seed=1, trace=trace)
+    assert len(got) > 500 and trace.scans == 1
+    monkeypatch.setattr(SEL.Blocks, "KEPT", 100)
+    parts, trace = SEL.Blocks(df, 3), SEL.GreedyTrace()
+    assert SEL.greedy_profile_match(parts, list(mean + 0.25), 0.2, 8, seed=1, trace=trace) == got and trace.scans >= 6
+    assert parts.all.sorted_ids.tolist() == list(range(600))
+
+
+def _cubes(n, dims, copies, seed):
+    rng = np.random.default_rng(seed)
+    vecs = rng.normal(scale=0.3, size=(n, dims)) ** 3
+    vecs[n - copies:] = vecs[rng.integers(0, n - copies, copies)]
+    return rng.permutation(n).astype(np.int64), vecs
+
+
+def _walk(ids, vecs, target, steps, gone=()):
+    """The ids of a greedy walk from the first row, every energy computed."""
+    left = ~np.isin(ids, [*gone, ids[0]])
+    total, n, walk = vecs[0].copy(), 1, []
+    while len(walk) < steps and left.any():
+        e = np.abs(target - (total + vecs) / (n + 1)).max(axis=1)
+        i = min(np.flatnonzero(left & (e == e[left].min())), key=lambda i: ids[i])
+        walk.append((int(ids[i]), e[i]))
+        total, n, left = total + vecs[i], n + 1, left & (ids != ids[i])
+    return walk
+
+
+def _walk_of_slots(ids, vecs, target, steps, gone=()):
+    left = NE.Left(NE.Slots(ids, vecs, target), set(gone)).copy()
+    left.take(int(ids[0]))
+    total, n, walk = vecs[0].copy(), 1, []
+    while len(walk) < steps and (found := left.best(total, n, target)):
+        walk.append((found[1], found[0]))
+        left.take(found[1])
+        total, n = total + found[2], n + 1
+    return walk
+
+
+def test_bitmaps_find_every_winner(monkeypatch):
+    monkeypatch.setattr(NE, "SAMPLE", 16)
+    for n, dims, copies, seed in ((700, 4, 0, 1), (700, 5, 400, 2), (500, 1, 100, 3), (300, 3, 290, 4)):
+        ids, vecs = _cubes(n, dims, copies, seed)
+        ids[5:25] = ids[25:45]  # rows that share an id go together
+        target = vecs.mean(axis=0) + 0.01
+        for gone in ((), ids[100:300].tolist()):
+            want = _walk(ids, vecs, target, n, gone)
+            assert _walk_of_slots(ids, vecs, target, n, gone) == want and len(want) >= (n - 220 if not gone else 50)
+
+
+def test_a_step_computes_few_energies(spark, monkeypatch):
+    ids, vecs = _cubes(40_000, 6, 0, 6)
+    target = vecs.mean(axis=0) + 0.002
+    seen = []
+    real = NE.energies
+    monkeypatch.setattr(NE, "energies", lambda *a: seen.append(a[3].shape[1]) or real(*a))
+    assert _walk_of_slots(ids, vecs, target, 300) == _walk(ids, vecs, target, 300)
+    assert sum(seen) < 300 * 40_000 / 10
