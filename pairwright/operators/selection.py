@@ -92,6 +92,7 @@ class Blocks:
         self.whole = bool(self.size.sum() <= kept_rows and all(r[-1] for r in bounds))
         self.kept_rows = kept_rows if self.whole else min(kept_rows, self.KEPT)
         self.all: Slots | None = None
+        self.rest: Left | None = None
         self.kept: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}  # ids in order, vectors as columns; None: in ``all``
         self.home: dict[int, list[int]] = {}  # the kept blocks of an id
         self.scans = 0
@@ -127,6 +128,16 @@ class Blocks:
             self.all, self.kept = Slots(ids, vecs, target), dict.fromkeys(range(len(self.size)))
         return self.all
 
+    def left(self, target: np.ndarray, base: set[int]) -> Left | None:
+        """The slots without the ids of ``base``; a round of ``select_until`` goes on from the round before."""
+        slots = self.slots(target)
+        if slots is not None and (self.rest is None or not self.rest.own <= base):
+            self.rest = Left(slots)
+        if self.rest is not None:
+            for cid in base - self.rest.own:
+                self.rest.take(cid)
+        return self.rest
+
     def read(self, blocks: set[int]) -> None:
         """Keep the rows of these blocks; the ones read first go when there are too many."""
         numbers = [int(self.number[b]) for b in sorted(blocks)]
@@ -345,8 +356,7 @@ def greedy_profile_match(candidates: DataFrame | Blocks, target: Sequence[float]
     blocks = candidates if isinstance(candidates, Blocks) else Blocks(candidates, len(tgt), id_col, scores)
     base = set(exclude)
     before = blocks.scans
-    slots = blocks.slots(tgt)
-    free = None if slots is None else Left(slots, base)
+    free = blocks.left(tgt, base)
     place = None
     waiting: list[tuple[int, np.ndarray]] = []
     active: list[_Trajectory] = []

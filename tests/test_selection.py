@@ -195,7 +195,10 @@ def _walk(ids, vecs, target, steps, gone=()):
 
 
 def _walk_of_slots(ids, vecs, target, steps, gone=()):
-    left = NE.Left(NE.Slots(ids, vecs, target), set(gone)).copy()
+    rest = NE.Left(NE.Slots(ids, vecs, target))
+    for cid in gone:
+        rest.take(cid)
+    left = rest.copy()
     left.take(int(ids[0]))
     total, n, walk = vecs[0].copy(), 1, []
     while len(walk) < steps and (found := left.best(total, n, target)):
@@ -224,3 +227,16 @@ def test_a_step_computes_few_energies(spark, monkeypatch):
     monkeypatch.setattr(NE, "energies", lambda *a: seen.append(a[3].shape[1]) or real(*a))
     assert _walk_of_slots(ids, vecs, target, 300) == _walk(ids, vecs, target, 300)
     assert sum(seen) < 300 * 40_000 / 10
+
+
+def test_rounds_read_the_table_once(spark, monkeypatch):
+    mean, df = _normal_rows(spark)
+    monkeypatch.setattr(SEL.Blocks, "ROWS", 8)
+    vecs = {r["id"]: list(r["scores"]) for r in df.collect()}
+    order = [r["id"] for r in df.select("id", hash_key(7, ["id"]).alias("h")).orderBy("h", "id").collect()]
+    args, want, rounds = (list(mean + 0.05), 0.02), [], 0
+    while len(want) < 60 and (c := model_greedy(vecs, *args, 60 - len(want), order, exclude=want)):
+        want, rounds = want + c, rounds + 1
+    trace = SEL.GreedyTrace()
+    assert SEL.select_until(df, *args, 60, seed=7, trace=trace) == want
+    assert rounds > 1 and trace.scans == 1
